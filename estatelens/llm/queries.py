@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, sharding, topk, warc
+from . import bpe, decontam, langid, lines, minhash, sharding, substrings, topk, warc
 from ._common import table
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -20,17 +20,33 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.window_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), BPE_VOCABULARY)
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(table(spark, sf_dir, "documents"), PIECE_VOCABULARY)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_warc, op5_bpe, op7_language_id, op9_topk)}
-ORACLES = {"op3_warc": warc.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_warc, op4_substrings, op5_bpe, op6_lines, op7_language_id, op8_decontamination, op9_topk, op10_minhash)}
+ORACLES = {"op3_warc": warc.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
