@@ -5,12 +5,13 @@ the same text, or if both have MIN_WORDS words or more and lie within one word e
 inserted, deleted or replaced. Lines are judged on the input, not on what is left.
 
 Distinct lines are found first, each with its first place. Each distinct line emits its
-variants within the bound as hashed keys: itself, and itself without its i-th word, for
-every i. Two lines within one edit of each other share a key. All lines of a key lie within
-one edit of its earliest line (or, for a deletion, of a line that is itself), so each is
-joined with the earliest only: the work is linear in a key's rows, however many they are.
-Pairs are verified on the words. Lines that share neither their first nor their last
-SHARED words with another can't have a neighbour and emit nothing.
+variants within the bound as hashed keys: itself, itself without its i-th word, and the
+latter with i. Lines that agree without their i-th words differ by a replacement, whichever
+they are, so each is joined with the earliest of them only; a line that is another's variant
+is joined with the earliest of those it is a variant of, and they with it. So the work is
+linear in a key's rows, however many they are. Pairs are verified on the words. Of two lines
+within one edit one half is untouched: lines that share neither their first nor their last p
+words with another (p the largest power of two that fits twice) emit nothing.
 
 Defined results: blank lines are neither compared nor counted; a document that loses no line
 keeps its text as it is, in others the kept lines are joined by line feeds; spaces, tabs and
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from ._common import written
 
 MIN_WORDS = 10
-SHARED = 4
 PRIME = 2**61 - 1
 STEP = 256  # prefix sums are summed in runs of so many words, so that long lines don't cost their square
 
@@ -50,7 +50,7 @@ def _sums(values: Column):
 
 
 def variant_keys(lines: DataFrame) -> DataFrame:
-    """(pos, h1, key) of (pos, h1, line): a key for the line itself and one for each word left out."""
+    """(pos, h1, key, kind) of (pos, h1, line). kind 0: the line; 1: the line without a word; 2: the same with the word's place."""
     value = lambda place, word: F.pmod(F.xxhash64(place, word), F.lit(PRIME))
     df = lines.withColumn("w", F.split("line", " ", -1)).withColumn("n", F.size("w"))
     # place j and, for words after a gap, place j - 1
@@ -70,9 +70,11 @@ def variant_keys(lines: DataFrame) -> DataFrame:
         after = total("back") + F.lit(2 * PRIME) - upto("back", j) - F.get(F.col("back"), j)
         return F.xxhash64(F.col("n") - 1, F.pmod(upto("here", j) + after, F.lit(PRIME)))
 
+    row = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).cast("byte").alias("kind"))
     itself = F.xxhash64("n", total("here") % F.lit(PRIME))
-    keys = F.concat(F.array(itself), F.transform(F.sequence(F.lit(0), F.col("n") - 1), without))
-    return df.select("pos", "h1", F.explode(F.array_distinct(keys)).alias("key"))
+    df = df.withColumn("variants", F.transform(F.sequence(F.lit(0), F.col("n") - 1), without))
+    keys = F.concat(F.array(row(itself, 0)), F.transform("variants", lambda v: row(v, 1)), F.transform("variants", lambda v, j: row(F.xxhash64(v, j), 2)))
+    return df.select("pos", "h1", F.inline(keys))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -93,16 +95,19 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = docs.select("__place", F.col(text_col).alias("text"))
 
     every = base.select("__place", F.posexplode(line_array(F.col("text"))).alias("i", "raw")).withColumn("line", trimmed(F.col("raw")))
-    first = lambda n: F.xxhash64(F.substring_index("line", " ", n))
     words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    every = every.select((F.col("__place") * F.lit(stride).cast(wide) + F.col("i").cast(wide)).cast(wide).alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), words.alias("n"), first(SHARED).alias("head"), first(-SHARED).alias("tail"))
-    distinct = every.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    half = lambda n: F.expr(f"shiftleft(1, length(bin(({n}) div 2)) - 1)")  # noqa: E731  the largest power of two that fits twice into n
+    every = every.withColumn("n", words).withColumn("p", half("n - 1")).withColumn("q", half("n"))  # a neighbour may have one word more
+    ends = [F.when((F.col("n") >= MIN_WORDS) & (F.lit(k == "p") | (F.col("p") != F.col("q"))), F.expr(f"xxhash64({k}, substring_index(line, ' ', {sign}{k}))")).alias(f"{k}{sign}") for k in "pq" for sign in ("", "-")]
+    every = every.select((F.col("__place") * F.lit(stride).cast(wide) + F.col("i").cast(wide)).cast(wide).alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), *ends)
+    distinct = every.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("pos", "p", "p-", "q", "q-")])
     distinct = written(distinct, "lines")
 
     # lines that share their first or their last words with another
-    long = distinct.filter(F.col("n") >= MIN_WORDS)
-    shared = lambda c: long.join(long.groupBy(c).agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(c), c, "left_semi").select("pos", "h1", "h2")
-    near = shared("head").union(shared("tail")).distinct()
+    ends = distinct.select("pos", "h1", "h2", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("end")) for side, c in enumerate(("p", "p-", "q", "q-"))])).alias("e"))
+    ends = ends.select("pos", "h1", "h2", (F.col("e.side") % 2).alias("side"), "e.end").filter("end is not null")
+    common = ends.groupBy("side", "end").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("side", "end")
+    near = ends.join(common, ["side", "end"], "left_semi").select("pos", "h1", "h2").distinct()
     wanted = near.withColumn("__place", _div(F.col("pos"), stride, wide)).withColumn("i", (F.col("pos") - F.col("__place") * F.lit(stride).cast(wide)).cast("int"))
     wanted = wanted.groupBy("__place").agg(F.collect_list(F.struct("i", "pos", "h1", "h2")).alias("wanted"))
     texts = base.join(wanted, "__place").select(line_array(F.col("text")).alias("d"), F.explode("wanted").alias("x"))
@@ -110,8 +115,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = written(texts.select("pos", "h1", "line"), "near-lines")
 
     keys = variant_keys(texts)
-    earliest = keys.groupBy("key").agg(F.min("pos").alias("by"), F.max("pos").alias("last")).filter("by < last").select("key", "by")
-    pairs = keys.join(earliest, "key").filter("pos > by").select("pos", "h1", "by").distinct()
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("pos"))).alias(f"by{kind}")
+    earliest = keys.groupBy("key").agg(of(0), of(1), of(2), F.max("pos").alias("last")).filter("least(by0, by1, by2) < last").drop("last")
+    by = F.when(F.col("kind") == 0, F.col("by1")).when(F.col("kind") == 1, F.col("by0")).otherwise(F.col("by2"))
+    pairs = keys.join(earliest, "key").withColumn("by", by).filter("pos > by").select("pos", "h1", "by").distinct()
     both = pairs.join(texts, ["pos", "h1"]).join(texts.select(F.col("pos").alias("by"), F.col("line").alias("other")), "by")
     gone = both.filter(within_one_edit(F.split("line", " ", -1), F.split("other", " ", -1))).select("pos", "h1").distinct()
 
