@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, lines, minhash, sharding, substrings, topk, warc
+from . import bpe, decontam, langid, lines, minhash, sharding, substrings, suffixes, topk, warc
 from ._common import table
 
 BPE_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.byte_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_warc, op4_substrings, op5_bpe, op6_lines, op7_language_id, op8_decontamination, op9_topk, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_suffixes, op2_sharding, op3_warc, op4_substrings, op5_bpe, op6_lines, op7_language_id, op8_decontamination, op9_topk, op10_minhash)}
 ORACLES = {"op3_warc": warc.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
