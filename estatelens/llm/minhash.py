@@ -123,8 +123,12 @@ def jaccard_links(pairs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) ->
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept of every document."""
+def _node(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(id, node, size) of every document, and (node, root) of every node that links with another."""
     ids = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     docs = docs.select(ids.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     every = written(sketched(docs), "sketches")
@@ -149,18 +153,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = across.filter(f"100 * least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b)").select("a", "b").distinct()
     more = verified(across, nodes, docs)
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-    roots = components(edges)
-
-    named = roots.join(nodes.select("node", "id"), "node")
-    smallest = named.groupBy("root").agg(F.min("id").alias("component"))
-    of_node = named.join(smallest, "root").select("node", "component")
-    alone = nodes.join(roots, "node", "left_anti").select("node", F.col("id").alias("component"))
-    out = every.drop("sketch").join(of_node.union(alone), "node", "left")
-    out = out.withColumn("component", F.coalesce("component", "id"))
+    return every.drop("sketch"), components(edges)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept of every document."""
+    every, roots = groups(docs, id_col, text_col)
+    nodes = every.filter("size > 0").groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = nodes.groupBy("root").agg(F.min("id").alias("component"))
+    out = every.join(nodes.join(smallest, "root").select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "id"))
     named_id = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return out.select(named_id("id").alias(id_col), F.col("size").alias("n_shingles"), named_id("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, one row of each group of near copies: that of the smallest id (of equal rows, any). Wordless texts all stay."""
+    every, roots = groups(docs, id_col, text_col)
+    nodes = every.filter("size > 0").groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = nodes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.node").alias("__node"))
+    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__node", _node(text_col))
+    wordless = F.coalesce(~F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    chosen = keyed.filter(~wordless).join(stays, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
+    return chosen.unionByName(keyed.filter(wordless)).drop("__id", "__node")
+
+
 def postings(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     """(value, node, size): the inverted lists of each node's rarest sketch values that others hold too."""
     spread = nodes.select("node", "size", F.explode("sketch").alias("value"))
