@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts, scratch
+from ._common import LAST, parts, scratch
 
 DICT_MAGIC = 0x184D2A5D
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"  # skippable frame 0x184D2A50 of no bytes
@@ -142,10 +142,11 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     # only payloads that occur again travel: ids and digests, no text
     first = small.filter(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = small.select("page_id", "digest").join(first.select("digest", "refers_to"), "digest").filter("page_id is null or page_id > refers_to").distinct()
-    again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "refers_to")
-    out = keyed.join(again, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
+    key = F.coalesce("page_id", F.lit(LAST)).alias("__key")
     archives = parts(n_bytes, archive_bytes, 1)
-    out = out.repartition(archives, F.xxhash64("page_id", "digest")).sortWithinPartitions("page_id", "digest", "url")
+    # pages travel once, straight to their archives
+    out = keyed.select("*", key).repartition(archives, "__key", "digest").join(again.select(key, "digest", "refers_to"), ["__key", "digest"], "left")
+    out = out.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id", "digest", "url")
 
     def compress(batches):
         def rows():
