@@ -53,11 +53,12 @@ def candidates(spark: SparkSession, models: DataFrame, tiles: DataFrame, aggrega
     of_models = of_models.join(normalised(spark, models, "id", "resolved_sql"), "id").withColumn("match_kind", F.lit("same_column_name"))
 
     def paired(items: DataFrame, prefix: str) -> DataFrame:
+        items = items.withColumn("asset", F.col("id")).withColumn("id", F.element_at(F.split("id", r"\."), -1))
         pairs = relational.conflicting_pairs(items, "id", "label", "norm")
-        side = lambda s: items.select(F.col("id").alias(f"{s}_id"), "label", F.col("sql").alias(f"{s}_sql"), F.col("primary").alias(f"{s}_primary"), F.col("evidence").alias(f"{s}_evidence"))
+        side = lambda s: items.select(F.col("id").alias(f"{s}_id"), "label", F.col("asset").alias(f"{s}_asset"), F.col("sql").alias(f"{s}_sql"), F.col("primary").alias(f"{s}_primary"), F.col("evidence").alias(f"{s}_evidence"))
         both = pairs.join(side("left"), ["left_id", "label"]).join(side("right"), ["right_id", "label"])
         kind = "same_metric_label" if prefix == "label" else "same_column_name"
-        return both.select(F.concat_ws(":", F.lit(prefix), "label", "left_id", "right_id").alias("id"), F.lit(kind).alias("match_kind"), F.col("label").alias("metric_name"), F.col("left_id").alias("left_asset_id"), F.col("right_id").alias("right_asset_id"), "left_sql", "right_sql", "left_primary", "right_primary", F.concat("left_evidence", "right_evidence").alias("evidence"))
+        return both.select(F.concat_ws(":", F.lit(prefix), "label", "left_id", "right_id").alias("id"), F.lit(kind).alias("match_kind"), F.col("label").alias("metric_name"), F.col("left_asset").alias("left_asset_id"), F.col("right_asset").alias("right_asset_id"), "left_sql", "right_sql", "left_primary", "right_primary", F.concat("left_evidence", "right_evidence").alias("evidence"))
 
     return paired(of_tiles, "label").unionByName(paired(of_models, "column"))
 
