@@ -12,8 +12,8 @@ hold is dealt again by a second, longer anchor, so that no common passage gather
 In a bucket, pieces with a common anchor are cut into shards. Each shard gets the Burrows-
 Wheeler transform of its pieces. The transforms are merged by iterative interleave refinement
 (Holt and McMillan): from an interleave that is right for the first h symbols of every suffix,
-one stable pass over the transforms gives the one for h + 1; no suffix is compared or sorted
-again. The refinement also carries the blocks of suffixes that share h symbols, that is, the
+one stable pass over the transforms gives the one for h + 1 (each row moves to the one before it,
+in the order of the symbols passed); no suffix is compared or sorted again. The refinement also carries the blocks of suffixes that share h symbols, that is, the
 common prefixes. After LENGTH passes the blocks are the repeated intervals; in each, all
 strings but the earliest are marked. Marked strings go back to their chunk, which merges
 them into maximal spans.
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from ._common import _CHUNK, _ID, _TEXT, LAST, BASE_INV, binaries, bucket_slices, by_id_range, distinct, first_of, from_planes, is_in, joined, mix, parts, planes, powers, prefix_sums
 
 LENGTH = 100
-ANCHOR = 32
+ANCHOR = 64
 SECOND_ANCHOR = 88
 HOT_CHUNKS = 256
 LONGEST_PIECE = 2048  # strings in one piece
 CHUNK_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20  # of text whose anchors one bucket settles
+BUCKET_BYTES = 2 << 20  # of text whose anchors one bucket settles
 SHARD_BYTES = 64 << 10
 SPANS = "array<struct<start:bigint,end:bigint>>"
 FIELDS = f"bucket int, {_CHUNK} int, keys binary, at binary, count binary, looped binary, text binary"
@@ -65,7 +65,7 @@ class Chunk:
         self.anchor = min(ANCHOR, length)
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First string, number of strings and anchor of each piece."""
+        """First string, number of strings and anchor of each piece. Anchors are small hashes: mixed again before they are dealt."""
         self.sums = prefix_sums(self.buf)
         self.hashes = self._hashes(self.anchor)
         enough = len(self.hashes) > self.length - self.anchor
@@ -92,6 +92,8 @@ class Chunk:
 
     def looped(self, start: np.ndarray, count: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Pieces that hold their anchor more than once, so that a string may repeat within the piece."""
+        if not len(start):
+            return np.zeros(0, bool)
         width = self.length - self.anchor
         # a substring is an anchor if some string around it has no smaller hash
         padded = np.concatenate([np.zeros(width, np.uint64), self.least, np.zeros(width, np.uint64)])
@@ -117,7 +119,7 @@ class Chunk:
 def anchors(chunks: DataFrame, length: int, buckets: int) -> DataFrame:
     def collect(group: pa.Table) -> pa.Table:
         chunk = group.column(_CHUNK)[0].as_py()
-        found = distinct(Chunk(group, length).pieces()[2])
+        found = distinct(mix(Chunk(group, length).pieces()[2]))
         rows = [(b, planes(found[i:j])) for b, i, j in bucket_slices(found, buckets)]
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), _CHUNK: pa.array([chunk] * len(rows), pa.int32()), "keys": pa.array([h for _, h in rows], pa.binary())})
 
@@ -151,11 +153,12 @@ def travelling(chunks: DataFrame, shared: DataFrame, length: int, buckets: int)
             return _piece_rows([])
         number = own.column(_CHUNK)[0].as_py()
         chunk = Chunk(own, length)
-        start, count, keys = chunk.pieces()
+        start, count, least = chunk.pieces()
+        keys = mix(least.copy())
         known = [np.sort(np.concatenate([from_planes(b) for b in answered.column(c).to_pylist()] or [np.zeros(0, np.uint64)])) for c in ("shared", "hot")]
         order = np.sort(keys)
         twice = distinct(order[1:][order[1:] == order[:-1]])
-        looped = chunk.looped(start, count, keys)
+        looped = chunk.looped(start, count, least)
         chosen = is_in(keys, known[0]) | is_in(keys, twice) | looped
         hot = chosen & is_in(keys, known[1])
         plain = chosen & ~hot
@@ -190,8 +193,8 @@ def _piece_rows(rows: list[tuple]) -> pa.Table:
 # --- Burrows-Wheeler transforms ---------------------------------------------------------------
 
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transform of a collection, the text place of each of its rows, and the first place of each string.
+def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The transform of a collection, the text place of each row, the row of each place, and the first place of each string.
 
     strings: distinct, in lexicographic order. The text is the strings, each ended by a
     terminator; terminators are smaller than all bytes and ordered as their strings, so that
@@ -208,44 +211,54 @@ def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     n = len(symbols)
     rank = symbols.astype(np.int64) + len(strings)
     rank[ends] = np.arange(len(strings))
-    step = 1
+    bits = max(len(strings) + 257, n).bit_length()
+    low = (1 << bits) - 1
+    if 3 * bits > 63:
+        raise ValueError("a shard of more than a million bytes")
+    step, place = 1, np.arange(n)
     while True:  # prefix doubling; unique terminators keep comparisons within a string
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] if step < n else 0
-        key = rank << 32 | after
-        order = np.argsort(key)
-        new = first_of(key[order])
+        key = rank << bits
+        if step < n:
+            key[: n - step] |= rank[step:]
+        key = np.sort(key << bits | place)
+        order = key & low
+        new = first_of(key >> bits)
         rank[order] = np.cumsum(new) - 1
         if new.all():
             break
         step *= 2
     before = symbols[order - 1]
-    before[np.isin(order, begin)] = 0
-    return before, order, begin
+    before[rank[begin]] = 0
+    return before, order, rank, begin
 
 
-def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(shards: list[np.ndarray], rows: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleaves transforms up to the first `depth` symbols of their suffixes.
 
-    Returns, for every place of the interleave, the row (counted over all shards) and the block
-    of rows that share their first `depth` symbols.
+    rows: of each shard, in order, those that lie `depth` symbols after the suffixes asked for.
+    A pass takes each row to the one before it (its LF mapping), in the order of the symbols
+    passed: stable, so what was in order by h symbols is in order by h + 1. Rows that no suffix
+    asked for can reach take no part. Returns the rows (counted over all shards) of the suffixes
+    asked for in their merged order, and the block of those that share `depth` symbols.
     """
+    sizes = np.array([len(s) for s in shards])
+    first = np.cumsum(sizes) - sizes
     every = np.concatenate(shards)
-    kind = np.uint8 if len(shards) < 256 else np.uint16
-    shard = np.repeat(np.arange(len(shards)), [len(s) for s in shards]).astype(kind)
-    small = every.astype(np.uint16) if every.max(initial=0) > 255 else every.astype(np.uint8)
-    block = np.zeros(len(every), np.int32)
-    row = np.arange(len(every))
+    if every.max(initial=0) < 256:
+        every = every.astype(np.uint8)
+    lf = np.empty(len(every), np.int32)
+    for f, bwt in zip(first, shards, strict=True):
+        lf[f + np.argsort(bwt if bwt.max(initial=0) > 255 else bwt.astype(np.uint8), kind="stable")] = np.arange(f, f + len(bwt), dtype=np.int32)
+    row = np.concatenate([f + r for f, r in zip(first, rows, strict=True)]).astype(np.int32)
+    block = np.zeros(len(row), np.int32)
+    new = np.ones(len(row), bool)
     for _ in range(depth):
-        # the interleave by h + 1 symbols: its rows are those before the present ones, stable by their symbol
-        symbol = small[row]
+        symbol = every[row]
         order = np.argsort(symbol, kind="stable")
-        shard, symbol, source = shard[order], symbol[order], block[order]
-        new = np.ones(len(order), bool)
+        row, symbol, block = lf[row[order]], symbol[order], block[order]
         np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
-        new[1:] |= source[1:] != source[:-1]
+        new[1:] |= block[1:] != block[:-1]
         block = np.cumsum(new, dtype=np.int32)
-        row[np.argsort(shard, kind="stable")] = np.arange(len(row))  # rows of a shard keep their order
     return row, block
 
 
@@ -256,18 +269,19 @@ def repeated_strings(strings: list[bytes], place: np.ndarray, count: np.ndarray,
     """
     order = sorted(range(len(strings)), key=strings.__getitem__)
     shards = min(len(strings), max(2, -(-sum(map(len, strings)) // shard_bytes)))
-    made, of, at = [], [], []
+    made, rows, of, at = [], [], [], []
     for own in (order[x::shards] for x in range(shards)):
-        bwt, text_place, begin = transform([strings[i] for i in own])
-        string = np.searchsorted(begin, text_place, side="right") - 1
+        bwt, text_place, row_of, begin = transform([strings[i] for i in own])
+        own = np.array(own, np.int32)
         made.append(bwt)
-        of.append(np.array(own)[string])
-        at.append(text_place - begin[string])
-    of, at = np.concatenate(of), np.concatenate(at)
-    row, block = merge(made, length)
-    of, at = of[row], at[row]
-    starts = np.flatnonzero(at < count[of])
-    of, at, block = of[starts], at[starts], block[starts]
+        string = np.searchsorted(begin, text_place, side="right") - 1
+        of.append(own[string])
+        at.append((text_place - begin[string]).astype(np.int32))
+        asked = count[own]
+        places = np.repeat(begin + length - (np.cumsum(asked) - asked), asked) + np.arange(asked.sum())
+        rows.append(np.sort(row_of[places]))
+    row, block = merge(made, rows, length)
+    of, at = np.concatenate(of)[row], np.concatenate(at)[row]
     where = place[of] + at
     new = np.flatnonzero(first_of(block))
     first = np.repeat(np.minimum.reduceat(where, new), np.diff(np.append(new, len(where)))) if len(where) else where
