@@ -2,9 +2,11 @@
 
 Words (runs of letters and digits, lower-cased) are the symbols. A passage is a leak of an
 item of m words if some m consecutive words of the document lie within EDITS * m word edits
-of it. The CGK random walk maps such a window and the item to strings of 3 m symbols in
-which few edits give few differing places; REPEATS samples of BITS places each are hashed,
-and a window that agrees with the item in one of them is verified by its exact edit distance.
+of it. A CGK random walk maps such a window and the item to strings of 3 m symbols in which
+few edits give few differing places. Of each of WALKS walks REPEATS samples of BITS places are
+hashed, and a window that agrees with the item in one of them is verified by its exact edit
+distance. Walks are repeated as well as samples, since one that loses step early loses all its
+samples; tests/llm measures the recall against brute force.
 
 Windows are placed where they can matter: an item with at most e edits keeps an intact run of
 (m - e) / (e + 1) words, rounded up, so every window that could pass holds such a run of the
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from ._common import hash_spans, joined, mix, prefix_sums, windows, word_spans
 
 EDITS = 0.2
-BITS = 3
-REPEATS = 40
+WALKS = 4
+BITS = 2
+REPEATS = 16
 LONGEST_RUN = 4
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 2 << 20
@@ -63,29 +66,33 @@ def run_length(m: int) -> int:
     return min(LONGEST_RUN, math.ceil((m - e) / (e + 1)))
 
 
-def embed(rows: np.ndarray) -> np.ndarray:
-    """The CGK embedding: step t writes the symbol in turn and moves on by a bit drawn from t and the symbol."""
+def embed(rows: np.ndarray, walk: int = 0) -> np.ndarray:
+    """The CGK embedding: step t writes the symbol in turn and moves on by a bit drawn from the walk, t and the symbol."""
     n, m = rows.shape
     rows = np.concatenate([rows, np.full((n, 1), PAD)], axis=1)
     at, every = np.zeros(n, np.int64), np.arange(n)
     out = np.empty((n, 3 * m), np.uint64)
     for t in range(3 * m):
         out[:, t] = symbol = rows[every, at]
-        step = mix(symbol ^ np.uint64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(1)
+        step = mix(symbol ^ np.uint64((t + 1 + (walk << 32)) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & np.uint64(1)
         at = np.minimum(at + step.astype(np.int64), m)
     return out
 
 
-def samples(m: int) -> np.ndarray:
+def samples(m: int, walk: int) -> np.ndarray:
     """The places that each repeat looks at, the same wherever they are drawn."""
-    return np.random.default_rng(m).integers(0, 3 * m, (REPEATS, min(BITS, m)))
+    return np.random.default_rng([m, walk]).integers(0, 3 * m, (REPEATS, min(BITS, m)))
 
 
-def sample_keys(embedded: np.ndarray, m: int) -> np.ndarray:
-    key = np.zeros((len(embedded), REPEATS), np.uint64)
-    for places in samples(m).T:
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + embedded[:, places])
-    return key
+def sample_keys(rows: np.ndarray) -> np.ndarray:
+    """Keys of all samples of all walks; rows: windows or items of one size."""
+    m, out = rows.shape[1], []
+    for walk in range(WALKS):
+        embedded, key = embed(rows, walk), np.zeros((len(rows), REPEATS), np.uint64)
+        for places in samples(m, walk).T:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + embedded[:, places])
+        out.append(key)
+    return np.concatenate(out, axis=1)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -135,7 +142,7 @@ class Items:
             if len(w):
                 by_size[len(w)].append(k)
         for m, ks in by_size.items():
-            for k, key in zip(ks, sample_keys(embed(np.stack([self.words[k] for k in ks])), m), strict=True):
+            for k, key in zip(ks, sample_keys(np.stack([self.words[k] for k in ks])), strict=True):
                 self.keys[k] = key
 
     def placed(self, hashes: np.ndarray, of: np.ndarray) -> dict[int, np.ndarray]:
@@ -168,7 +175,7 @@ class Items:
                 places = s[:, None] + np.arange(m)
                 within = places < first[d + 1][:, None]
                 rows = np.where(within, hashes[np.minimum(places, len(hashes) - 1)], PAD)
-                agree = (sample_keys(embed(rows), m) == np.stack([self.keys[k] for k in i])).any(axis=1) if len(i) else []
+                agree = (sample_keys(rows) == np.stack([self.keys[k] for k in i])).any(axis=1) if len(i) else []
                 for x in np.flatnonzero(agree):
                     pair = int(d[x]), int(i[x])
                     if pair in done:
