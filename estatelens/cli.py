@@ -1,4 +1,4 @@
-"""Command line: generate, build, audit, eval, export."""
+"""Command line: generate, build, verify, audit, eval, export."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 import os
 import sys
 
-from .plans import audit, scoring
+from .plans import audit, scoring, verify
 from .session import build_session
 from .sources import fixture
 
@@ -15,7 +15,7 @@ from .sources import fixture
 def build_parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="estatelens", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, says in (("generate", "write the demonstration estate"), ("build", "graph and lineage, with the checks that need no log"), ("audit", "all checks"), ("eval", "score an audit against the manifest"), ("export", "the graph with its findings as JSON and HTML"), ("ask", "questions in words (not available)")):
+    for name, says in (("generate", "write the demonstration estate"), ("build", "graph and lineage, with the checks that need no log"), ("verify", "whether the loaders read what the manifest planted"), ("audit", "all checks"), ("eval", "score an audit against the manifest"), ("export", "the graph with its findings as JSON and HTML"), ("ask", "questions in words (not available)")):
         own = commands.add_parser(name, help=says)
         own.add_argument("--root", default=".", help="folder with project/, dashboards.json, query_log.parquet, manifest.yaml")
         own.add_argument("--out", default="audit.json", help="findings file")
@@ -41,6 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "build":
         print(json.dumps(audit.build_summary(estate), indent=1))
         return 0
+    if args.command == "verify":
+        rows = [r.asDict() for r in verify.verify(spark, estate, f"{base}/manifest.yaml").orderBy("id").collect()]
+        print(json.dumps(rows, indent=1))
+        return 0 if all(r["passed"] for r in rows) else 1
     findings, judged = audit.run_audit(spark, estate)
     if args.command == "audit":
         audit.write_findings(findings, args.out)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens import cli, schemas
-from estatelens.plans import audit, dag, definitions, lineage, scoring, sqltext
+from estatelens.plans import audit, dag, definitions, lineage, provider, scoring, sqltext, verify
 from estatelens.sources import dashboards, fixture, project, querylog
 
 
@@ -160,6 +160,22 @@ def test_provider_and_cache(spark, audited):
             definitions.validated(raw, pair)
 
 
+def test_every_planted_case_is_read(spark, root, estate):
+    got = verify.verify(spark, estate, f"file://{root}/manifest.yaml").collect()
+    assert len(got) == 12 and all(r.passed for r in got), got
+
+
+def test_chat_provider_asks_for_fixed_fields(monkeypatch):
+    monkeypatch.delenv("ESTATELENS_API_KEY", raising=False)
+    with pytest.raises(definitions.JudgeError):
+        provider.ChatProvider("m", "http://localhost:1/none")
+    chat = provider.ChatProvider("m", "http://127.0.0.1:9/none", "key", timeout=1)
+    schema = chat.body("p")["response_format"]["json_schema"]["schema"]
+    assert chat.body("p")["temperature"] == 0 and not schema["additionalProperties"] and schema["required"] == provider.FIELDS
+    with pytest.raises(definitions.JudgeError):
+        chat.complete("p")
+
+
 def test_export_and_page(estate, audited):
     export = audit.graph_export(estate, audited[0])
     by = {n["id"]: n["findings"] for n in export["nodes"]}
