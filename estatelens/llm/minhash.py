@@ -2,17 +2,20 @@
 
 A document's set is its distinct shingles of five words; its sketch is the k smallest
 hashes. Inverted lists of sketch values generate overlaps. Two documents with a Jaccard
-index of 0.75 or more share far more than SHARED of their sketch values (a share of 0.44
-lies 5.8 standard deviations below the mean at k = 64, a chance of about 1 in 10 ** 8), so
+index of 0.75 or more share far more than SHARED of their sketch values (a share of 0.4
+lies 4.9 standard deviations below the mean at k = 32, a chance of about 1 in 10 ** 6), so
 by the prefix principle they also share one of each other's rarest k - SHARED + 1 values:
 only those go into the lists, and values that many documents share stay out of them unless
 most of a sketch is such values.
 
-Each list is first compared with its smallest document, one pair for each member. Pairs are
-filtered by the union sketch's estimate and verified on the full sets of words. Then the
-lists that still hold more than one component are compared across components only, so a
-large group of near copies costs one pair for each member, not one for each pair of them.
-Equal texts are one node throughout. Components come from rounds over written tables.
+Each list is first compared with its hub, the member that shares most of its sketch with
+others, one pair for each member. Pairs are filtered by the union sketch's estimate and
+verified on the full sets of words. What this leaves apart is compared with the rest of its
+hub's lists: in small groups pair by pair, in others block by block, where a block of
+BLOCK members meets another in one task that counts their common shingles and gives only
+links that join components. So a large group of near copies makes one row for each member
+and block, not one for each pair of members. Equal texts are one node throughout.
+Components come from rounds over written tables.
 
 Defined results: null and wordless texts have empty sets and link with nothing; texts under
 five words have one shingle, all their words; null ids come last, have a null component and
@@ -23,7 +26,7 @@ separate documents.
 from __future__ import annotations
 
 import hashlib
-import math
+import itertools
 import re
 
 import numpy as np
@@ -35,11 +38,13 @@ from ._common import LAST, first_of, mix, windows, written
 from .components import components
 
 SHINGLE = 5
-SKETCH = 64
-SHARED = 0.44
+SKETCH = 32
+SHARED = 0.4
 SIMILAR = 75  # hundredths
-MARGIN = 0.25  # of the estimate, 4.6 standard deviations at k = 64
+MARGIN = 0.35  # of the estimate, 4.6 standard deviations at k = 32
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SMALL_GROUP = 4096  # pairs
+BLOCK = 256
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
@@ -136,22 +141,28 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     nodes = written(nodes, "nodes")
     lists = written(postings(nodes), "postings")
 
-    hubs = lists.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = lists.join(hubs, "value").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    links = verified(stars, nodes, docs)
+    hubs = lists.groupBy("value").agg(F.max(F.struct("shared", "node"))["node"].alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(lists.join(hubs, "value").select(F.col("node").alias("a"), "b", "size").distinct(), "members")
+    stars = members.filter("a <> b").select("a", "b")
+
+    # the texts that pairs can ask for, once
+    listed = nodes.select("id", "node").join(lists.select("node").distinct(), "node")
+    texts = docs.select("id", _node("text").alias("node"), "text").join(listed, ["id", "node"], "left_semi").select("node", "text")
+    texts = written(texts, "texts")
+    links = verified(stars, nodes, texts)
     first = components(links)
 
-    # what the stars have left apart: members of different components in one list
-    held = lists.join(first, "node", "left").select("value", "node", "size", F.coalesce("root", "node").alias("root"))
-    held = written(held, "held")
-    groups = held.select("value", "root").distinct()
-    mixed = groups.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
-    groups = groups.join(mixed, "value")
-    apart = groups.alias("l").join(groups.alias("r"), "value").filter("l.root < r.root").select("value", F.col("l.root").alias("root"), F.col("r.root").alias("other"))
-    left = apart.join(held, ["value", "root"]).select("value", "other", F.col("node").alias("a"), F.col("size").alias("size_a"))
-    across = left.join(held.select("value", F.col("root").alias("other"), F.col("node").alias("b"), F.col("size").alias("size_b")), ["value", "other"])
-    across = across.filter(f"100 * least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b)").select("a", "b").distinct()
-    more = verified(across, nodes, docs)
+    # what the stars have left apart, against all members of the hub's lists
+    root = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    held = members.join(root("a"), "a", "left").join(root("b"), "b", "left").select("b", "a", "size", F.coalesce("root_a", "a").alias("root"), F.coalesce("root_b", "b").alias("hub_root"))
+    held = written(held.withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "held")
+    count = held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2")
+    held = held.join(count, "b")
+    small = held.filter(F.col("few") * F.col("all") <= SMALL_GROUP)
+    left = small.filter("apart").select("b", F.col("a").alias("l"), F.col("root").alias("l_root"), F.col("size").alias("l_size"))
+    across = left.join(small.select("b", F.col("a").alias("r"), "root", "size"), "b").filter(f"root <> l_root and 100 * least(size, l_size) >= {SIMILAR} * greatest(size, l_size)")
+    across = across.select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct()
+    more = verified(across, nodes, texts).union(blockwise(held.filter(F.col("few") * F.col("all") > SMALL_GROUP), texts))
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     return every.drop("sketch"), components(edges)
 
@@ -178,7 +189,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def postings(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
-    """(value, node, size): the inverted lists of each node's rarest sketch values that others hold too."""
+    """(value, node, size, shared): the inverted lists of each node's rarest sketch values that others hold too; shared: how many it has."""
     spread = nodes.select("node", "size", F.explode("sketch").alias("value"))
     often = spread.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = spread.join(often, "value").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("held"))
@@ -186,21 +197,69 @@ def postings(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     need = F.greatest(F.lit(1), F.floor(sketch * SHARED))
     prefix = sketch - need + 1 - (sketch - F.size("held"))  # values that only this node holds are the rarest
     shared = shared.withColumn("prefix", prefix.cast("int")).filter("prefix > 0")
-    return shared.select("node", "size", F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("v")).select(F.col("v.value").alias("value"), "node", "size")
+    return shared.select("node", "size", F.size("held").alias("shared"), F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("v")).select(F.col("v.value").alias("value"), "node", "size", "shared")
+
+
+def blockwise(held: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between members (a, root) of large groups (b) that lie apart and all members of the group, in blocks."""
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("a"), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    rows = held.filter("apart").select("b", own("few").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "a", "root")
+    rows = rows.union(held.select("b", every("few"), own("all"), F.lit(1), "a", "root"))
+    rows = rows.join(texts.select(F.col("node").alias("a"), "text"), "a").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
+    return written(rows.select("b", "i", "j", "side", "a", "root", "text").mapInArrow(_block_links, "a binary, b binary"), "block-links")
+
+
+def _block_links(batches):
+    def rows():
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
+    for _, group in itertools.groupby(rows(), key=lambda r: r[:3]):
+        found = joining_links([(r[3], r[4], r[5], shingles(word_list(r[6]))) for r in group])
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int = SKETCH) -> DataFrame:
+
+def joining_links(members: list[tuple], similar: int = SIMILAR) -> list[tuple]:
+    """Links between members of side 0 and of side 1, (side, node, root, set): as many as join their components, found from exact counts of common shingles."""
+    left, right = [m for m in members if m[0] == 0], [m for m in members if m[0] == 1]
+    index: dict = {}
+    for k, m in enumerate(right):
+        for x in m[3]:
+            index.setdefault(x, []).append(k)
+    index = {x: np.array(ks) for x, ks in index.items()}
+    sizes = np.array([len(m[3]) for m in right])
+    parent: dict = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for _, node, own, shingle_set in left:
+        met = [index[x] for x in shingle_set if x in index]
+        if not met:
+            continue
+        both = np.bincount(np.concatenate(met), minlength=len(right))
+        for k in np.flatnonzero(100 * both >= similar * (len(shingle_set) + sizes - both)).tolist():
+            if both[k] and root(own) != root(right[k][2]):
+                parent[root(own)] = root(right[k][2])
+                out.append((node, right[k][1]))
+    return out
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int = SKETCH) -> DataFrame:
     """The pairs (a, b) of nodes that pass the union sketch's estimate and then the exact index; a written table."""
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.col("id").alias(f"id_{s}"))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(f"100 * least(size_a, size_b) >= {SIMILAR} * greatest(size_a, size_b)")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    likely = both.filter(shared >= F.size(union) * (SIMILAR / 100 - MARGIN)).select("a", "b", "id_a", "id_b")
+    likely = both.filter(shared >= F.size(union) * (SIMILAR / 100 - MARGIN)).select("a", "b")
     likely = written(likely, "likely")
-    need = likely.select(F.col("a").alias("node"), F.col("id_a").alias("id")).union(likely.select("b", "id_b")).distinct()
-    texts = docs.select("id", F.unhex(F.md5("text")).alias("node"), "text").join(need, ["id", "node"]).dropDuplicates(["node"]).select("node", "text")
-    texts = written(texts, "texts")
     out = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     out = out.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("b")
     return written(jaccard_links(out), "links")

@@ -47,6 +47,22 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, minhash.near_duplicates(awkward(spark, rows)).collect()), key=str) == brute(rows)
 
 
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Near copies of one text with many edits, some of them shared: compared in blocks, with the result of brute force."""
+    monkeypatch.setattr(minhash, "SMALL_GROUP", 50)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in rnd.sample(range(150), rnd.choice([1, 3, 5, 6, 8])):
+            w[k] = f"x{rnd.randrange(2) if i % 4 else rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+
+
 def test_one_of_each(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in minhash.one_of_each(awkward(spark, ROWS)).collect())
     expected = [(1, ROWS[0][1]), (2, ""), (3, ""), (4, "  \t\n "), (6, ROWS[7][1]), (8, ROWS[9][1]), (9, "x")]
