@@ -130,7 +130,8 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                 sizes = [len(d) for d, _ in out]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([i for _, i in out])), pa.array(np.concatenate([d for d, _ in out]))], names=["query_id", "neighbour_id", "distance"])
 
-    found = met.repartition(F.col("shard"), F.col("block")).mapInArrow(search, "query_id bigint, neighbour_id bigint, distance bigint")
+    found = met.repartition(min(4096, shards * blocks), F.col("shard"), F.col("block"))  # by work: a few bytes are many comparisons
+    found = found.mapInArrow(search, "query_id bigint, neighbour_id bigint, distance bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", F.when(F.col("neighbour_id") != LAST, F.col("neighbour_id")).alias("neighbour_id"), "distance")
