@@ -166,6 +166,9 @@ def travelling(chunks: DataFrame, shared: DataFrame, length: int, buckets: int)
         if hot.any():
             s, c, k = chunk.again(start[hot], count[hot])
             sets.append((s, c, k, np.ones(len(s), bool)))
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
         data, first, at_home = chunk.buf.tobytes(), {}, []
         for s, c, k, loop in zip(*(np.concatenate(x).tolist() for x in zip(*sets, strict=True)), strict=True):
             piece = (k, data[s : s + c + length - 1])
@@ -177,7 +180,7 @@ def travelling(chunks: DataFrame, shared: DataFrame, length: int, buckets: int)
         sent = sorted((k, *place, text) for (k, text), place in first.items())
         keys = np.array([x[0] for x in sent], np.uint64)
         for b, i, j in bucket_slices(keys, buckets):
-            rows.append((b, number, keys[i:j], [x[1] for x in sent[i:j]], [x[2] for x in sent[i:j]], [x[3] for x in sent[i:j]], b"".join(x[4] for x in sent[i:j])))
+            rows.append((b, number, keys[i:j], [x[1] for x in sent[i:j]], [x[2] for x in sent[i:j]], [x[3] for x in sent[i:j]], pack(b"".join(x[4] for x in sent[i:j]))))
         if at_home:
             rows.append((-1 - number % buckets, number, np.zeros(0, np.uint64), [s for s, _ in at_home], [c for _, c in at_home], [], b""))
         return _piece_rows(rows)
@@ -295,6 +298,9 @@ def settled(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """Marked strings of each chunk, as first string and number of strings."""
 
     def settle(group: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         bucket = group.column("bucket")[0].as_py()
         columns = [group.column(c).to_pylist() for c in (_CHUNK, "at", "count")]
         if bucket < 0:
@@ -304,7 +310,7 @@ def settled(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         rows = sorted(zip(*columns, group.column("keys").to_pylist(), group.column("looped").to_pylist(), group.column("text").to_pylist(), strict=True), key=lambda r: r[0])
         out: dict[int, list] = {}
         for chunk, at, count, keys, looped, text in rows:
-            begin = 0
+            begin, text = 0, unpack(text)
             for k, a, c, loop in zip(np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(at, np.int64).tolist(), np.frombuffer(count, np.int32).tolist(), np.frombuffer(looped, np.bool_).tolist(), strict=True):
                 piece = (k, text[begin : begin + c + length - 1])
                 begin += c + length - 1
