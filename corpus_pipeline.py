@@ -18,7 +18,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; documents that lose every line go."""
-    out = lines.drop_repeated_lines(docs).filter("n_lines > n_removed")
+    out = lines.drop_repeated_lines(docs, emptied=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -88,8 +88,12 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (i == 0) | (rest(a, i + 1) == rest(b, i + 1)) | (rest(a, i + 1) == rest(b, i)) | (rest(a, i) == rest(b, i + 1))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's repeated lines removed, n_lines (lines that aren't blank) and n_removed."""
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", emptied: bool = True) -> DataFrame:
+    """docs with the text's repeated lines removed, n_lines (lines that aren't blank) and n_removed.
+
+    emptied: whether documents of which no line is left stay. (A filter on n_removed says the
+    same, but Spark would push it down and compute the lines again for each line kept.)
+    """
     docs = docs.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string"))
     low, high, longest = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.max(F.octet_length(text_col))).first()
     low, high, stride = low or 0, high or 0, (longest or 0) + 2  # a text has no more lines than bytes and one
@@ -129,7 +133,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = distinct.select("pos", "h1").join(gone, ["pos", "h1"], "left_anti")
     kept = kept.withColumn("__place", _div(F.col("pos"), stride, wide)).withColumn("i", (F.col("pos") - F.col("__place") * F.lit(stride).cast(wide)).cast("int"))
     kept = kept.groupBy("__place").agg(F.array_sort(F.collect_list(F.struct("i", "h1"))).alias("__kept"))
-    out = docs.join(kept, "__place", "left").withColumn("__d", line_array(F.col(text_col)))
+    out = docs.join(kept, "__place", "left" if emptied else "inner").withColumn("__d", line_array(F.col(text_col)))
     total = F.size(F.filter(F.split(text_col, "\n"), lambda x: trimmed(x) != ""))
     out = out.withColumn("n_lines", F.coalesce(F.when(F.col(text_col).isNotNull(), total), F.lit(0)).cast("long"))
     own = F.filter("__kept", lambda k: F.coalesce(F.xxhash64(trimmed(F.get(F.col("__d"), k["i"]))) == k["h1"], F.lit(False)))
