@@ -46,6 +46,19 @@ def conflicting_labels(items: DataFrame, label: str, definition: str) -> DataFra
     return total.filter("definitions > 1").select(label, "definitions", "items", pairs.alias("pairs"))
 
 
+def conflicting_items(items: DataFrame, id_col: str, label: str, definition: str) -> DataFrame:
+    """(label, id, definition, conflicts) of every item whose label has more than one definition; conflicts: how many items of the label are defined otherwise.
+
+    All conflicting pairs in a row for each item: two items conflict if they share the label
+    and not the definition. ids occur once for each label.
+    """
+    items = items.select(F.col(label).alias("label"), F.col(id_col).alias("id"), F.col(definition).alias("definition")).filter("label is not null and label <> '' and definition is not null")
+    each = items.groupBy("label", "definition").agg(F.count(F.lit(1)).alias("same"))
+    total = each.groupBy("label").agg(F.count(F.lit(1)).alias("definitions"), F.sum("same").alias("items")).filter("definitions > 1")
+    each = each.join(total, "label").select("label", "definition", (F.col("items") - F.col("same")).alias("conflicts"))
+    return items.join(each, ["label", "definition"]).select("label", "id", "definition", "conflicts")
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, conditions: list[str], order: str) -> DataFrame:
     """left with the first row of right that meets one of several equalities, the earlier ones first: two joins and a choice, not an OR join."""
     out = None

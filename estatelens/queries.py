@@ -157,12 +157,22 @@ def label_conflict_counts(spark, sf_dir):
 with m as (select l_returnflag as label, l_suppkey as id, cast(sum(cast(l_quantity as decimal(18, 2))) as double) as d from lineitem where l_suppkey <= 60 group by all)
 select l.label, l.id as left_id, r.id as right_id from m l join m r on l.label = r.label and l.id < r.id and l.d <> r.d""")
 def same_metric_pairs(spark, sf_dir):
-    """Suppliers whose metric of one name has different values."""
+    """Pairs among the first 60 suppliers whose metric of one name has different values; same_metric_conflicts has all suppliers."""
     lines = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 60")
     metric = lines.groupBy(F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("d"))
     return relational.conflicting_pairs(metric, "id", "label", "d")
 
 
+@query("""
+with m as (select l_returnflag as label, l_suppkey as id, cast(sum(cast(l_quantity as decimal(18, 2))) as double) as definition from lineitem group by all)
+select l.label, l.id, l.definition, (select count(*) from m r where r.label = l.label and r.definition <> l.definition) as conflicts
+from m l where l.definition is not null and conflicts > 0""")
+def same_metric_conflicts(spark, sf_dir):
+    """Every supplier whose metric of one name differs from another supplier's, with the value and the number of those that differ."""
+    metric = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("d"))
+    return relational.conflicting_items(metric, "id", "label", "d")
+
+
 @query("""
 with r as (select p_partkey, row_number() over (partition by s_suppkey order by case when p_size = s_nationkey then 0 else 1 end, p_partkey) as rn, s_suppkey
            from supplier left join part on p_size = s_nationkey or p_partkey = s_suppkey)

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from estatelens import queries
 from estatelens.functions import text
 from estatelens.operators import graph, overlap, relational, semantic, usage
 from estatelens.streaming import usage as stream_usage
@@ -62,6 +63,20 @@ def test_exactly_one(spark):
             relational.exactly_one(df, F.col("x") == x)
 
 
+def test_conflicting_items_hold_all_pairs(spark):
+    rows = [("a", i, i // 2) for i in range(7)] + [("b", 1, 5), ("b", 2, 5), ("", 1, 1), ("", 2, 2), (None, 1, 1), (None, 2, 2), ("a", 99, None)]
+    items = spark.createDataFrame(rows, "l string, i int, d int")
+    got = relational.conflicting_items(items, "i", "l", "d").collect()
+    pairs = {(x.label, x.id, y.id) for x in got for y in got if x.label == y.label and x.id < y.id and x.definition != y.definition}
+    assert pairs == {tuple(r) for r in relational.conflicting_pairs(items, "i", "l", "d").collect()} and sum(r.conflicts for r in got) == 2 * len(pairs)
+
+
+def test_same_metric_conflicts_has_every_supplier(spark):
+    data = "/root/testdata/sf0.01"
+    got = {r.id for r in queries.QUERIES["same_metric_conflicts"](spark, data).select("id").distinct().collect()}
+    assert max(got) > 60 and got == {r[0] for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_suppkey").distinct().collect()}
+
+
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.canonical_text(F.lit("  Select\n\tA ")).alias("a"), text.label_name(F.lit("--Total Revenue (net)!")).alias("b"), text.relation_name(F.lit("x"), F.lit(""), F.lit(None), F.lit("y")).alias("c"),
