@@ -80,12 +80,18 @@ def log_evidence(spark, sf_dir):
 select event_id, cast(row_number() over (order by ts, event_type, user_id, event_id) as bigint) as place from events
 qualify place <= 500""")
 def log_total_order(spark, sf_dir):
-    """The first rows of the log in its total order (a report's first page)."""
+    """The first 500 rows of the log in its total order (a report's first page); log_places has all rows."""
     first = table(spark, sf_dir, "events").orderBy("ts", "event_type", "user_id", "event_id").limit(500)
     place = F.row_number().over(Window.orderBy("ts", "event_type", "user_id", "event_id"))
     return first.select("event_id", place.cast("long").alias("place"))
 
 
+@query("select event_id, cast(row_number() over (order by ts, event_type, user_id, event_id) as bigint) as place from events")
+def log_places(spark, sf_dir):
+    """The place of every row of the log in its total order."""
+    return usage.total_order(table(spark, sf_dir, "events").select("ts", "event_type", "user_id", "event_id"), ["ts", "event_type", "user_id", "event_id"]).select("event_id", "place")
+
+
 # --- overlap and duplicates ----------------------------------------------------------------------
 
 

@@ -55,6 +55,20 @@ def test_usage_bounds_are_inclusive(spark):
         usage.usage_window(log, ["k"], "ts", end, 0)
 
 
+@pytest.mark.parametrize("placed_rows", [7, 1000])
+def test_total_order_places_every_row(spark, placed_rows):
+    rows = [(None if i % 9 == 0 else i * 37 % 11, i) for i in range(200)]
+    got = {r.i: r.place for r in usage.total_order(spark.createDataFrame(rows, "k int, i int"), ["k", "i"], placed_rows).collect()}
+    assert got == {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])), 1)}
+
+
+def test_log_places_has_every_event(spark):
+    data = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    got = sorted(r.place for r in queries.QUERIES["log_places"](spark, data).collect())
+    assert n > 500 and got == list(range(1, n + 1))
+
+
 def test_exactly_one(spark):
     df = spark.createDataFrame([(1,), (2,), (2,)], "x int")
     assert relational.exactly_one(df, F.col("x") == 1).x == 1
