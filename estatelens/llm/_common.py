@@ -8,12 +8,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LAST = 2**63 - 1  # stands for a null id in orders: null ids come last
 _CHUNK, _TEXT, _ID = "__chunk", "__text", "__id"
+ROW_BYTES = 64  # what a row counts besides its text
+SORTED_IDS, SORTED_BYTES = 500_000, 16 << 20  # that a task puts in order
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,43 +42,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(df: DataFrame, column: str) -> tuple[int, int]:
-    """Rows and bytes of a text column, counted over the whole table."""
-    row = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()
-    return int(row[0]), int(row[1] or 0)
-
-
 def parts(n_bytes: int, each: int, least: int) -> int:
     return max(least, math.ceil(n_bytes / each))
 
 
-def by_id_range(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int, int]:
-    """(__chunk, __id, __text) with chunks that are ranges of ids, of about chunk_bytes of text each.
+def by_id_range(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, np.ndarray, int]:
+    """(__chunk, __id, __text) with chunks of at most about chunk_bytes of text, or one document; the range of each chunk; all bytes.
 
-    Chunk numbers rise with the ids, rows of one id share a chunk, and null ids go to
-    the last one. The bounds are quantiles of the ids of all rows; they number one for
-    each chunk, so the driver holds eight bytes for each chunk.
+    Chunk numbers rise with the ids, null ids last. Bounds are laid by cumulated bytes of the
+    ids in their order, so a chunk takes at most chunk_bytes and one id more. An id, or all null
+    ids, with more than that in several rows is a range of its own: its rows are written in the
+    order of their texts and cut into several chunks. Chunks of one range are of one id; others
+    hold whole ids. The driver holds two numbers for each chunk.
     """
-    n_rows, n_bytes = text_bytes(docs, text_col)
-    chunks = min(max(1, n_rows), parts(n_bytes, chunk_bytes, 48))
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    bounds = np.zeros(0, np.int64)
-    if chunks > 1:
-        at = [i / chunks for i in range(1, chunks)]
-        got = docs.select(ids.alias("i")).agg(F.percentile_approx("i", at, max(10_000, 20 * chunks))).first()[0]
-        bounds = np.unique(np.array(got or [], dtype=np.int64))
-    docs = docs.select(ids.alias(_ID), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(_TEXT))
-    return docs.withColumn(_CHUNK, _in_range(bounds)(F.col(_ID))).select(_CHUNK, _ID, _TEXT), len(bounds) + 1, n_bytes
-
-
-def _in_range(bounds: np.ndarray):
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias(_ID), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(_TEXT))
+    weight = F.octet_length(_TEXT).cast("long")
+    each = written(texts.groupBy(_ID).agg(F.sum(weight).alias("__bytes"), F.count(F.lit(1)).alias("__rows")), "ids").withColumn("__weight", F.col("__bytes") + ROW_BYTES * F.col("__rows"))
+    n_ids, n_bytes, total = (int(x or 0) for x in each.agg(F.count(F.lit(1)), F.sum("__bytes"), F.sum("__weight")).first())
+    most = max(1, min(chunk_bytes, -(-total // 48)))
+    split = (F.col("__rows") > 1) & (F.col("__weight") > most)
+    heavy = sorted((r[0], r[1]) for r in each.filter(split).select(_ID, "__weight").collect())
+    apart = np.array([i for i, _ in heavy], np.int64)
+    shared = _shares(each.filter(~split).select(_ID, "__weight"), [_ID], [_ID], max(1, n_ids // SORTED_IDS), most)
+    ends = [r[0] for r in shared.groupBy("__part", "__share", _place(apart)(F.col(_ID)).alias("__between")).agg(F.max(_ID)).select(f"max({_ID})").collect()]
+    bounds = np.unique(np.concatenate([np.array(ends, np.int64), apart]))
+    if not heavy:
+        return texts.withColumn(_CHUNK, _place(bounds)(F.col(_ID))).select(_CHUNK, _ID, _TEXT), np.arange(len(bounds)), n_bytes
+
+    start = F.substring(F.encode(_TEXT, "UTF-8"), 1, 256)
+    rest = F.when(F.octet_length(_TEXT) <= 256, F.rand(1)).otherwise(2.0)  # equal rows in any order, longer texts after them
+    is_heavy = _among(apart)(F.col(_ID))
+    rows = texts.filter(is_heavy).withColumn("__weight", weight + ROW_BYTES).withColumn("__start", start).withColumn("__rest", rest)
+    rows = _shares(rows, [_ID, "__start", "__rest"], [_ID, _TEXT], parts(sum(w for _, w in heavy), SORTED_BYTES, 12), most)
+    rows = written(rows.select(_ID, _TEXT, "__part", "__share"), "heavy")
+    found = sorted(tuple(r) for r in rows.select(_ID, "__part", "__share").distinct().collect())
+    count = np.ones(len(bounds), np.int64)
+    for i, n in zip(*np.unique(np.array([f[0] for f in found], np.int64), return_counts=True), strict=True):
+        count[np.searchsorted(bounds, i)] = n
+    first = np.cumsum(count) - count
+    numbers, seen = [], dict(zip(apart.tolist(), first[np.searchsorted(bounds, apart)].tolist(), strict=True))
+    for i, part, share in found:
+        numbers.append((i, part, share, seen[i]))
+        seen[i] += 1
+    numbers = docs.sparkSession.createDataFrame(numbers, f"{_ID} bigint, __part int, __share bigint, {_CHUNK} int")
+    rows = rows.join(F.broadcast(numbers), [_ID, "__part", "__share"]).select(_CHUNK, _ID, _TEXT)  # a row for each chunk
+    light = texts.filter(~is_heavy).withColumn(_CHUNK, _place(bounds, first)(F.col(_ID))).select(_CHUNK, _ID, _TEXT)
+    return light.unionByName(rows), np.repeat(np.arange(len(bounds)), count), n_bytes
+
+
+def _shares(df: DataFrame, dealt_by: list[str], order: list[str], ranges: int, most: int) -> DataFrame:
+    """df, dealt to ranges, with __part (the range) and __share: how often `most` goes into the __weight of the range's rows before. Only Spark's own sort, which spills, holds the rows."""
+    before = F.coalesce(F.sum("__weight").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.repartitionByRange(ranges, *dealt_by).withColumn("__part", F.spark_partition_id()).withColumn("__share", F.floor(before / most).cast("long"))
+
+
+def _place(bounds: np.ndarray, numbers: np.ndarray | None = None):
     @F.arrow_udf(T.IntegerType())
     def chunk(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), side="left").astype(np.int32))
+        at = np.searchsorted(bounds, ids.to_numpy(zero_copy_only=False), side="left")
+        return pa.array((at if numbers is None else numbers[at]).astype(np.int32))
 
     return chunk
 
 
+def _among(sorted_: np.ndarray):
+    @F.arrow_udf(T.BooleanType())
+    def among(ids: pa.Array) -> pa.Array:
+        ids = ids.to_numpy(zero_copy_only=False)
+        return pa.array(sorted_[np.minimum(np.searchsorted(sorted_, ids), len(sorted_) - 1)] == ids)
+
+    return among
+
+
 # --- bytes and words of a chunk, as numpy arrays -------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

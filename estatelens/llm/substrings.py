@@ -1,7 +1,8 @@
 """Removal of repeated word windows by Rabin-Karp hashes that Spark counts across the corpus.
 
 Documents are dealt to chunks that are ranges of ids, so that "starts in a document with a
-smaller id" is "starts in an earlier chunk, or in this chunk with a smaller id". Every
+smaller id" is "starts in an earlier chunk, or in this chunk with a smaller id". An id with
+more text than a chunk takes is a range of several chunks, none of which is earlier. Every
 window of every text is hashed. A chunk sends each of its hashes once, however often it
 holds it, to the bucket of the hash; a bucket finds the hashes that several chunks hold and
 answers all but the first of them; each chunk then marks its repeated windows, and windows
@@ -64,8 +65,8 @@ def window_hashes(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
     return chunks.groupBy(_CHUNK).applyInArrow(collect, f"bucket int, {_CHUNK} int, hashes binary")
 
 
-def held_before(hashes: DataFrame) -> DataFrame:
-    """For each chunk the hashes that an earlier chunk holds."""
+def held_before(hashes: DataFrame, ranges: np.ndarray) -> DataFrame:
+    """For each chunk the hashes that a chunk of an earlier range holds; ranges: that of each chunk."""
 
     def count(group: pa.Table) -> pa.Table:
         chunks, blobs = group.column(_CHUNK).to_numpy(), [from_planes(b) for b in group.column("hashes").to_pylist()]
@@ -74,7 +75,9 @@ def held_before(hashes: DataFrame) -> DataFrame:
         of = np.repeat(chunks[order], [len(blobs[i]) for i in order])
         order = np.argsort(every, kind="stable")  # sorted runs, earlier chunks first
         every, of = every[order], of[order]
-        again = ~first_of(every)
+        new = first_of(every)
+        holder = of[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        again = ranges[of] > ranges[holder]
         every, of = every[again], of[again]
         order = np.argsort(of, kind="stable")
         every, of = every[order], of[order]
@@ -89,8 +92,8 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "
     """id, n_words, n_removed, spans (removed words from start up to end) and kept (kept words joined by one space)."""
     if window < 1:
         raise ValueError("window must be 1 or more")
-    chunks, n_chunks, n_bytes = by_id_range(docs, id_col, text_col, CHUNK_BYTES)
-    answers = held_before(window_hashes(chunks, window, parts(n_bytes, BUCKET_BYTES, 48)))
+    chunks, ranges, n_bytes = by_id_range(docs, id_col, text_col, CHUNK_BYTES)
+    answers = held_before(window_hashes(chunks, window, parts(n_bytes, BUCKET_BYTES, 48)), ranges)
 
     def cut(own: pa.Table, answered: pa.Table) -> pa.Table:
         if not own.num_rows:

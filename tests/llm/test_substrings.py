@@ -5,7 +5,7 @@ import re
 import pytest
 from .helpers import ROWS, awkward
 
-from estatelens.llm import substrings
+from estatelens.llm import _common, substrings
 
 
 def brute(rows, n):
@@ -47,5 +47,28 @@ def test_spans_are_maximal(spark):
     assert [tuple(s) for s in got[2].spans] == [(1, 41)] and got[2].kept == "x y" and not got[1].spans
 
 
+def test_chunks_are_bounded_by_bytes(spark):
+    """Null ids, one id and neighbours with long texts, each more than a chunk takes."""
+    rows = [(i, f"{i} " * 5) for i in range(400)] + [(i, f"long {i} " * 200) for i in range(400, 440)] + [(None, f"null {i} " * 40) for i in range(150)] + [(7, f"same {i % 3} " * 40) for i in range(150)]
+    chunks, ranges, n_bytes = _common.by_id_range(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 4000)
+    got = sorted(tuple(r) for r in chunks.collect())
+    assert sorted((i, t) for _, i, t in got) == sorted((_common.LAST if i is None else i, t) for i, t in rows) and n_bytes == sum(len(t) for _, t in rows)
+    sizes, held = {}, {}
+    for c, i, t in got:
+        sizes[c] = sizes.get(c, 0) + len(t)
+        held.setdefault(int(ranges[c]), set()).add(i)
+    assert max(sizes.values()) < 4000 + max(len(t) for _, t in rows)
+    assert [(i, t) for _, i, t in got] == sorted((i, t) for _, i, t in got)  # chunks follow ids and texts
+    assert len({i for ids in held.values() for i in ids}) == sum(map(len, held.values()))  # an id is in one range
+
+
+def test_split_ids_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 600)
+    rnd = random.Random(8)
+    passages = [" ".join(rnd.choice("abcdefgh") for _ in range(20)) for _ in range(12)]
+    rows = [(rnd.choice([None, 3, 7, rnd.randint(0, 60)]), " ".join(rnd.choice(passages) for _ in range(rnd.randint(0, 4)))) for _ in range(200)]
+    assert run(awkward(spark, rows), 13) == brute(rows, 13)
+
+
 def test_empty_table(spark):
     assert run(awkward(spark, []), 13) == []

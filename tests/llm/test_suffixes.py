@@ -43,6 +43,13 @@ def test_equals_brute_force(spark, rows, n, more):
     assert run(awkward(spark, rows), n, **more) == brute(rows, n)
 
 
+def test_split_ids_equal_brute_force(spark, rows):
+    rnd = random.Random(9)
+    shared = [text for _, text in rows if text and len(text) > 200][:12]
+    more = [(rnd.choice([None, 30]), rnd.choice(shared)[: rnd.choice([150, 256, 300, 900])]) for _ in range(60)]
+    assert run(awkward(spark, rows + more), 30, chunk_bytes=700) == brute(rows + more, 30)
+
+
 def test_empty_table(spark):
     assert run(awkward(spark, []), 100) == []
 
