@@ -22,8 +22,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
-
 MAX_SOURCES = 2048
 SOURCE_ROWS = 200_000
 BLOCK_ROWS = 100_000
@@ -68,8 +66,8 @@ def communication_matrix(sources: list[int], shards: list[int], seed: int) -> li
 def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -> DataFrame:
     """df with `shard` (0 to shards - 1) and `slot` (0, 1, ... within the shard), in DataFrame operations only.
 
-    key: columns by which rows are told apart; they seed the random order. Select only the
-    columns that have to travel before the call.
+    key: columns by which rows are told apart; they seed the random order, so that every
+    evaluation draws the same. Select only the columns that have to travel before the call.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
@@ -92,7 +90,6 @@ def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -
     # the second permutation: shards are cut into blocks at random, blocks ordered at random, so that no task holds a shard
     blocks = max(32, math.ceil(rows / shards / BLOCK_ROWS))
     sent = sent.withColumn("__block", F.pmod(draw("block"), F.lit(blocks)).cast("int")).drop("__source", "__rank", "__ends")
-    sent = written(sent, "sharding")
     before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sent.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
     offsets = offsets.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -102,13 +99,26 @@ def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """One folder for each shard, rows in the order of their slots."""
-    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder for each shard, with files of runs of BLOCK_ROWS slots in their order, so that no task holds a shard."""
+    df.repartition("shard", F.floor(F.col("slot") / BLOCK_ROWS)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def _size(text: Column) -> Column:
+    return (F.octet_length(F.coalesce(text, F.lit(""))) + 16).cast("long")
+
+
+def _crc32(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def sharded_documents(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
+    """doc_id, text, shard and slot: the documents themselves, dealt to shards."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), _crc32(text).alias("text_crc32"), _size(text).alias("size"))
+    return shuffle_shards(rows, shards, ["doc_id", "text_crc32", "size"], seed).select("doc_id", "text", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
-    """Size, checksum, shard and slot of every document, under the law `rows`: counts differ by one at most."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
-    out = shuffle_shards(keys, shards, ["doc_id", "text_crc32", "size"], seed)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Size, checksum, shard and slot of every document, taken from the documents in their shards, under the law `rows`: counts differ by one at most."""
+    out, text = sharded_documents(docs, shards, seed), F.col("text")
+    return out.select("doc_id", _size(text).alias("size"), _crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))

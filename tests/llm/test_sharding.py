@@ -5,6 +5,7 @@ import numpy as np
 from .helpers import ROWS, awkward
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from estatelens.llm import sharding
 
@@ -49,3 +50,19 @@ def test_awkward_rows_and_order_of_input(spark):
     assert sharding.shard_documents(df.limit(0), 3).count() == 0
     wide = sharding.shuffle_shards(df, 3, ["doc_id", "text"])
     assert set(wide.columns) == set(df.columns) and dict(wide.dtypes)["slot"] == "bigint"
+
+
+def test_documents_travel_and_no_task_holds_a_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
+    rows = [(i, f"text {i % 7}") for i in range(300)] + [(None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    plan = sharding.shard_documents(df, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "crc32(" in plan.splitlines()[0]  # taken from the text after the exchange
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small partitions are put together
+    try:
+        sharding.write_shards(sharding.sharded_documents(df, 2), f"{tmp_path}/shards")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = spark.read.parquet(f"{tmp_path}/shards").withColumn("file", F.input_file_name()).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, rows))
+    assert all(len({r.file for r in got if r.shard == s}) > 1 for s in (0, 1))
