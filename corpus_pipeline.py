@@ -11,8 +11,14 @@ from estatelens.llm.queries import BPE_VOCABULARY, PIECE_VOCABULARY
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is recognised (null texts, texts without letters); the model learns from these documents' labels."""
+    """Drops null texts and texts without letters, and nothing else: any language will do, whatever its score.
+
+    The model learns from these documents' labels. Where none is labelled it has no language to
+    tell, and the letters alone decide.
+    """
     model = langid.learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(~langid.held_out(F.col("doc_id"))), PIECE_VOCABULARY)
+    if not model[0]:
+        return docs.filter(F.col("text").cast("string").rlike(r"[\p{L}\p{Nl}\p{No}]"))
     return langid.identify(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
 
 

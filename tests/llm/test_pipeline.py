@@ -62,3 +62,10 @@ def test_tokens_decode(stages):
     for r in rows:
         assert r.token_ids == library.encode(text[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.token_ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(r.token_ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_unlabelled_documents_are_kept(spark):
+    rows = [(1, "one two"), (2, None), (3, "12 - !"), (4, "Été"), (None, "three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.known_language(spark, docs, DATA)
+    assert got.columns == docs.columns and sorted(r.text for r in got.collect()) == ["one two", "three", "Été"]
