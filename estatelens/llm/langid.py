@@ -2,15 +2,20 @@
 
 The vocabulary of pieces is public and fixed; only the pieces' probabilities are learned,
 one distribution for each language, by expectation maximisation over word counts. A word
-is scored by the forward algorithm: its probability in a language is the sum, over every
-way to cut it into pieces of the vocabulary, of the product of their probabilities.
-Pieces don't cross words, so a text's likelihood is the product of its words'.
-
-The model is fitted on a bounded sample (SAMPLE_DOCS texts of each language and
-SAMPLE_WORDS distinct words in all) of the rows it may learn from; every whole text is scored.
-
-Defined results: a null text or one without letters is `und` with score 0; without any
-row to learn from every text is `und`; ties go to the first language in code-point order.
+(a letter with the letters and marks after it, lower-cased) is scored by the forward
+algorithm: its probability in a language is the sum, over every way to cut it into pieces of
+the vocabulary, of the product of their probabilities. Pieces don't cross words, so a text's
+likelihood is the product of its words'. Words of any length are summed whole: those of more
+than WIDE characters one by one, in logarithms.
+
+The model is fitted on a bounded sample of labelled rows (SAMPLE_DOCS texts of each language,
+whole); every whole text is scored.
+
+Defined results: a null text or one without letters is `und` with score 0 (digits, fractions
+and numerals are no letters); without any row to learn from every text is `und`; ties go to the
+first language in code-point order; repeated rows are scored alike, and count as often as they
+occur when they are learned from; a very long text is scored whole by one task; columns named
+lang_pred or score are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -24,14 +29,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 400
-SAMPLE_WORDS = 200_000
 EM_ROUNDS = 3
-LONGEST = 48  # longer words are cut into runs of so many characters
+WIDE = 32  # characters up to which products of probabilities stay within a double's range
 CACHED_WORDS = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+ASCII_WORD = re.compile("[a-z]+")
 MARK = "▁"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, for learning and scoring alike."""
+    if not text:
+        return []
+    text = text.lower()
+    if text.isascii():
+        return ASCII_WORD.findall(text)
+    import regex
+
+    return regex.findall(r"\p{L}[\p{L}\p{M}]*", text)
+
+
 def vocabulary(path: str) -> list[str]:
     """The lower-case pieces of a sentencepiece vocabulary that hold nothing but letters, with the mark of a word's start."""
     import sentencepiece
@@ -66,10 +82,9 @@ class Segmenter:
             alpha[at, j] += alpha[at, i] * prob[ids]
         return alpha
 
-    def expected(self, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, by language; weight: words by languages."""
-        cuts = list(self.lattice(words))
-        alpha, beta = np.zeros((2, len(words), len(words[0]) + 1, prob.shape[1]))
+    def expected(self, cuts: list, shape: tuple, weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece, by language; cuts: the lattice of `shape` (words, characters); weight: words by languages."""
+        alpha, beta = np.zeros((2, shape[0], shape[1] + 1, prob.shape[1]))
         alpha[:, 0], beta[:, -1] = 1, 1
         for i, j, at, ids in cuts:
             alpha[at, j] += alpha[at, i] * prob[ids]
@@ -83,9 +98,33 @@ class Segmenter:
                 out[:, k] += np.bincount(ids, use[:, k], self.size)
         return out
 
-
-def marked(word: str) -> list[str]:
-    return [(MARK if i == 0 else "") + word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    def ends_at(self, word: str, j: int) -> tuple[list[int], list[int]]:
+        """Where the pieces of a word that end at j begin, and which they are."""
+        found = [(i, self.index.get(word[i:j], 0)) for i in range(max(0, j - self.longest), j)]
+        found = [(i, p) for i, p in found if p or i == j - 1]
+        return [i for i, _ in found], [p for _, p in found]
+
+    def log_forward(self, word: str, log_prob: np.ndarray) -> np.ndarray:
+        """The logarithm of one word's sum over all segmentations; only the last `longest` places are held."""
+        n = self.longest + 1
+        held = np.full((n, log_prob.shape[1]), -np.inf)
+        held[0] = 0
+        for j in range(1, len(word) + 1):
+            begin, ids = self.ends_at(word, j)
+            held[j % n] = np.logaddexp.reduce(held[[i % n for i in begin]] + log_prob[ids], axis=0)
+        return held[len(word) % n]
+
+    def log_expected(self, word: str, weight: np.ndarray, log_prob: np.ndarray, out: np.ndarray) -> None:
+        """Adds one word's expected uses to out, in logarithms."""
+        cuts = [self.ends_at(word, j) for j in range(1, len(word) + 1)]
+        alpha, beta = np.full((2, len(word) + 1, log_prob.shape[1]), -np.inf)
+        alpha[0], beta[-1] = 0, 0
+        for j, (begin, ids) in enumerate(cuts, 1):
+            alpha[j] = np.logaddexp.reduce(alpha[begin] + log_prob[ids], axis=0)
+        for j in range(len(word), 0, -1):
+            begin, ids = cuts[j - 1]
+            beta[begin] = np.logaddexp(beta[begin], beta[j] + log_prob[ids])
+            out[ids] += np.exp(alpha[begin] + log_prob[ids] + beta[j] - alpha[-1]) * weight
 
 
 def by_length(words: list[str], most: int = 4000):
@@ -101,18 +140,20 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str]) -> tuple[list[st
     """Languages in order, and pieces by languages; counts: words of each language."""
     langs = sorted(counts)
     seg = Segmenter(pieces)
-    parts: dict[str, np.ndarray] = {}
+    held: dict[str, np.ndarray] = {}
     for k, lang in enumerate(langs):
         for word, n in counts[lang].items():
-            for m in marked(word):
-                parts.setdefault(m, np.zeros(len(langs)))[k] += n
-    words = sorted(parts)
+            held.setdefault(MARK + word, np.zeros(len(langs)))[k] += n
+    wide, words = sorted(w for w in held if len(w) > WIDE), sorted(w for w in held if len(w) <= WIDE)
+    groups = [[words[i] for i in group] for group in by_length(words)]
+    lattices = [(list(seg.lattice(ws)), (len(ws), len(ws[0])), np.array([held[w] for w in ws])) for ws in groups]
     prob = np.full((seg.size, len(langs)), 1.0 / seg.size)
     for _ in range(EM_ROUNDS):
-        uses = np.full(prob.shape, 0.05)
-        for group in by_length(words):
-            ws = [words[i] for i in group]
-            uses += seg.expected(ws, np.array([parts[w] for w in ws]), prob)
+        uses, log_prob = np.full(prob.shape, 0.05), np.log(prob)
+        for lattice in lattices:
+            uses += seg.expected(*lattice, prob)
+        for w in wide:
+            seg.log_expected(w, held[w], log_prob, uses)
         prob = uses / uses.sum(axis=0)
     return langs, prob
 
@@ -121,7 +162,7 @@ class Identifier:
     """Scores texts; languages and pieces are the model, the cache holds words' log probabilities."""
 
     def __init__(self, langs: list[str], pieces: list[str], prob: np.ndarray):
-        self.langs, self.prob, self.seg = langs, prob, Segmenter(pieces)
+        self.langs, self.prob, self.log_prob, self.seg = langs, prob, np.log(prob), Segmenter(pieces)
         self.row: dict[str, int] = {}
         self.scores = np.zeros((1024, len(langs)))
 
@@ -134,14 +175,17 @@ class Identifier:
             self.scores = np.concatenate([self.scores[: len(self.row)], np.zeros((need, len(self.langs)))])
         base = len(self.row)
         self.row.update(zip(words, range(base, base + len(words)), strict=True))
-        self.scores[base : base + len(words)] = 0
-        parts = [(base + i, m) for i, w in enumerate(words) for m in marked(w)]
-        for group in by_length([m for _, m in parts]):
-            alpha = self.seg.forward([parts[i][1] for i in group], self.prob)[:, -1]
-            np.add.at(self.scores, [parts[i][0] for i in group], np.log(np.maximum(alpha, 1e-300)))
+        marked = [MARK + w for w in words]
+        narrow = [i for i, w in enumerate(marked) if len(w) <= WIDE]
+        for group in by_length([marked[i] for i in narrow]):
+            alpha = self.seg.forward([marked[narrow[i]] for i in group], self.prob)[:, -1]
+            self.scores[[base + narrow[i] for i in group]] = np.log(np.maximum(alpha, 1e-300))
+        for i, w in enumerate(marked):
+            if len(w) > WIDE:
+                self.scores[base + i] = self.seg.log_forward(w, self.log_prob)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) for t in texts]
         held = self.row
         if new := {w for ws in words for w in ws if w not in held}:
             self.learn(sorted(new) if len(held) <= CACHED_WORDS else sorted({w for ws in words for w in ws}))
@@ -167,9 +211,8 @@ def learn(rows: DataFrame, pieces_path: str) -> tuple[list[str], list[str], np.n
         return [], pieces, np.zeros((len(pieces) + 1, 0))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n))) for k, n in held.items()))
-    words = rows.filter(draw < share[F.col("lang")]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts: dict[str, dict[str, float]] = {k: {} for k in held}
-    for lang, word, n in words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(SAMPLE_WORDS).collect():
+    for lang, word, n in _worded(rows.filter(draw < share[F.col("lang")])).groupBy("lang", "word").count().collect():
         counts[lang][word] = float(n)
     langs, prob = fit(counts, pieces)
     used = np.flatnonzero((prob > prob.min(axis=0) * 1.5).any(axis=1))  # pieces that no language has seen have equal, negligible shares
@@ -177,6 +220,18 @@ def learn(rows: DataFrame, pieces_path: str) -> tuple[list[str], list[str], np.n
     return langs, [pieces[i - 1] for i in used], prob[np.concatenate([[0], used])]
 
 
+def _worded(rows: DataFrame) -> DataFrame:
+    """(lang, word): the words of the rows' texts."""
+
+    def run(batches):
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            langs = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(langs)), pa.array(list(chain.from_iterable(words)), pa.string())], names=["lang", "word"])
+
+    return rows.select("lang", "text").mapInArrow(run, "lang string, word string")
+
+
 def identify(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, in place of columns of these names; no shuffle."""
     docs = docs.drop("lang_pred", "score")

@@ -37,11 +37,54 @@ def test_forward_sums_all_segmentations():
 def test_expected_uses_add_up():
     seg = langid.Segmenter(["▁", "a", "ab", "▁ab"])
     prob = np.full((seg.size, 1), 0.25)
-    uses = seg.expected(["▁abab"], np.array([[1.0]]), prob)
+    uses = seg.expected(list(seg.lattice(["▁abab"])), (1, 5), np.array([[1.0]]), prob)
     characters = sum(uses[i, 0] * len(p) for p, i in seg.index.items()) + uses[0, 0]
     assert math.isclose(characters, 5)
 
 
+def test_wide_words_are_summed_whole():
+    """The sums in logarithms equal the others, and a long word's pieces may lie anywhere in it."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "bab"]
+    seg = langid.Segmenter(pieces)
+    prob = np.random.default_rng(4).random((seg.size, 2))
+    for word in ("▁abab", "▁bbabxaab", "▁" + "ab" * 20):
+        assert np.allclose(seg.log_forward(word, np.log(prob)), np.log(seg.forward([word], prob)[0, -1]))
+        out = np.zeros(prob.shape)
+        seg.log_expected(word, np.array([1.0, 2.0]), np.log(prob), out)
+        assert np.allclose(out, seg.expected(list(seg.lattice([word])), (1, len(word)), np.array([[1.0, 2.0]]), prob))
+    one = np.log(np.full((seg.size, 1), 1e-5))
+    assert np.allclose(seg.log_forward("▁" + "x" * 5000, one), 5001 * np.log(1e-5))
+
+
+def test_words():
+    assert langid.words_of("Don't 12 STOP½") == ["don", "t", "stop"]
+    assert langid.words_of("½ ² ①② Ⅷ _ 3") == [] == langid.words_of(None)
+    assert langid.words_of("Été e\u0301te\u0301 नमस्ते") == ["été", "e\u0301te\u0301", "नमस्ते"]
+
+
+def test_predictions_against_brute_force():
+    rnd = random.Random(5)
+    counts = {lang: {} for lang in SYLLABLES}
+    for lang in SYLLABLES:
+        for w in langid.words_of(text(lang, rnd, 300)):
+            counts[lang][w] = counts[lang].get(w, 0) + 1
+    pieces = sorted({x for xs in SYLLABLES.values() for x in xs} | set("abcdefghijklmnopqrstuvwxyz") | {langid.MARK})
+    langs, prob = langid.fit(counts, pieces)
+    seg = langid.Segmenter(pieces)
+
+    def likelihood(word):
+        if not word:
+            return np.ones(len(langs))
+        return sum((prob[seg.index.get(word[:j], 0)] * likelihood(word[j:]) for j in range(1, min(len(word), 5) + 1) if word[:j] in seg.index or j == 1), np.zeros(len(langs)))
+
+    texts = [text(lang, rnd, 2) for lang in SYLLABLES for _ in range(4)]
+    got = langid.Identifier(langs, pieces, prob).predict(texts)
+    for t, lang, score in zip(texts, *got, strict=True):
+        total = np.sum([np.log(likelihood(langid.MARK + w)) for w in langid.words_of(t)], axis=0)
+        share = np.exp(total - total.max())
+        assert lang == langs[int(total.argmax())] and math.isclose(score, 1 / share.sum(), rel_tol=1e-6)
+
+
 def test_held_out_accuracy_and_contract(spark):
     df = spark.createDataFrame(corpus(), "doc_id bigint, text string, lang string")
     got = langid.predict_documents(df, PATH).collect()
@@ -64,10 +107,10 @@ def test_labels_of_held_out_rows_play_no_part(spark):
 
 
 def test_awkward_rows(spark):
-    rows = [*[(i, t) for i, t, _ in corpus(60)], (1000, None), (1001, ""), (1002, "12 34 !?"), (None, "the theing"), (1003, "x" * 70_000), (1004, "中文")]
+    rows = [*[(i, t) for i, t, _ in corpus(60)], (1000, None), (1001, ""), (1002, "12 34 !?"), (None, "the theing"), (1003, "x" * 70_000), (1004, "中文"), (1005, "½ ② Ⅷ"), (1006, "the theing"), (1006, "the theing")]
     df = awkward(spark, rows).drop("lang").join(spark.createDataFrame([(i, lang) for i, _, lang in corpus(60)], "doc_id bigint, lang string"), "doc_id", "left")
     got = {r.doc_id: r for r in langid.predict_documents(df, PATH).collect()}
-    assert len(got) == len(rows) and {got[i].lang_pred for i in (1000, 1001, 1002)} == {"und"} and got[1000].score == 0 and got[1003].lang_pred in SYLLABLES and got[None].lang_pred == "aa"
+    assert len(got) == len(rows) and {got[i].lang_pred for i in (1000, 1001, 1002, 1005)} == {"und"} and got[1000].score == 0 and got[1003].lang_pred in SYLLABLES and got[None].lang_pred == "aa"
     assert langid.predict_documents(df.limit(0), PATH).count() == 0
     unlabelled = df.drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert {r.lang_pred for r in langid.predict_documents(unlabelled, PATH).collect()} == {"und"}
