@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="estatelens-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -35,7 +37,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: lineage ends there, any executor may be lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables; whatever was derived from them must be written by then."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def set_aside(docs: DataFrame, used: list[str]):
+    """docs with the columns that aren't used under names of their own, and a function that gives the names back to a result that holds them all."""
+    names = docs.columns
+    own = [n if n in used else f"__aside_{i}" for i, n in enumerate(names)]
+    return docs.toDF(*own), lambda df, *more: df.select(*own, *more).toDF(*names, *more)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +65,11 @@ def parts(n_bytes: int, each: int, least: int) -> int:
     return max(least, math.ceil(n_bytes / each))
 
 
+def chunk_tasks(chunks: int) -> int:
+    """Into how many tasks chunks are dealt: about eight each, whatever the session's number of shuffle partitions."""
+    return max(48, math.ceil(chunks / 8))
+
+
 def by_id_range(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, np.ndarray, int]:
     """(__chunk, __id, __text) with chunks of at most about chunk_bytes of text, or one document; the range of each chunk; all bytes.
 
@@ -183,6 +207,15 @@ def windows(words: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return mix(out[at]), at
 
 
+def check_windows(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A second hash, of 32 bits, of the n words from each place on, independent of that of windows."""
+    out = np.zeros(len(at), np.uint64)
+    mixed = mix(words ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    for i in range(n):
+        out = out * np.uint64(0xD6E8FEB86659FD93) + mixed[at + i]
+    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+
+
 def planes(x: np.ndarray) -> bytes:
     """Sorted 64-bit words, byte by byte from the highest on: neighbours share high bytes, which then compress."""
     return np.ascontiguousarray(x.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()

@@ -7,8 +7,15 @@ beats any heap. Words of more than LONG parts take a heap over a linked list, wh
 doesn't grow with the square of the length. Results are those of the tokenizers library
 (no special tokens added, no truncation, no padding).
 
+The merges, the ranks and the decoding are ours throughout. Texts whose characters all lie below
+SAFE_END are normalised and split here, by Python's tables, which agree with the library's there;
+tables of case, classes and normal forms differ between Unicode versions, so texts with any
+other character take the library's own normaliser and splitter, which the results must equal.
+
 Defined results: a null text is the empty text; the strings of special tokens in a text
-are those tokens, as in the library.
+are those tokens, as in the library; null ids and repeated rows are rows like others; a very
+long text, or word, is encoded whole by one task; an empty table gives an empty result; columns
+named like an output are replaced, others are kept.
 """
 
 from __future__ import annotations

@@ -13,11 +13,16 @@ linear in a key's rows, however many they are. Pairs are verified on the words.
 within one edit one half is untouched: lines that share neither their first nor their last p
 words with another (p the largest power of two that fits twice) emit nothing.
 
+Keys are counted where they are made before they travel, so a variant that a third of all
+lines share is a row for each task; the join that brings the earliest line to a key's lines has
+exchanges of its own, which adaptive execution can split.
+
 Defined results: blank lines are neither compared nor counted; a document that loses no line
 keeps its text as it is, in others the kept lines are joined by line feeds; spaces, tabs and
 carriage returns around a line don't count; words are what single spaces separate; null texts
-stay null; null ids come last; rows of one id count as one document's place, and equal rows
-are treated alike; other columns are kept, columns named n_lines or n_removed are replaced.
+stay null; null ids come last; rows of one id (and of null ids) follow each other by a hash of
+their texts, and equal rows are treated alike; a very long text, or line, is compared whole;
+other columns are kept, columns named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import set_aside, written
 
 MIN_WORDS = 10
+ROWS_OF_ID = 1 << 16  # places that the rows of one id are spread over, by their texts
 PRIME = 2**59 - 55  # five times it fits a long
 STEP = 256  # prefix sums are summed in runs of so many words, so that long lines don't cost their square
 
@@ -88,25 +94,26 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (i == 0) | (rest(a, i + 1) == rest(b, i + 1)) | (rest(a, i + 1) == rest(b, i)) | (rest(a, i) == rest(b, i + 1))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", emptied: bool = True) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", emptied: bool = True, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text's repeated lines removed, n_lines (lines that aren't blank) and n_removed.
 
-    emptied: whether documents of which no line is left stay. (A filter on n_removed says the
+    min_words: how many words lines need to be compared for nearness; 1 compares all. emptied: whether documents of which no line is left stay. (A filter on n_removed says the
     same, but Spark would push it down and compute the lines again for each line kept.)
     """
-    docs = docs.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string"))
+    docs, named = set_aside(docs.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string")), [id_col, text_col])
     low, high, longest = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.max(F.octet_length(text_col))).first()
     low, high, stride = low or 0, high or 0, (longest or 0) + 2  # a text has no more lines than bytes and one
-    wide = "long" if (high - low + 2) * stride < 2**62 else "decimal(38,0)"
-    place = F.coalesce(F.col(id_col).cast(wide) - F.lit(low).cast(wide), F.lit(str(high - low + 1)).cast(wide))  # null ids last
-    docs = docs.withColumn("__place", place.cast(wide))
+    wide = "long" if (high - low + 2) * ROWS_OF_ID * stride < 2**62 else "decimal(38,0)"
+    order = F.coalesce(F.col(id_col).cast(wide) - F.lit(low).cast(wide), F.lit(str(high - low + 1)).cast(wide))  # null ids last
+    own = F.pmod(F.xxhash64(text_col), F.lit(ROWS_OF_ID)).cast(wide)
+    docs = docs.withColumn("__place", (order * F.lit(ROWS_OF_ID).cast(wide) + own).cast(wide))
     base = docs.select("__place", F.col(text_col).alias("text"))
 
     every = base.select("__place", F.posexplode(line_array(F.col("text"))).alias("i", "raw")).withColumn("line", trimmed(F.col("raw")))
     words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     half = lambda n: F.expr(f"shiftleft(1, length(bin(({n}) div 2)) - 1)")  # noqa: E731  the largest power of two that fits twice into n
     every = every.withColumn("n", words).withColumn("p", half("n - 1")).withColumn("q", half("n"))  # a neighbour may have one word more
-    ends = [F.when((F.col("n") >= MIN_WORDS) & (F.lit(k == "p") | (F.col("p") != F.col("q"))), F.expr(f"xxhash64({k}, substring_index(line, ' ', {sign}{k}))")).alias(f"{k}{sign}") for k in "pq" for sign in ("", "-")]
+    ends = [F.when((F.col("n") >= min_words) & (F.lit(k == "p") | (F.col("p") != F.col("q"))), F.expr(f"xxhash64({k}, substring_index(line, ' ', {sign}{k}))")).alias(f"{k}{sign}") for k in "pq" for sign in ("", "-")]
     every = every.select((F.col("__place") * F.lit(stride).cast(wide) + F.col("i").cast(wide)).cast(wide).alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), *ends)
     distinct = every.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("pos", "p", "p-", "q", "q-")])
     distinct = written(distinct, "lines")
@@ -122,7 +129,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.select("x.pos", "x.h1", "x.h2", trimmed(F.get("d", F.col("x.i"))).alias("line")).filter((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit("line"), "line") == F.col("h2")))
     texts = written(texts.select("pos", "h1", "line"), "near-lines")
 
-    keys = variant_keys(texts).repartition("key")  # dealt before they are counted: a line has a key once, so counting beforehand would save nothing
+    keys = variant_keys(texts)
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("pos"))).alias(f"by{kind}")
     earliest = keys.groupBy("key").agg(of(0), of(1), of(2), F.max("pos").alias("last")).filter("least(by0, by1, by2) < last").drop("last")
     by = F.when(F.col("kind") == 0, F.col("by1")).when(F.col("kind") == 1, F.col("by0")).otherwise(F.col("by2"))
@@ -140,7 +147,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = out.withColumn("__own", F.coalesce(F.transform(own, lambda k: F.get(F.col("__d"), k["i"])), F.array().cast("array<string>")))
     out = out.withColumn("n_removed", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__own")).cast("long"))
     out = out.withColumn(text_col, F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.array_join("__own", "\n")))
-    return out.drop("__place", "__kept", "__d", "__own")
+    return named(out, "n_lines", "n_removed")
 
 
 def _div(pos: Column, stride: int, wide: str) -> Column:
@@ -153,3 +160,20 @@ def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the text that is left; null: empty) of every document."""
     out = drop_repeated_lines(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+with a as (select doc_id, text, string_split(text, chr(10)) as raw from documents),
+l as (select doc_id, i, raw[i] as raw, trim(raw[i], ' ' || chr(9) || chr(13)) as t from (select doc_id, raw, unnest(range(1, len(raw) + 1)) as i from a)),
+n as (select * from l where t <> ''),
+f as (select t, min(doc_id * 4294967296 + i) as pos from n group by t),
+w as (select t, pos, string_split(t, ' ') as w from f where len(string_split(t, ' ')) >= 10),
+v as (select t, pos, i, array_to_string(list_concat(w[: i - 1], w[i + 1 :]), ' ') as v from (select *, unnest(range(1, len(w) + 1)) as i from w)),
+e as (select v, i, min(pos) as p from v group by all),
+gone as (select t from v join e using (v, i) where p < pos union select w.t from w join v on v.v = w.t where v.pos < w.pos union select v.t from v join w on w.t = v.v where w.pos < v.pos),
+kept as (select doc_id, count(*) as k, string_agg(raw, chr(10) order by i) as left_ from n join f using (t) where doc_id * 4294967296 + i = pos and t not in (select t from gone) group by doc_id),
+c as (select doc_id, count(*) as n from n group by doc_id)
+select a.doc_id, coalesce(n, 0) as n_lines, coalesce(n, 0) - coalesce(k, 0) as n_removed,
+       sha256(coalesce(case when coalesce(n, 0) = coalesce(k, 0) then text else coalesce(left_, '') end, '')) as kept_sha256
+from a left join c using (doc_id) left join kept using (doc_id)
+"""

@@ -12,10 +12,15 @@ Each list is first compared with its hub, the member that shares most of its ske
 others, one pair for each member. Pairs are filtered by the union sketch's estimate and
 verified on the full sets of words. What this leaves apart is compared with the rest of its
 hub's lists: in small groups pair by pair, in others block by block, where a block of
-BLOCK members meets another in one task that counts their common shingles and gives only
-links that join components. So a large group of near copies makes one row for each member
-and block, not one for each pair of members. Equal texts are one node throughout.
-Components come from rounds over written tables.
+BLOCK members meets another in one task: there, too, inverted lists of sketch values give the
+overlaps, the union sketch filters and the exact sets verify, and only links that join
+components are given. So a large group of near copies makes one row for each member
+and block, not one for each pair of members. Equal texts (by their SHA-256) are one node
+throughout. Components come from rounds over written tables. Joins on hubs have their own
+exchanges on both sides, so that adaptive execution can split the hub of a large group.
+
+The number of shingles is counted from 64-bit hashes; hashes that occur twice in a text are
+compared by their words, and a text in which two shingles share a hash is counted word by word.
 
 Defined results: null and wordless texts have empty sets and link with nothing; texts under
 five words have one shingle, all their words; null ids come last, have a null component and
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LAST, first_of, mix, windows, written
+from ._common import LAST, first_of, forget, mix, set_aside, windows, written
 from .components import components
 
 SHINGLE = 5
@@ -45,6 +50,7 @@ MARGIN = 0.35  # of the estimate, 4.6 standard deviations at k = 32
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL_GROUP = 4096  # pairs
 BLOCK = 256
+HELD_SHINGLES = 200_000  # of hubs' sets that a task keeps at hand
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
@@ -80,9 +86,15 @@ def sketches(texts: list[str | None], hasher: Hasher, n: int, k: int) -> list[tu
     starts = np.concatenate([[0], np.cumsum(sizes)])
     out = []
     for i, size in enumerate(sizes):
+        count = None
         if size >= n:
-            own = np.sort(values[ends[i] : ends[i + 1]])
-            own = own[first_of(own)]
+            order = ends[i] + np.argsort(values[ends[i] : ends[i + 1]], kind="stable")
+            own = values[order]
+            new = first_of(own)
+            again = np.flatnonzero(~new)
+            if len(again) and any((hashes[at[order[again]] + j] != hashes[at[order[again - 1]] + j]).any() for j in range(n)):
+                count = len(shingles(words[i], n))
+            own = own[new]
         elif size:  # fewer words than a shingle: the words and their number
             own = np.array([size], np.uint64)
             for h in hashes[starts[i] : starts[i] + size]:
@@ -90,7 +102,7 @@ def sketches(texts: list[str | None], hasher: Hasher, n: int, k: int) -> list[tu
             own >>= np.uint64(1)
         else:
             own = np.zeros(0, np.uint64)
-        out.append((len(own), own[:k]))
+        out.append((len(own) if count is None else count, own[:k]))
     return out
 
 
@@ -106,21 +118,23 @@ def sketched(docs: DataFrame, n: int = SHINGLE, k: int = SKETCH) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for _, v in found])]), pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array([s for s, _ in found], pa.int64()), lists], names=["id", "node", "size", "sketch"])
 
-    return docs.select("id", F.unhex(F.md5("text")).alias("node"), "text").mapInArrow(run, "id bigint, node binary, size bigint, sketch array<bigint>")
+    return docs.select("id", _node("text").alias("node"), "text").mapInArrow(run, "id bigint, node binary, size bigint, sketch array<bigint>")
 
 
 def jaccard_links(pairs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """The pairs (a, b, text_a, text_b) whose full sets of shingles reach the Jaccard index, verified on the words themselves."""
 
     def run(batches):
-        key, right = None, set()
+        held: dict[bytes, set] = {}
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 keep = []
                 for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
-                    if b != key:
-                        key, right = b, shingles(word_list(text_b), n)
-                    left = shingles(word_list(text_a), n)
+                    if b not in held:
+                        if sum(map(len, held.values())) > HELD_SHINGLES:
+                            held.clear()
+                        held[b] = shingles(word_list(text_b), n)
+                    left, right = shingles(word_list(text_a), n), held[b]
                     both = len(left & right)
                     keep.append(both > 0 and 100 * both >= similar * (len(left) + len(right) - both))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
@@ -129,7 +143,7 @@ def jaccard_links(pairs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) ->
 
 
 def _node(text_col: str):
-    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -155,16 +169,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     # what the stars have left apart, against all members of the hub's lists
     root = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     held = members.join(root("a"), "a", "left").join(root("b"), "b", "left").select("b", "a", "size", F.coalesce("root_a", "a").alias("root"), F.coalesce("root_b", "b").alias("hub_root"))
-    held = written(held.withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "held")
-    count = held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2")
+    held = written_held = written(held.withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "held")
+    count = written(held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2"), "groups")
     held = held.join(count, "b")
     small = held.filter(F.col("few") * F.col("all") <= SMALL_GROUP)
     left = small.filter("apart").select("b", F.col("a").alias("l"), F.col("root").alias("l_root"), F.col("size").alias("l_size"))
     across = left.join(small.select("b", F.col("a").alias("r"), "root", "size"), "b").filter(f"root <> l_root and 100 * least(size, l_size) >= {SIMILAR} * greatest(size, l_size)")
     across = across.select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct()
-    more = verified(across, nodes, texts).union(blockwise(held.filter(F.col("few") * F.col("all") > SMALL_GROUP), texts))
-    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-    return every.drop("sketch"), components(edges)
+    more = verified(across, nodes, texts), blockwise(held.filter(F.col("few") * F.col("all") > SMALL_GROUP), texts, nodes)
+    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more[0]).union(more[1])
+    roots = components(edges)
+    forget(nodes, lists, members, texts, links, written_held, count, *more)
+    return every.drop("sketch"), roots
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,13 +195,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, one row of each group of near copies: that of the smallest id (of equal rows, any). Wordless texts all stay."""
+    docs, named = set_aside(docs, [id_col, text_col])
     every, roots = groups(docs, id_col, text_col)
     nodes = every.filter("size > 0").groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = nodes.groupBy("root").agg(F.min(F.struct("id", "node")).alias("s")).select(F.col("s.id").alias("__id"), F.col("s.node").alias("__node"))
     keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("__node", _node(text_col))
     wordless = F.coalesce(~F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     chosen = keyed.filter(~wordless).join(stays, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
-    return chosen.unionByName(keyed.filter(wordless)).drop("__id", "__node")
+    return named(chosen.unionByName(keyed.filter(wordless)))
 
 
 def postings(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -200,15 +217,15 @@ def postings(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     return shared.select("node", "size", F.size("held").alias("shared"), F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("v")).select(F.col("v.value").alias("value"), "node", "size", "shared")
 
 
-def blockwise(held: DataFrame, texts: DataFrame) -> DataFrame:
+def blockwise(held: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) between members (a, root) of large groups (b) that lie apart and all members of the group, in blocks."""
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     own = lambda c: F.pmod(F.xxhash64("a"), parts(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
     rows = held.filter("apart").select("b", own("few").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "a", "root")
     rows = rows.union(held.select("b", every("few"), own("all"), F.lit(1), "a", "root"))
-    rows = rows.join(texts.select(F.col("node").alias("a"), "text"), "a").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
-    return written(rows.select("b", "i", "j", "side", "a", "root", "text").mapInArrow(_block_links, "a binary, b binary"), "block-links")
+    rows = rows.join(texts.join(nodes, "node").select(F.col("node").alias("a"), "text", "sketch"), "a").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
+    return written(rows.select("b", "i", "j", "side", "a", "root", "text", "sketch").mapInArrow(_block_links, "a binary, b binary"), "block-links")
 
 
 def _block_links(batches):
@@ -218,19 +235,27 @@ def _block_links(batches):
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     for _, group in itertools.groupby(rows(), key=lambda r: r[:3]):
-        found = joining_links([(r[3], r[4], r[5], shingles(word_list(r[6]))) for r in group])
+        found = joining_links([(r[3], r[4], r[5], shingles(word_list(r[6])), np.array(r[7], np.int64)) for r in group])
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
 
-def joining_links(members: list[tuple], similar: int = SIMILAR) -> list[tuple]:
-    """Links between members of side 0 and of side 1, (side, node, root, set): as many as join their components, found from exact counts of common shingles."""
+def joining_links(members: list[tuple], similar: int = SIMILAR, k: int = SKETCH) -> list[tuple]:
+    """Links between members of side 0 and of side 1, (side, node, root, set, sketch): as many as join their components.
+
+    Inverted lists of the sketches' values give the overlaps; pairs that the union sketch lets
+    pass, and whose components are still apart, are verified on the sets.
+    """
     left, right = [m for m in members if m[0] == 0], [m for m in members if m[0] == 1]
     index: dict = {}
-    for k, m in enumerate(right):
-        for x in m[3]:
-            index.setdefault(x, []).append(k)
-    index = {x: np.array(ks) for x, ks in index.items()}
-    sizes = np.array([len(m[3]) for m in right])
+    for i, m in enumerate(right):
+        for x in m[4].tolist():
+            index.setdefault(x, []).append(i)
+    index = {x: np.array(i) for x, i in index.items()}
+    sizes, lengths = np.array([len(m[3]) for m in right]), np.array([len(m[4]) for m in right])
+    sketches = np.full((len(right), k), NO_VALUE)
+    for i, m in enumerate(right):
+        sketches[i, : len(m[4])] = m[4]
+    least = similar / 100 - MARGIN
     parent: dict = {}
 
     def root(x):
@@ -239,18 +264,40 @@ def joining_links(members: list[tuple], similar: int = SIMILAR) -> list[tuple]:
         return x
 
     out = []
-    for _, node, own, shingle_set in left:
-        met = [index[x] for x in shingle_set if x in index]
+    for _, node, own, shingle_set, sketch in left:
+        met = [index[x] for x in sketch.tolist() if x in index]
         if not met:
             continue
-        both = np.bincount(np.concatenate(met), minlength=len(right))
-        for k in np.flatnonzero(100 * both >= similar * (len(shingle_set) + sizes - both)).tolist():
-            if both[k] and root(own) != root(right[k][2]):
-                parent[root(own)] = root(right[k][2])
-                out.append((node, right[k][1]))
+        alike = 100 * np.minimum(sizes, len(shingle_set)) >= similar * np.maximum(sizes, len(shingle_set))
+        overlap = np.bincount(np.concatenate(met), minlength=len(right)) * alike
+        near = np.flatnonzero((overlap > 0) & (overlap >= np.maximum(lengths, len(sketch)) * least))  # no more than that is in the union's sketch
+        near = near[shared_of_union(sketch, sketches[near], k) >= least] if len(near) else near
+        for i in near.tolist():
+            _, other, its, its_set, _ = right[i]
+            if root(own) == root(its):
+                continue
+            both = len(shingle_set & its_set)
+            if both and 100 * both >= similar * (len(shingle_set) + len(its_set) - both):
+                parent[root(own)] = root(its)
+                out.append((node, other))
     return out
 
 
+NO_VALUE = np.iinfo(np.int64).max
+
+
+def shared_of_union(sketch: np.ndarray, others: np.ndarray, k: int) -> np.ndarray:
+    """For each of the others (rows, filled up with NO_VALUE) the share of the union's k smallest values that both have."""
+    both = np.sort(np.concatenate([np.broadcast_to(sketch, (len(others), len(sketch))), others], axis=1), axis=1)
+    again = both[:, 1:] == both[:, :-1]
+    value = both != NO_VALUE
+    new = value.copy()
+    new[:, 1:] &= ~again
+    rank = np.cumsum(new, axis=1)
+    shared = (again & value[:, 1:] & (rank[:, 1:] <= k)).sum(axis=1)
+    return shared / np.minimum(rank[:, -1], k)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int = SKETCH) -> DataFrame:
     """The pairs (a, b) of nodes that pass the union sketch's estimate and then the exact index; a written table."""
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
@@ -261,8 +308,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int = SKET
     likely = both.filter(shared >= F.size(union) * (SIMILAR / 100 - MARGIN)).select("a", "b")
     likely = written(likely, "likely")
     out = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    out = out.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("b")
-    return written(jaccard_links(out), "links")
+    out = out.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    out = written(jaccard_links(out), "links")
+    forget(likely)
+    return out
 
 
 ORACLE_SQL = """

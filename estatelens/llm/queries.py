@@ -53,4 +53,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffixes, op2_sharding, op3_warc, op4_substrings, op5_bpe, op6_lines, op7_language_id, op8_decontamination, op9_topk, op10_minhash)}
-ORACLES = {"op3_warc": warc.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
+ORACLES = {"op1_suffixes": suffixes.ORACLE_SQL, "op3_warc": warc.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op6_lines": lines.ORACLE_SQL, "op9_topk": topk.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}

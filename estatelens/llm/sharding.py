@@ -6,11 +6,12 @@ the sources before it have drawn, so that its sums are the source sizes and the
 sizes. Each source permutes its rows and cuts them by its row of the matrix; rows are
 exchanged; each shard permutes what it has received. The result is a uniform shuffle
 whose shard sizes differ by one at most. Only the matrix is made on the driver: sources
-times shards whole numbers, at most MAX_SOURCES rows, whatever the table's size.
+times shards whole numbers, of at most MOST_SOURCES sources. Sources and shards of any size are
+permuted in cells of about BLOCK_ROWS rows, drawn at random, so no task orders a whole one.
 
-Defined results: rows that are equal in every column used are interchangeable; null ids
-and null texts are values like others; an empty table gives an empty result; columns
-named like an output column are replaced by it.
+Defined results: rows that are equal in every column used are interchangeable, and share a
+cell; null ids and null texts are values like others; a very long text is a row like others; an
+empty table gives an empty result; columns named like an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SOURCES = 2048
+MOST_SOURCES = 2048  # rows of the matrix; more rows make larger sources, in more cells
 SOURCE_ROWS = 200_000
 BLOCK_ROWS = 100_000
 
@@ -72,30 +73,32 @@ def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -
     if shards < 1:
         raise ValueError("shards must be 1 or more")
     spark, rows = df.sparkSession, df.count()
-    sources = max(1, min(MAX_SOURCES, max(64, math.ceil(rows / SOURCE_ROWS))))
+    sources = min(MOST_SOURCES, max(64, math.ceil(rows / SOURCE_ROWS)))
 
     def draw(salt: str) -> Column:
         return F.xxhash64(F.lit(f"{seed}/{salt}"), *[F.col(c) for c in key])
 
+    def permuted(df: DataFrame, group: str, groups: int, least: int, salt: str) -> DataFrame:
+        """df with `__at`: 0, 1, ... within its group, at random."""
+        cells = max(least, math.ceil(rows / groups / BLOCK_ROWS))
+        within = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(draw(salt), *key)) - 1
+        if cells == 1:
+            return df.withColumn("__at", within(group).cast("long"))
+        df = df.withColumn("__cell", F.pmod(draw(f"{salt} cell"), F.lit(cells)).cast("int"))
+        before = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = df.groupBy(group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
+        offsets = offsets.select(group, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        return df.join(offsets, [group, "__cell"]).withColumn("__at", (F.col("__before") + within(group, "__cell")).cast("long")).drop("__cell", "__before")
+
     df = df.drop("shard", "slot").withColumn("__source", F.pmod(draw("source"), F.lit(sources)).cast("int"))
     held = {r[0]: r[1] for r in df.groupBy("__source").count().collect()}
     matrix = communication_matrix([held.get(p, 0) for p in range(sources)], shard_sizes(rows, shards), seed)
     ends = json.dumps([np.cumsum(row).tolist() for row in matrix])
     cuts = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<bigint>>")).alias("__source", "__ends"))
 
-    local = Window.partitionBy("__source").orderBy(draw("local"), *key)
-    sent = df.withColumn("__rank", F.row_number().over(local) - 1).join(F.broadcast(cuts), "__source")  # MAX_SOURCES rows at most
-    sent = sent.withColumn("shard", F.size(F.filter("__ends", lambda end: end <= F.col("__rank"))))
-
-    # the second permutation: shards are cut into blocks at random, blocks ordered at random, so that no task holds a shard
-    blocks = max(32, math.ceil(rows / shards / BLOCK_ROWS))
-    sent = sent.withColumn("__block", F.pmod(draw("block"), F.lit(blocks)).cast("int")).drop("__source", "__rank", "__ends")
-    before = Window.partitionBy("shard").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sent.groupBy("shard", "__block").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = offsets.select("shard", "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("shard", "__block").orderBy(draw("slot"), *key)
-    out = sent.join(offsets, ["shard", "__block"]).withColumn("slot", (F.col("__before") + F.row_number().over(within) - 1).cast("long"))
-    return out.drop("__block", "__before")
+    sent = permuted(df, "__source", sources, 1, "local").join(F.broadcast(cuts), "__source")  # MOST_SOURCES rows at most
+    sent = sent.withColumn("shard", F.size(F.filter("__ends", lambda end: end <= F.col("__at")))).drop("__source", "__ends", "__at")
+    return permuted(sent, "shard", shards, 32, "slot").withColumnRenamed("__at", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -7,7 +7,8 @@ runs of neighbouring strings with one anchor are kept together as one piece of t
 strings have equal anchors, so each bucket of anchors can be settled for itself. Pieces whose
 anchor occurs once in the corpus hold no repeated string and stay at home; a piece that occurs
 often travels once from each chunk of documents. An anchor that more than HOT_CHUNKS chunks
-hold is dealt again by a second, longer anchor, so that no common passage gathers in a task.
+hold is dealt again by a second, longer anchor: what stands about a common passage spreads over
+buckets; the passage itself is still a piece from each chunk, in one bucket.
 
 In a bucket, pieces with a common anchor are cut into shards. Each shard gets the Burrows-
 Wheeler transform of its pieces. The transforms are merged by iterative interleave refinement
@@ -20,7 +21,8 @@ them into maximal spans.
 
 Defined results: a null text is empty; matches never cross documents; null ids come last,
 rows of one id follow each other in the order of their texts; texts under LENGTH bytes keep
-all; columns besides the id and the text play no part.
+all; a very long text is one chunk, which a task holds; columns besides the id and the text play
+no part.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _CHUNK, _ID, _TEXT, LAST, BASE_INV, binaries, bucket_slices, by_id_range, distinct, first_of, from_planes, is_in, joined, mix, parts, planes, powers, prefix_sums
+from ._common import _CHUNK, _ID, _TEXT, LAST, BASE_INV, binaries, bucket_slices, by_id_range, chunk_tasks, distinct, first_of, from_planes, is_in, joined, mix, parts, planes, powers, prefix_sums
 
 LENGTH = 100
 ANCHOR = 64
@@ -343,10 +345,11 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "do
     """id, n_bytes, n_removed, n_spans, spans (removed bytes from start up to end) and kept (the remaining bytes)."""
     if length < 2:
         raise ValueError("length must be 2 or more")
-    chunks, _, n_bytes = by_id_range(docs, id_col, text_col, chunk_bytes)
-    buckets = parts(n_bytes, BUCKET_BYTES, 48)
-    shared = shared_anchors(anchors(chunks, length, buckets), hot_chunks)
-    marks = settled(travelling(chunks, shared, length, buckets), length, shard_bytes)
+    chunks, ranges, n_bytes = by_id_range(docs, id_col, text_col, chunk_bytes)
+    chunks, buckets = chunks.repartition(chunk_tasks(len(ranges)), _CHUNK), parts(n_bytes, BUCKET_BYTES, 48)
+    tasks = chunk_tasks(buckets)
+    shared = shared_anchors(anchors(chunks, length, buckets).repartition(tasks, "bucket"), hot_chunks)
+    marks = settled(travelling(chunks, shared, length, buckets).repartition(tasks, "bucket"), length, shard_bytes)
 
     def cut(own: pa.Table, marked: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -387,3 +390,20 @@ def _result(ids, n_bytes, spans, kept) -> pa.Table:
 def byte_digests(docs: DataFrame) -> DataFrame:
     out = drop_repeated_bytes(docs)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+b as (select doc_id, o, least(1000, n - 99 - o) as m, substr(h, 2 * o + 1, 2198) as s from (select *, unnest(range(0, n - 99, 1000)) as o from d)),
+w as (select doc_id, o + i as i, md5(substr(s, 2 * i - 1, 200)) as k from (select *, unnest(range(1, m + 1)) as i from b)),
+f as (select k, min(doc_id * 4294967296 + i) as place from w group by k having count(*) > 1),
+m as (select doc_id, i from w join f using (k) where doc_id * 4294967296 + i > place),
+s as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true) as new from m),
+g as (select doc_id, i, sum(new::int) over (partition by doc_id order by i) as g from s),
+spans as (select doc_id, min(i) as a, max(i) + 99 as b from g group by doc_id, g),
+p as (select doc_id, a, b, substr(h, 2 * coalesce(lag(b) over o, 0) + 1, 2 * (a - coalesce(lag(b) over o, 0) - 1)) as piece from spans join d using (doc_id) window o as (partition by doc_id order by a)),
+r as (select doc_id, count(*) as n_spans, sum(b - a + 1) as n_removed, string_agg(piece, '' order by a) as pieces, max(b) as last from p group by doc_id)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(pieces, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join r using (doc_id)
+"""

@@ -7,11 +7,16 @@ code within distance segments * r + j is known to have been met (by the pigeonho
 principle), so it stops as soon as the k-th verified distance is that small, and the result
 is exact.
 
-Codes are dealt to shards of bounded size, each with its own index; the stated queries meet
-all shards in blocks, packed as bytes, and the best k of each shard are merged. Ties go to
-the smaller id. Defined results: a null vector, and a null component's vector, is neither
-found nor searched for; null ids are not searched for and come last; a query meets itself,
-at distance 0; rows that are equal are found as often as they occur.
+Codes are dealt to shards of bounded size, each with its own index; the stated queries come to
+every shard in blocks, packed as bytes. A task builds a shard's index once, streams up to
+BLOCKS_A_TASK blocks of queries past it, and holds one of them at a time; only where there are
+more does another task build that index again. The best k of each shard are merged.
+
+Ties go to the smaller id. Defined results: a null or empty vector, and one with a null
+component, is neither found nor searched for; null ids are not searched for and come last; a
+query meets itself, at distance 0; rows that are equal are found as often as they occur, and
+asked once; rows of one id with different codes are queries with a list each; vectors of
+different lengths are an error; columns besides the id and the vector play no part.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from ._common import LAST
 
 SHARD_CODES = 1 << 17
 BLOCK_QUERIES = 2048
+BLOCKS_A_TASK = 64
 
 
 def pack(signs: np.ndarray) -> np.ndarray:
@@ -109,30 +115,36 @@ def nearest_codes(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str
     """query_id, rank (from 1), neighbour_id and distance: the k rows nearest to each query in Hamming distance of sign codes."""
     whole = F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
     rows = rows.filter(whole).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(vector).alias("v"))
-    queries = queries.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    queries = queries.filter(whole & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: (x > 0).cast("float")).alias("v")).distinct()
     n, widths = rows.agg(F.count(F.lit(1)), F.collect_set(F.size("v"))).first()
     if len(widths) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(widths)[:5]}")
     n_queries = queries.count()
     shards, blocks = max(1, min(8, n // 4096), math.ceil(n / SHARD_CODES)), max(1, math.ceil(n_queries / BLOCK_QUERIES))
     deal = lambda df, parts, name: df.withColumn(name, F.pmod(F.xxhash64(F.lit(name), "id", "v"), F.lit(parts)).cast("int"))
-    index = _packed(deal(rows, shards, "shard"), "shard", "v", "id")
-    asked = _packed(deal(queries, blocks, "block"), "block", "v", "id").withColumnsRenamed({"ids": "q_ids", "codes": "q_codes", "n": "q_n"})
-    met = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(index.hint("shuffle_hash"), "shard")
+    groups = math.ceil(blocks / BLOCKS_A_TASK)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    index = _packed(deal(rows, shards, "shard"), "shard", "v", "id").select("shard", every(groups, "group"), F.lit(-1).alias("block"), "ids", "codes", "n")
+    asked = _packed(deal(queries, blocks, "block"), "block", "v", "id").select(every(shards, "shard"), F.floor(F.col("block") / BLOCKS_A_TASK).cast("int").alias("group"), "block", "ids", "codes", "n")
 
     def search(batches):
+        at, multi = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                multi = MultiIndex(np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1), ids)
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                out = [multi.search(q, k) for q in np.frombuffer(row["q_codes"], np.uint8).reshape(row["q_n"], -1)]
+                ids, codes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["codes"], np.uint8).reshape(row["n"], -1)
+                if row["block"] < 0:  # a shard comes before its queries
+                    at, multi = (row["shard"], row["group"]), MultiIndex(codes, ids)
+                    continue
+                if at != (row["shard"], row["group"]):
+                    continue  # a shard without codes
+                out = [multi.search(q, k) for q in codes]
                 sizes = [len(d) for d, _ in out]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate([i for _, i in out])), pa.array(np.concatenate([d for d, _ in out]))], names=["query_id", "neighbour_id", "distance"])
+                query = pa.array([q.tobytes() for q in codes], pa.binary()).take(pa.array(np.repeat(np.arange(len(codes)), sizes)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), query, pa.array(np.concatenate([i for _, i in out])), pa.array(np.concatenate([d for d, _ in out]))], names=["query_id", "query", "neighbour_id", "distance"])
 
-    found = met.repartition(min(4096, shards * blocks), F.col("shard"), F.col("block"))  # by work: a few bytes are many comparisons
-    found = found.mapInArrow(search, "query_id bigint, neighbour_id bigint, distance bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
+    met = index.union(asked).repartition(min(65536, shards * groups), "shard", "group").sortWithinPartitions("shard", "group", "block")
+    found = met.mapInArrow(search, "query_id bigint, query binary, neighbour_id bigint, distance bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "neighbour_id"))
     found = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return found.select("query_id", "rank", F.when(F.col("neighbour_id") != LAST, F.col("neighbour_id")).alias("neighbour_id"), "distance")
 
@@ -144,9 +156,10 @@ def search_embeddings(vectors: DataFrame, k: int = 10, every: int = 100) -> Data
 
 ORACLE_SQL = """
 with c as (select vec_id, list_transform(embedding, lambda x: x > 0) as code from embeddings where embedding is not null),
-d as (select q.vec_id as query_id, r.vec_id as neighbour_id,
+q as (select distinct vec_id, code from c where vec_id % 100 = 0),
+d as (select q.vec_id as query_id, q.code, r.vec_id as neighbour_id,
              cast(len(list_filter(list_zip(q.code, r.code), lambda p: p[1] <> p[2])) as bigint) as distance
-      from c q, c r where q.vec_id % 100 = 0),
-k as (select *, cast(row_number() over (partition by query_id order by distance, neighbour_id) as integer) as rank from d)
+      from q, c r),
+k as (select *, cast(row_number() over (partition by query_id, code order by distance, neighbour_id) as integer) as rank from d)
 select query_id, rank, neighbour_id, distance from k where rank <= 10
 """

@@ -63,6 +63,27 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_union_sketch_estimate():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for k, na, nb in ((32, 200, 180), (32, 10, 14), (8, 8, 3)):
+        a = np.sort(rng.choice(300, na, replace=False)).astype(np.int64)
+        others = [np.sort(rng.choice(300, nb, replace=False)).astype(np.int64) for _ in range(5)]
+        rows = np.full((5, k), minhash.NO_VALUE)
+        for i, b in enumerate(others):
+            rows[i, : min(k, nb)] = b[:k]
+        want = [len(set(u := np.union1d(a[:k], b[:k])[:k]) & set(a[:k]) & set(b[:k])) / len(u) for b in others]
+        assert np.allclose(minhash.shared_of_union(a[:k], rows, k), want)
+
+
+def test_shingles_of_one_hash_are_counted_apart(monkeypatch):
+    true = minhash.windows
+    monkeypatch.setattr(minhash, "windows", lambda words, of, n: (true(words, of, n)[0] & minhash.np.uint64(6), true(words, of, n)[1]))
+    text = " ".join(f"w{i % 40}" for i in range(100))
+    assert minhash.sketches([text], minhash.Hasher(), 5, 32)[0][0] == len(minhash.shingles(minhash.word_list(text)))
+
+
 def test_one_of_each(spark):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in minhash.one_of_each(awkward(spark, ROWS)).collect())
     expected = [(1, ROWS[0][1]), (2, ""), (3, ""), (4, "  \t\n "), (6, ROWS[7][1]), (8, ROWS[9][1]), (9, "x")]

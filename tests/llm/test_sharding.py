@@ -35,6 +35,19 @@ def test_counts_slots_and_checksums(spark):
     assert all(r.size == len(text[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r.law == "rows" and r.grown_shard is None for r in got)
 
 
+def test_large_sources_in_cells(spark, monkeypatch):
+    """Sources and shards of many cells: every row once, exact sizes, gapless slots, uniform."""
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(sharding, "MOST_SOURCES", 3)
+    df = spark.createDataFrame([(i, "t") for i in range(4000)], "doc_id bigint, text string")
+    got = sharding.shard_documents(df, shards=4).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(1000))
+    counts = Counter((r.doc_id // 1000, r.shard, r.slot // 500) for r in got)
+    assert sum((counts[a, b, c] - 125) ** 2 / 125 for a in range(4) for b in range(4) for c in range(2)) < 61.1
+
+
 def test_uniform(spark):
     """Neighbours in the input land in all shards alike (chi-squared far below its 0.1 % bound)."""
     df = spark.createDataFrame([(i, "t") for i in range(4000)], "doc_id bigint, text string")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from .helpers import ROWS, awkward
 
@@ -70,5 +71,20 @@ def test_split_ids_equal_brute_force(spark, monkeypatch):
     assert run(awkward(spark, rows), 13) == brute(rows, 13)
 
 
+def test_hashes_that_collide_are_told_apart(spark, monkeypatch):
+    """With hashes of 8 bits the second hash alone decides."""
+    true = _common.windows
+
+    def coarse(words, of, n):
+        hashes, at = true(words, of, n)
+        return hashes & np.uint64(0xFF << 56), at
+
+    monkeypatch.setattr(substrings, "windows", coarse)
+    rnd = random.Random(4)
+    passages = [" ".join(rnd.choice("abcdefgh") for _ in range(20)) for _ in range(12)]
+    rows = [(i, " ".join(rnd.choice(passages) for _ in range(rnd.randint(0, 4)))) for i in range(120)]
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string"), 13) == brute(rows, 13)
+
+
 def test_empty_table(spark):
     assert run(awkward(spark, []), 13) == []

@@ -35,6 +35,23 @@ def test_large_index_has_wide_segments():
         assert ids.tolist() == order.tolist() and dist.tolist() == d[order].tolist()
 
 
+def test_shards_meet_blocks_of_queries(spark, monkeypatch):
+    """Several shards, blocks and tasks for each shard."""
+    monkeypatch.setattr(topk, "SHARD_CODES", 150)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 20)
+    monkeypatch.setattr(topk, "BLOCKS_A_TASK", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=24).tolist()) for i in range(600)]
+    got = topk.search_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=5, every=4)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, [r for r in rows if r[0] % 4 == 0], 5)
+
+
+def test_queries_of_one_id_have_a_list_each(spark):
+    rows = [(100, [1.0, 1.0, 1.0]), (100, [-1.0, -1.0, -1.0]), (100, [-2.0, -1.0, -3.0]), (3, [1.0, 1.0, -1.0])]
+    got = sorted(map(tuple, topk.search_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=2).collect()))
+    assert got == [(100, 1, 100, 0), (100, 1, 100, 0), (100, 2, 3, 1), (100, 2, 100, 0)]
+
+
 def test_awkward_rows(spark):
     rows = [(0, [1.0, -1.0]), (100, None), (200, [1.0, None]), (300, []), (None, [1.0, -1.0]), (7, [-1.0, -1.0]), (7, [-1.0, -1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").selectExpr("*", "'x' as id", "1 as shard", "2 as rank")
