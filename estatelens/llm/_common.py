@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +64,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(name: str, key, make: Callable):
+    """What make gives, kept in the Python process between tasks: one thing for each name, that of the last key."""
+    held = sys.modules.setdefault("_estatelens_held", types.ModuleType("_estatelens_held")).__dict__.setdefault("kept", {})
+    if name not in held or held[name][0] != key:
+        held[name] = key, make()
+    return held[name][1]
+
+
 def parts(n_bytes: int, each: int, least: int) -> int:
     return max(least, math.ceil(n_bytes / each))
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ._common import forget, written
 
 
+def apart(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right on a key, right's rows in an exchange of their own: where right was grouped by the key, the join would else run in the grouping's tasks, and adaptive execution couldn't split a key of very many rows."""
+    both = left.join(right.withColumn("__key", F.struct(key)).drop(key), F.struct(left[key]) == F.col("__key"))
+    return both.drop("__key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node of the component.
 
@@ -19,12 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(links)
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")  # so that a node of very many neighbours can be split in the join
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = apart(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
         links, done = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links"), links
-        forget(done, least)
+        forget(done)
         state, before = _state(links), state
         if state == before:
             break

@@ -31,6 +31,7 @@ it; a column named `leaks` is replaced, other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BASE, hash_spans, is_in, joined, mix, prefix_sums, windows, word_spans
+from ._common import BASE, hash_spans, is_in, joined, kept, mix, prefix_sums, windows, word_spans
 
 EDITS = 0.2
 TARGET_RECALL = 0.95
@@ -301,8 +302,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Dat
 def _search(ids: list[int | None], item_texts: list[bytes], text_col: str):
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("words", pa.int32()), ("distance", pa.int32())]))
 
+    digest = hashlib.sha256(repr((ids, item_texts)).encode()).hexdigest()
+
     def run(batches):
-        items = Items(ids, item_texts)
+        items = kept("items", digest, lambda: Items(ids, item_texts))
         for batch in batches:
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
             found, held, size = [], [], 0

@@ -20,6 +20,7 @@ lang_pred or score are replaced, others are kept.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from itertools import chain
 
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept
+
 SAMPLE_DOCS = 400
 EM_ROUNDS = 3
 WIDE = 32  # characters up to which products of probabilities stay within a double's range
@@ -235,10 +238,10 @@ def _worded(rows: DataFrame) -> DataFrame:
 def identify(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, in place of columns of these names; no shuffle."""
     docs = docs.drop("lang_pred", "score")
-    names = docs.columns
+    names, digest = docs.columns, hashlib.sha256(repr(model[:2]).encode() + model[2].tobytes()).hexdigest()
 
     def run(batches):
-        scorer = Identifier(*model)
+        scorer = kept("identifier", digest, lambda: Identifier(*model))  # with the words that other tasks have met
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 langs, scores = scorer.predict(batch.column(text_col).to_pylist())

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LAST, first_of, forget, mix, set_aside, windows, written
-from .components import components
+from .components import apart, components
 
 SHINGLE = 5
 SKETCH = 32
@@ -170,8 +170,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     root = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     held = members.join(root("a"), "a", "left").join(root("b"), "b", "left").select("b", "a", "size", F.coalesce("root_a", "a").alias("root"), F.coalesce("root_b", "b").alias("hub_root"))
     held = written_held = written(held.withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "held")
-    count = written(held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2"), "groups")
-    held = held.join(count, "b")
+    count = held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2")
+    held = apart(held, count, "b")
     small = held.filter(F.col("few") * F.col("all") <= SMALL_GROUP)
     left = small.filter("apart").select("b", F.col("a").alias("l"), F.col("root").alias("l_root"), F.col("size").alias("l_size"))
     across = left.join(small.select("b", F.col("a").alias("r"), "root", "size"), "b").filter(f"root <> l_root and 100 * least(size, l_size) >= {SIMILAR} * greatest(size, l_size)")
@@ -179,7 +179,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     more = verified(across, nodes, texts), blockwise(held.filter(F.col("few") * F.col("all") > SMALL_GROUP), texts, nodes)
     edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more[0]).union(more[1])
     roots = components(edges)
-    forget(nodes, lists, members, texts, links, written_held, count, *more)
+    forget(nodes, lists, members, texts, links, written_held, *more)
     return every.drop("sketch"), roots
 
 
