@@ -48,11 +48,6 @@ def percent(ratio: Column) -> Column:
     return F.format_string("%.0f%%", ratio * 100)
 
 
-def script_safe(json: Column) -> Column:
-    """JSON that can stand inside a script element."""
-    return F.replace(json, F.lit("</"), F.lit("<\\/"))
-
-
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

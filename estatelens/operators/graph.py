@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +11,29 @@ from ..session import written
 
 
 class CycleError(ValueError):
-    """The graph has a cycle; `edges` are the edges on or below one."""
+    """The graph has a cycle; `edges` is the table of all edges on or below one, the message shows the first few."""
 
-    def __init__(self, edges: list[tuple]):
-        super().__init__("cycle through " + ", ".join(f"{a} -> {b}" for a, b in edges))
+    def __init__(self, edges: DataFrame):
+        shown = [f"{a} -> {b}" for a, b in edges.orderBy("src", "dst").take(20)]
+        super().__init__(f"cycle among {edges.count()} edges: " + ", ".join(shown))
         self.edges = edges
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(src, dst): all pairs joined by a path of one edge or more; only from the `node`s of start, if given. Cycles are allowed."""
+    """(src, dst): all pairs joined by a path of one edge or more; only from the `node`s of start, if given. Cycles are allowed.
+
+    Without start the result can have the square of the nodes' number of rows; give the nodes
+    that are asked for wherever they are known. Each round writes its new pairs only.
+    """
     edges = edges.select("src", "dst").distinct()
     new = edges if start is None else edges.join(start.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     new = written(new)
-    found = new
+    found = [new]
     while not new.isEmpty():
         step = new.alias("p").join(edges.alias("e"), F.col("p.dst") == F.col("e.src")).select("p.src", "e.dst").distinct()
-        new = written(step.join(found, ["src", "dst"], "left_anti"))
-        found = written(found.union(new))
-    return found
+        new = written(step.join(reduce(DataFrame.union, found), ["src", "dst"], "left_anti"))
+        found.append(new)
+    return reduce(DataFrame.union, found)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,7 +44,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         free = written(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
-            raise CycleError(sorted((r[0], r[1]) for r in left.limit(100).collect()))
+            raise CycleError(left)
         now = free.withColumn("level", F.lit(level))
         done = now if done is None else done.union(now)
         rest = written(rest.join(free, "node", "left_anti"))

@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def set_classes(members: DataFrame, id_col: str, element: str) -> DataFrame:
+    """(id, class_id) of every set with an element: class_id is the smallest id of the sets that are equal to it.
+
+    Sets are told apart by their size and by sums of their elements' hashes, which tasks add up
+    before they travel; no set is gathered.
+    """
+    members = members.select(F.col(id_col).alias("id"), F.col(element).cast("string").alias("e")).filter("e is not null").distinct()
+    half = lambda c, k: F.sum(F.conv(F.substring(F.sha2(c, 256), 15 * k + 1, 15), 16, 10).cast("decimal(28,0)")).alias(f"s{k}")
+    each = members.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[half("e", k) for k in range(2)])
+    least = each.groupBy("n", "s0", "s1").agg(F.min("id").alias("class_id"))
+    return each.join(least, ["n", "s0", "s1"]).select("id", "class_id")
+
+
+def class_pairs(members: DataFrame, id_col: str, element: str, least: float) -> DataFrame:
+    """set_overlap_pairs between the first sets of each class of equal sets; set_classes has the members."""
+    first = set_classes(members, id_col, element).filter("id = class_id").select(F.col("id").alias(id_col))
+    return set_overlap_pairs(members.join(first, id_col, "left_semi"), id_col, element, least)
+
+
 def set_overlap_pairs(members: DataFrame, id_col: str, element: str, least: float) -> DataFrame:
     """(left_id, right_id, shared, ratio) with left_id < right_id and shared / size of the larger set >= least.
 

@@ -59,6 +59,18 @@ def conflicting_items(items: DataFrame, id_col: str, label: str, definition: str
     return items.join(each, ["label", "definition"]).select("label", "id", "definition", "conflicts")
 
 
+def conflicting_definitions(items: DataFrame, id_col: str, label: str, definition: str) -> DataFrame:
+    """(label, definition, items, first_id, conflicts) of every definition of a label that has more than one.
+
+    All conflicting pairs, grouped: any two rows of a label stand for the pairs between their
+    items; conflicts: how many items are defined otherwise. conflicting_items has the members.
+    """
+    items = items.select(F.col(label).alias("label"), F.col(id_col).alias("id"), F.col(definition).alias("definition")).filter("label is not null and label <> '' and definition is not null")
+    each = items.groupBy("label", "definition").agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first_id"))
+    total = each.groupBy("label").agg(F.count(F.lit(1)).alias("definitions"), F.sum("items").alias("all")).filter("definitions > 1")
+    return each.join(total, "label").select("label", "definition", "items", "first_id", (F.col("all") - F.col("items")).alias("conflicts"))
+
+
 def first_match(left: DataFrame, right: DataFrame, key: str, conditions: list[str], order: str) -> DataFrame:
     """left with the first row of right that meets one of several equalities, the earlier ones first: two joins and a choice, not an OR join."""
     out = None

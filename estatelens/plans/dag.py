@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..operators import graph, relational
 from ..schemas import edge_violations, require_none
 from ..session import written
@@ -43,10 +41,15 @@ def build_dag(models: DataFrame, sources: DataFrame, tiles: DataFrame) -> tuple[
     return nodes, edges
 
 
-def fingerprint(nodes: DataFrame, edges: DataFrame) -> str:
-    """SHA-256 of the canonical JSON of sorted nodes and edges; the graph is metadata, a row for each asset."""
-    payload = {"nodes": sorted(tuple(r) for r in nodes.select("id", "kind", "layer").collect()), "edges": sorted(tuple(r) for r in edges.select("source_id", "target_id", "kind").collect())}
-    return hashlib.sha256(json.dumps(payload, separators=(",", ":"), sort_keys=True).encode()).hexdigest()
+def fingerprint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row, `fingerprint`: a digest of the nodes' and of the edges' fingerprints, the same in any order."""
+    of_nodes = hashing.table_fingerprint(nodes, "id", "kind", "layer").select(F.col("fingerprint").alias("n"))
+    of_edges = hashing.table_fingerprint(edges, "source_id", "target_id", "kind").select(F.col("fingerprint").alias("e"))
+    return of_nodes.join(F.broadcast(of_edges)).select(F.sha2(F.concat_ws(",", "n", "e"), 256).alias("fingerprint"))  # a row each
+
+
+def models_by_layer(models: DataFrame) -> DataFrame:
+    return models.groupBy("layer").agg(F.count(F.lit(1)).alias("models"))
 
 
 def by_layer(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

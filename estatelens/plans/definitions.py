@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational, semantic
+from ..schemas import require_none
+from ..session import written
 from .checks import findings
 from .sqltext import canonical_sql
 
@@ -22,7 +25,7 @@ class JudgeError(ValueError):
 
 
 class Provider(Protocol):
-    """What an external judge offers: a name, a model, and JSON for a prompt."""
+    """What an external judge offers: a name, a model, and JSON for a prompt; perhaps `usage`, the tokens of the last prompt and answer."""
 
     name: str
     model: str
@@ -39,10 +42,9 @@ def normalised(spark: SparkSession, items: DataFrame, id_col: str, sql: str) ->
 def candidates(spark: SparkSession, models: DataFrame, tiles: DataFrame, aggregates: dict[str, list[str]]) -> DataFrame:
     """Pairs of tiles of one label, and of models with an aggregate of one name, whose definitions differ."""
     reads = tiles.select("id", F.posexplode("queried_tables").alias("place", "table"))
-    by_name = models.select(F.col("name").alias("model"), "relation_name", "resolved_sql")
-    full = reads.join(by_name, F.lower("table") == F.lower("relation_name")).select("id", "place", F.lit(0).alias("rank"), "model", "resolved_sql")
-    last = reads.join(by_name, F.element_at(F.split("table", r"\."), -1) == F.col("model")).select("id", "place", F.lit(1), "model", "resolved_sql")
-    best = full.union(last).groupBy("id", "place").agg(F.min(F.struct("rank", "model", "resolved_sql")).alias("m"))
+    by_name = models.select(F.col("name").alias("model"), F.lower("relation_name").alias("relation"), "resolved_sql")
+    reads = reads.select("*", F.concat_ws("#", "id", "place").alias("read"), F.lower("table").alias("relation"), F.element_at(F.split("table", r"\."), -1).alias("last"))
+    best = relational.first_match(reads, by_name, "read", ["l.relation = r.relation", "l.last = r.model"], "model").select("id", "place", F.col("match").alias("m")).filter("m is not null")
     part = F.concat(F.lit("\n-- upstream model "), "m.model", F.lit("\n"), F.trim(F.col("m.resolved_sql")))
     suffix = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("sql")))), lambda x: x["sql"]), "").alias("suffix"))
     full_sql = tiles.join(suffix, "id", "left").select("id", F.trim("query_sql").alias("primary"), F.concat(F.trim("query_sql"), F.coalesce("suffix", F.lit(""))).alias("sql"), "evidence", text.label_name(F.get("metric_labels", F.lit(0))).alias("label"))
@@ -66,29 +68,40 @@ def candidates(spark: SparkSession, models: DataFrame, tiles: DataFrame, aggrega
 def judge(pairs: DataFrame) -> DataFrame:
     """Candidates with verdicts by the fixed rules; the quotes are the definitions themselves."""
     out = semantic.judged(pairs)
-    return out.withColumnsRenamed({}).withColumn("left_sql_quote", F.col("left_sql")).withColumn("right_sql_quote", F.col("right_sql"))
+    return out.withColumn("left_sql_quote", F.col("left_sql")).withColumn("right_sql_quote", F.col("right_sql"))
 
 
 def prompt(pair: dict) -> str:
     return f"Metric: {pair['metric_name']}\nDo these two definitions agree? Quote both word for word.\nLEFT {pair['left_asset_id']}:\n{pair['left_sql']}\nRIGHT {pair['right_asset_id']}:\n{pair['right_sql']}\nAnswer as JSON with candidate_id ({pair['id']}), verdict ({', '.join(VERDICTS)}), rationale, left_sql_quote, right_sql_quote, confidence."
 
 
-def validated(raw: str, pair: dict) -> dict:
-    """A judge's answer, if it's JSON with exactly the fields asked for, about this pair, with quotes that stand in the definitions."""
-    try:
-        answer = json.loads(raw)
-    except ValueError as e:
-        raise JudgeError(f"{pair['id']}: not JSON") from e
-    fields = {"candidate_id": str, "verdict": str, "rationale": str, "left_sql_quote": str, "right_sql_quote": str, "confidence": (int, float)}
-    if not isinstance(answer, dict) or set(answer) != set(fields) or not all(isinstance(answer[k], t) for k, t in fields.items()):
-        raise JudgeError(f"{pair['id']}: not the fields asked for")
-    if answer["candidate_id"] != pair["id"] or answer["verdict"] not in VERDICTS or not 0 <= answer["confidence"] <= 1:
-        raise JudgeError(f"{pair['id']}: another candidate, an unknown verdict or confidence")
-    if not answer["left_sql_quote"] or not answer["right_sql_quote"] or answer["left_sql_quote"] not in pair["left_sql"] or answer["right_sql_quote"] not in pair["right_sql"]:
-        raise JudgeError(f"{pair['id']}: a quote that isn't in the definition")
-    if answer["left_sql_quote"] == answer["right_sql_quote"]:
-        raise JudgeError(f"{pair['id']}: quotes that don't differ")
-    return answer
+ANSWER = "struct<candidate_id:string,verdict:string,rationale:string,left_sql_quote:string,right_sql_quote:string,confidence:double>"
+_NUMBER = r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))"
+_SHAPE = rf"^OBJECT<candidate_id: STRING, confidence: {_NUMBER}, left_sql_quote: STRING, rationale: STRING, right_sql_quote: STRING, verdict: STRING>$"
+
+
+def answer_errors(answers: DataFrame) -> DataFrame:
+    """answers (id, left_sql, right_sql, raw, ...) with `answer` (the fields of raw) and `error`, null where the answer keeps its contract.
+
+    An answer is JSON with exactly the fields asked for, about this candidate, with a known
+    verdict, a confidence from 0 to 1, and two different quotes that stand in the definitions.
+    """
+    whole = F.try_parse_json("raw")
+    out = answers.withColumn("answer", F.from_json("raw", ANSWER))
+    a = lambda name: F.col(f"answer.{name}")
+    quoted = lambda side: (a(f"{side}_sql_quote") != "") & F.contains(f"{side}_sql", a(f"{side}_sql_quote"))
+    rules = [
+        (whole.isNotNull(), "not JSON"),
+        (F.schema_of_variant(whole).rlike(_SHAPE), "not the fields asked for"),
+        ((a("candidate_id") == F.col("id")) & a("verdict").isin(VERDICTS) & a("confidence").between(0, 1), "another candidate, an unknown verdict or confidence"),
+        (quoted("left") & quoted("right"), "a quote that isn't in the definition"),
+        (a("left_sql_quote") != a("right_sql_quote"), "quotes that don't differ"),
+    ]
+    error = None
+    for holds, why in rules:
+        broken = ~F.coalesce(holds, F.lit(False))
+        error = F.when(broken, why) if error is None else error.when(broken, why)
+    return out.withColumn("error", error)
 
 
 def cache_key(provider: str, model: str):
@@ -96,21 +109,60 @@ def cache_key(provider: str, model: str):
     return F.sha2(F.to_json(F.struct(F.col("id"), F.col("left_sql"), F.lit(model).alias("model"), F.lit(provider).alias("provider"), F.lit(PROMPT_VERSION).alias("version"), F.col("right_sql"))), 256)
 
 
-def judge_with(pairs: DataFrame, provider: Provider, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """(judged pairs, cache with the new answers, totals). Candidates are few; held answers are checked again before use."""
+def with_cached(pairs: DataFrame, cache: DataFrame | None, provider: str, model: str) -> DataFrame:
+    """pairs with `key` and the cache's answer to it, `raw`; null where the cache has none."""
+    keyed = pairs.withColumn("key", cache_key(provider, model))
+    if cache is None:
+        return keyed.withColumn("raw", F.lit(None).cast("string"))
+    return keyed.join(cache.groupBy("key").agg(F.min("raw").alias("raw")), "key", "left")
+
+
+def usage_totals(asked: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """One row: requests (candidates without a held answer), cache_hits, prompt_tokens, completion_tokens and cost (the rules and held answers cost nothing; prices aren't known here)."""
+    out = asked.agg(F.count_if(F.col("raw").isNull()).alias("requests"), F.count("raw").alias("cache_hits"))
+    spark = asked.sparkSession
+    usage = spark.createDataFrame([], "prompt_tokens bigint, completion_tokens bigint") if usage is None else usage
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return out.join(F.broadcast(usage.agg(total("prompt_tokens"), total("completion_tokens")))).withColumn("cost", F.lit(0.0))  # a row each
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The answers saved at path, None if there is nothing yet; a table of another shape is an error."""
+    try:
+        cache = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            return None
+        raise JudgeError(f"{path}: not a cache of answers") from e
+    if {f.name: f.dataType.simpleString() for f in cache.schema} != {"key": "string", "raw": "string"} or not cache.filter("key is null or raw is null").isEmpty():
+        raise JudgeError(f"{path}: not a cache of answers")
+    return cache
+
+
+def save_answers(answers: DataFrame, path: str) -> None:
+    """Adds answers that the cache at path doesn't hold."""
+    held = load_cache(answers.sparkSession, path)
+    new = answers.select("key", "raw") if held is None else answers.select("key", "raw").join(held, "key", "left_anti")
+    written(new, "answers").write.mode("append").parquet(path)
+
+
+def judge_with(pairs: DataFrame, provider: Provider, cache: DataFrame | None = None, progress: Callable[[str], None] | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(judged pairs, all answers as key and raw, totals). A provider is asked on the driver, one candidate at a time; held answers are checked again like new ones."""
     spark = pairs.sparkSession
-    keyed = pairs.withColumn("key", cache_key(provider.name, provider.model))
-    keyed = keyed.join(cache.select("key", "raw"), "key", "left") if cache is not None else keyed.withColumn("raw", F.lit(None).cast("string"))
-    rows, answers, hits = [], [], 0
-    for r in keyed.orderBy("id").collect():
-        pair = r.asDict()
-        hits += r["raw"] is not None
-        raw = r["raw"] if r["raw"] is not None else provider.complete(prompt(pair))
-        answer = validated(raw, pair)
-        rows.append((r["id"], answer["verdict"], answer["rationale"], float(answer["confidence"]), answer["left_sql_quote"], answer["right_sql_quote"]))
-        answers.append((r["key"], raw))
-    verdicts = spark.createDataFrame(rows, "id string, verdict string, rationale string, confidence double, left_sql_quote string, right_sql_quote string")
-    return pairs.join(verdicts, "id"), spark.createDataFrame(answers, "key string, raw string"), {"requests": len(rows) - hits, "cache_hits": hits}
+    asked = written(with_cached(pairs, cache, provider.name, provider.model), "asked")
+    new, used = [], []
+    for r in asked.filter("raw is null").orderBy("id").toLocalIterator():
+        new.append((r["key"], provider.complete(prompt(r.asDict()))))
+        used.append(tuple(getattr(provider, "usage", (0, 0))))
+        if progress:
+            progress(f"judged {r['id']}: {used[-1][0]} + {used[-1][1]} tokens")
+    answers = spark.createDataFrame(new, "key string, raw string")
+    told = asked.withColumnRenamed("raw", "held").join(answers, "key", "left").withColumn("raw", F.coalesce("held", "raw"))
+    told = written(answer_errors(told), "told")
+    require_none(told.filter("error is not null").select("id", "error"), "answers that don't keep their contract", JudgeError)
+    judged = told.select(*pairs.columns, "answer.verdict", "answer.rationale", "answer.confidence", "answer.left_sql_quote", "answer.right_sql_quote")
+    totals = usage_totals(asked, spark.createDataFrame(used, "prompt_tokens bigint, completion_tokens bigint")).first().asDict()
+    return judged, told.select("key", "raw"), totals
 
 
 def drift_findings(judged: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -51,11 +51,17 @@ def location_matches(findings: DataFrame, manifest: DataFrame) -> DataFrame:
     return met.groupBy("place", "expected", "finding", "n_locations").agg(F.count_if("met").alias("matched"))
 
 
+def ranked(matches: DataFrame) -> DataFrame:
+    """matches with `rank`: an item's findings by how many locations they meet, of equals by id."""
+    order = Window.partitionBy("place").orderBy(F.desc("matched"), "finding")
+    return matches.withColumn("rank", F.row_number().over(order))
+
+
 def score(findings: DataFrame, manifest: DataFrame) -> Scorecard:
     """Each defect in manifest order takes the unused finding that meets most of its locations, the first of equals by id."""
     order = [r[0] for r in findings.select("id").orderBy("id").collect()]
     items = manifest.select("place", "expected", "id", "type").distinct().orderBy("place").collect()
-    matches = location_matches(findings, manifest).filter("matched > 0").collect()
+    matches = ranked(location_matches(findings, manifest).filter("matched > 0")).orderBy("place", "rank").collect()
     out, used = Scorecard(finding_count=len(order)), set()
     for item in items:
         own = [m for m in matches if m["place"] == item["place"]]
@@ -63,8 +69,7 @@ def score(findings: DataFrame, manifest: DataFrame) -> Scorecard:
             if any(m["matched"] == m["n_locations"] for m in own):
                 out.flagged_negative_ids.append(item["id"])
             continue
-        free = sorted((-m["matched"], m["finding"]) for m in own if m["finding"] not in used)
-        found = free[0][1] if free else None
+        found = next((m["finding"] for m in own if m["finding"] not in used), None)
         used |= {found} - {None}
         out.per_defect.append({"id": item["id"], "defect_type": item["type"], "hit": found is not None, "finding_id": found})
     out.unmatched_finding_ids = [f for f in order if f not in used]

@@ -8,9 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import schemas
 from .functions import hashing, text
 from .operators import graph, overlap, relational, semantic, usage
+from .plans import audit, dag, definitions, lineage, scoring
 from .session import table
+from .sources import querylog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,10 +64,37 @@ def stale_customers(spark, sf_dir):
     return usage.stale(log, ["o_custkey"], "o_orderdate", usage.latest(log, "o_orderdate"), 120)
 
 
+def _event_log(spark, sf_dir) -> DataFrame:
+    """The events in the shape of a query log."""
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("dashboard_id"), F.concat(F.lit("tile "), F.col("user_id") % 20).alias("tile_id"), F.col("user_id").cast("string").alias("user"), F.col("ts").alias("timestamp"))
+
+
 @query("select event_type, max(ts) as last_used, count(*) as used from events where event_type = 'click' group by event_type")
 def usage_of_one(spark, sf_dir):
-    log = table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
-    return log.groupBy("event_type").agg(F.max("ts").alias("last_used"), F.count(F.lit(1)).alias("used"))
+    one = querylog.of_dashboard(_event_log(spark, sf_dir), "click")
+    return one.groupBy(F.col("dashboard_id").alias("event_type")).agg(F.max("timestamp").alias("last_used"), F.count(F.lit(1)).alias("used"))
+
+
+@query("select count(*) as log_rows, min(ts) as first_at, max(ts) as last_at from events")
+def log_totals(spark, sf_dir):
+    return querylog.log_totals(_event_log(spark, sf_dir))
+
+
+@query("""
+with a as (select max(ts) as t from events)
+select event_type as dashboard_id, 'tile ' || (user_id % 20) as tile_id, max(ts) as last_queried_at, count(*) filter (where ts between t - interval 90 days and t) as query_count_90d
+from events, a group by 1, 2""")
+def usage_summaries(spark, sf_dir):
+    return querylog.usage_summaries(_event_log(spark, sf_dir))
+
+
+@query("""
+select event_id, 'dashboard_id=' || event_type || '/tile_id=tile ' || (user_id % 20) || '/timestamp=' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '/user=' || user_id as locator,
+       sha256(concat_ws('|', event_type, 'tile ' || (user_id % 20), cast(user_id as varchar), strftime(ts, '%Y-%m-%dT%H:%M:%SZ'))) as content_hash
+from events""")
+def row_evidence(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("dashboard_id"), F.concat(F.lit("tile "), F.col("user_id") % 20).alias("tile_id"), F.col("user_id").cast("string").alias("user"), F.col("ts").alias("timestamp"))
+    return querylog.with_evidence(log, "log").select("event_id", "evidence.locator", "evidence.content_hash")
 
 
 @query("""
@@ -76,14 +106,10 @@ def log_evidence(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", at.alias("locator"), hashing.row_hash(F.col("event_id"), F.col("user_id"), F.col("event_type"), at).alias("content_hash"))
 
 
-@query("""
-select event_id, cast(row_number() over (order by ts, event_type, user_id, event_id) as bigint) as place from events
-qualify place <= 500""")
+@query("select event_id, cast(row_number() over (order by ts, event_type, user_id, event_id) as bigint) as place, event_type, user_id from events")
 def log_total_order(spark, sf_dir):
-    """The first 500 rows of the log in its total order (a report's first page); log_places has all rows."""
-    first = table(spark, sf_dir, "events").orderBy("ts", "event_type", "user_id", "event_id").limit(500)
-    place = F.row_number().over(Window.orderBy("ts", "event_type", "user_id", "event_id"))
-    return first.select("event_id", place.cast("long").alias("place"))
+    """The whole log in its total order: every row with its place, its type and its user."""
+    return usage.total_order(table(spark, sf_dir, "events").select("ts", "event_type", "user_id", "event_id"), ["ts", "event_type", "user_id", "event_id"]).select("event_id", "place", "event_type", "user_id")
 
 
 @query("select event_id, cast(row_number() over (order by ts, event_type, user_id, event_id) as bigint) as place from events")
@@ -95,15 +121,28 @@ def log_places(spark, sf_dir):
 # --- overlap and duplicates ----------------------------------------------------------------------
 
 
-@query("""
-with l as (select distinct doc_id, unnest(string_split(text, chr(10))) as line from documents),
-n as (select doc_id, count(*) as n from l group by doc_id),
-p as (select a.doc_id as left_id, b.doc_id as right_id, count(*) as shared from l a join l b on a.line = b.line and a.doc_id < b.doc_id group by all)
+_LINE_SETS = """l as (select distinct doc_id, unnest(string_split(text, chr(10))) as line from documents),
+k as (select doc_id, list_sort(list(line)) as lines from l group by doc_id), f as (select lines, min(doc_id) as class_id from k group by lines)"""
+
+
+@query(f"""
+with {_LINE_SETS}, c as (select l.* from l join f on l.doc_id = f.class_id), n as (select doc_id, count(*) as n from c group by doc_id),
+p as (select a.doc_id as left_id, b.doc_id as right_id, count(*) as shared from c a join c b on a.line = b.line and a.doc_id < b.doc_id group by all)
 select left_id, right_id, shared, cast(shared as double) / greatest(x.n, y.n) as ratio
 from p join n x on x.doc_id = left_id join n y on y.doc_id = right_id where cast(shared as double) / greatest(x.n, y.n) >= 0.8""")
 def duplicate_line_sets(spark, sf_dir):
+    """Pairs of different line sets that overlap, each set by its first document; line_set_classes has all documents."""
+    return overlap.class_pairs(_lines(spark, sf_dir), "doc_id", "line", 0.8)
+
+
+@query(f"with {_LINE_SETS} select doc_id as id, class_id from k join f using (lines)")
+def line_set_classes(spark, sf_dir):
+    return overlap.set_classes(_lines(spark, sf_dir), "doc_id", "line")
+
+
+def _lines(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return overlap.set_overlap_pairs(docs.select("doc_id", F.md5("line").alias("line")), "doc_id", "line", 0.8)
+    return docs.select("doc_id", F.md5("line").alias("line"))
 
 
 @query("""
@@ -143,12 +182,26 @@ def duplicated_hosts(spark, sf_dir):
     return relational.duplicated(pages, ["url_host"])
 
 
-@query("""
-with p as (select p_partkey as id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') as label, p_brand as d from part)
-select l.label, l.id as left_id, r.id as right_id from p l join p r on l.label = r.label and l.id < r.id and l.d <> r.d""")
+_DEFINITIONS = """e as (select label, definition, count(*) as items, min(id) as first_id from m where label <> '' and definition is not null group by all),
+t as (select label, sum(items) as whole from e group by label having count(*) > 1)
+select label, definition, items, first_id, cast(whole - items as bigint) as conflicts from e join t using (label)"""
+
+
+@query(f"""
+with m as (select p_partkey as id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '_', 'g'), '_') as label, p_brand as definition from part), {_DEFINITIONS}""")
 def label_conflict_pairs(spark, sf_dir):
+    """Parts of one label and different brands, in groups: a row for each label and brand, with its first part and the number of parts that differ."""
     parts = table(spark, sf_dir, "part").select("p_partkey", text.label_name(F.col("p_name")).alias("label"), "p_brand")
-    return relational.conflicting_pairs(parts, "p_partkey", "label", "p_brand")
+    return relational.conflicting_definitions(parts, "p_partkey", "label", "p_brand")
+
+
+@query("""
+with p as (select n_nationkey as id, n_regionkey as label, substr(n_name, 1, 1) as d from nation)
+select cast(l.label as varchar) as label, l.id as left_id, r.id as right_id from p l join p r on l.label = r.label and l.id < r.id and l.d <> r.d""")
+def conflicting_pairs(spark, sf_dir):
+    """The pairs themselves, as the audit of definitions asks for them: labels there have a handful of items."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("label"), F.substring("n_name", 1, 1).alias("d"))
+    return relational.conflicting_pairs(nations, "n_nationkey", "label", "d")
 
 
 @query("""
@@ -159,14 +212,18 @@ def label_conflict_counts(spark, sf_dir):
     return relational.conflicting_labels(table(spark, sf_dir, "part"), "p_type", "p_brand")
 
 
-@query("""
-with m as (select l_returnflag as label, l_suppkey as id, cast(sum(cast(l_quantity as decimal(18, 2))) as double) as d from lineitem where l_suppkey <= 60 group by all)
-select l.label, l.id as left_id, r.id as right_id from m l join m r on l.label = r.label and l.id < r.id and l.d <> r.d""")
+_METRIC = "m as (select l_returnflag as label, l_suppkey as id, cast(sum(cast(l_quantity as decimal(18, 2))) as double) as definition from lineitem group by all)"
+
+
+def _metric(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("id"))
+    return lines.agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("d"))
+
+
+@query(f"with {_METRIC}, {_DEFINITIONS}")
 def same_metric_pairs(spark, sf_dir):
-    """Pairs among the first 60 suppliers whose metric of one name has different values; same_metric_conflicts has all suppliers."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 60")
-    metric = lines.groupBy(F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("d"))
-    return relational.conflicting_pairs(metric, "id", "label", "d")
+    """Suppliers whose metric of one name differs, in groups: a row for each label and value; same_metric_conflicts has the suppliers."""
+    return relational.conflicting_definitions(_metric(spark, sf_dir), "id", "label", "d")
 
 
 @query("""
@@ -175,8 +232,7 @@ select l.label, l.id, l.definition, (select count(*) from m r where r.label = l.
 from m l where l.definition is not null and conflicts > 0""")
 def same_metric_conflicts(spark, sf_dir):
     """Every supplier whose metric of one name differs from another supplier's, with the value and the number of those that differ."""
-    metric = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_suppkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("d"))
-    return relational.conflicting_items(metric, "id", "label", "d")
+    return relational.conflicting_items(_metric(spark, sf_dir), "id", "label", "d")
 
 
 @query("""
@@ -190,13 +246,28 @@ def first_matching_part(spark, sf_dir):
 
 
 @query("""
-with c as (select n_regionkey as parent, n_name as name, n_nationkey as col from nation),
-u as (select distinct s_nationkey as col from supplier where s_acctbal > 9000)
+with c as (select p_brand as parent, p_name as name, p_partkey as col from part),
+u as (select distinct l_partkey as col from lineitem where l_quantity > 48)
 select parent, count(*) as unused, string_agg(name, ',' order by name) as names from c where col not in (select col from u) group by parent having count(*) >= 2""")
 def unused_columns(spark, sf_dir):
-    columns = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("col"))
-    edges = table(spark, sf_dir, "supplier").filter("s_acctbal > 9000")
-    return relational.unused_columns(columns, edges, "parent", "col", "name", "s_nationkey", 2)
+    """Brands (parents) with two parts (columns) or more that no large line item (edge) takes."""
+    columns = table(spark, sf_dir, "part").select(F.col("p_brand").alias("parent"), F.col("p_name").alias("name"), F.col("p_partkey").alias("col"))
+    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    return relational.unused_columns(columns, edges, "parent", "col", "name", "l_partkey", 2)
+
+
+@query("select l_partkey, l_suppkey, count(*) as n from lineitem group by all having count(*) > 1")
+def duplicated_keys(spark, sf_dir):
+    return relational.duplicated(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
+
+
+@query("""
+select distinct l_partkey, l_suppkey from lineitem l
+where not exists (select 1 from lineitem r where r.l_partkey = l.l_partkey and r.l_suppkey = l.l_suppkey and r.l_returnflag = 'N')""")
+def unmatched_pairs(spark, sf_dir):
+    """Keys of two columns that the other side doesn't hold."""
+    lines = table(spark, sf_dir, "lineitem")
+    return relational.unmatched(lines, lines.filter("l_returnflag = 'N'"), ["l_partkey", "l_suppkey"])
 
 
 @query("""
@@ -225,10 +296,24 @@ def label_normalise(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.label_name(F.col("p_name")).alias("label"))
 
 
-@query("select page_id, list_aggregate(regexp_extract_all(html, '(\\d+)', 1), 'string_agg', ',') as numbers from pages")
+@query("""
+select l_orderkey, l_linenumber, case when l_quantity % 3 = 0 then '' when l_linenumber = l_quantity then cast(l_linenumber as varchar) else l_linenumber || ',' || cast(l_quantity as bigint) end as windows from lineitem""")
 def digit_tokens(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit(r"(\d+)"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(F.size(found) > 0, F.array_join(found, ",")).alias("numbers"))
+    """The day windows of a definition, in order of appearance and once each."""
+    n, q = F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string")
+    own = F.concat(F.lit("select x from t where day > now - interval '"), n, F.lit("' days and n > 7 and day > now - interval '"), n, F.lit(" days' or day > interval '"), n, F.lit(" days' and interval '"), q, F.lit(" days'"))
+    sql = F.when(F.col("l_quantity") % 3 == 0, "select interval '1 hour', 7").otherwise(own)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(text.day_windows(sql), ",").alias("windows"))
+
+
+@query("select p_partkey, case when p_size % 2 = 0 then p_brand else 'x.' || p_brand end as short, p_brand || '.' || p_type as rest, printf('%.0f%%', p_size * 2.0) as share, p_size % 5 = 0 as templated from part")
+def text_helpers(spark, sf_dir):
+    """Prefixes, what follows the first dot, percentages and template marks."""
+    even = F.col("p_size") % 2 == 0
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.without_prefix(F.concat(F.when(even, "model.").otherwise("x."), "p_brand"), "model.").alias("short"), text.after_first_dot(F.concat_ws(".", F.lit("part"), "p_brand", "p_type")).alias("rest"),
+        text.percent(F.col("p_size") / 50).alias("share"), text.has_template(F.when(F.col("p_size") % 5 == 0, "select {{ x }}").otherwise("select { x }")).alias("templated"),
+    )
 
 
 @query("select n_nationkey, concat_ws('.', nullif(r_name, 'ASIA'), n_name) as relation from nation join region on r_regionkey = n_regionkey")
@@ -237,18 +322,17 @@ def relation_names(spark, sf_dir):
     return both.select("n_nationkey", text.relation_name(F.nullif("r_name", F.lit("ASIA")), F.col("n_name")).alias("relation"))
 
 
-@query("""
-with r as (select sha256(concat_ws('|', cast(n_nationkey as varchar), n_name, cast(n_regionkey as varchar))) as h from nation),
-g as (select substr(h, 1, 2) as g, sha256(string_agg(h, ',' order by h)) as d from r group by 1)
-select sha256(string_agg(d, ',' order by g)) as fingerprint from g""")
-def graph_fingerprint(spark, sf_dir):
-    return hashing.table_fingerprint(table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey")
+def _fingerprint(rows: str) -> str:
+    """SQL of hashing.table_fingerprint over the hashes h of a query."""
+    lanes = [f"cast(sum(cast('0x' || substr(h, {15 * k + 1}, 15) as hugeint)) as varchar)" for k in range(hashing.LANES)]
+    return f"select sha256(concat_ws(',', cast(count(*) as varchar), {', '.join(lanes)})) from ({rows})"
 
 
-@query("""
-with r as (select sha256(concat_ws('|', cast(o_orderkey as varchar), cast(o_custkey as varchar), o_orderstatus)) as h from orders),
-g as (select substr(h, 1, 2) as g, sha256(string_agg(h, ',' order by h)) as d from r group by 1)
-select sha256(string_agg(d, ',' order by g)) as fingerprint from g""")
+def _hashed(table_: str, *columns: str) -> str:
+    return f"select sha256(concat_ws('|', {', '.join(f'cast({c} as varchar)' for c in columns)})) as h from {table_}"
+
+
+@query(f"select ({_fingerprint(_hashed('orders', 'o_orderkey', 'o_custkey', 'o_orderstatus'))}) as fingerprint")
 def table_fingerprint(spark, sf_dir):
     return hashing.table_fingerprint(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderstatus")
 
@@ -256,19 +340,30 @@ def table_fingerprint(spark, sf_dir):
 # --- graphs over foreign keys ------------------------------------------------------------------------
 
 _NODES = """n as (select 'r:' || r_regionkey as node, 'region' as layer from region union all select 'n:' || n_nationkey, 'nation' from nation
-union all select 's:' || s_suppkey, 'supplier' from supplier union all select 'c:' || c_custkey, 'customer' from customer)"""
+union all select 's:' || s_suppkey, 'supplier' from supplier union all select 'c:' || c_custkey, 'customer' from customer union all select 'o:' || o_orderkey, 'orders' from orders)"""
 _EDGES = """e as (select 'r:' || n_regionkey as src, 'n:' || n_nationkey as dst from nation union all select 'n:' || s_nationkey, 's:' || s_suppkey from supplier
-union all select 'n:' || c_nationkey, 'c:' || c_custkey from customer)"""
+union all select 'n:' || c_nationkey, 'c:' || c_custkey from customer union all select 'c:' || o_custkey, 'o:' || o_orderkey from orders)"""
 
 
 def _foreign_keys(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     of = lambda name, kind, number: table(spark, sf_dir, name).select(key(kind, F.col(number)).alias("node"), F.lit(name).alias("layer"))
-    nodes = of("region", "r", "r_regionkey").union(of("nation", "n", "n_nationkey")).union(of("supplier", "s", "s_suppkey")).union(of("customer", "c", "c_custkey"))
+    nodes = of("region", "r", "r_regionkey").union(of("nation", "n", "n_nationkey")).union(of("supplier", "s", "s_suppkey")).union(of("customer", "c", "c_custkey")).union(of("orders", "o", "o_orderkey"))
     edge = lambda name, a, up, b, down: table(spark, sf_dir, name).select(key(a, F.col(up)).alias("src"), key(b, F.col(down)).alias("dst"))
-    edges = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("supplier", "n", "s_nationkey", "s", "s_suppkey")).union(edge("customer", "n", "c_nationkey", "c", "c_custkey"))
+    edges = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("supplier", "n", "s_nationkey", "s", "s_suppkey")).union(edge("customer", "n", "c_nationkey", "c", "c_custkey")).union(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
     return nodes, edges
 
 
+@query(f"""with {_NODES}, {_EDGES} select sha256(({_fingerprint("select sha256(concat_ws('|', node, 'table', layer)) as h from n")}) || ',' || ({_fingerprint("select sha256(concat_ws('|', src, dst, 'key')) as h from e")})) as fingerprint""")
+def graph_fingerprint(spark, sf_dir):
+    nodes, edges = _foreign_keys(spark, sf_dir)
+    return dag.fingerprint(nodes.select(F.col("node").alias("id"), F.lit("table").alias("kind"), "layer"), edges.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit("key").alias("kind")))
+
+
+@query(f"with {_NODES} select layer, count(*) as models from n group by layer")
+def models_by_layer(spark, sf_dir):
+    return dag.models_by_layer(_foreign_keys(spark, sf_dir)[0])
+
+
 @query(f"with {_NODES} select layer, count(*) as nodes from n group by layer")
 def layer_node_counts(spark, sf_dir):
     return graph.counts_by_layer(*_foreign_keys(spark, sf_dir))[0]
@@ -314,15 +409,142 @@ def event_transition_cycles(spark, sf_dir):
 t as (select node from b union select e.dst from t join e on e.src = t.node)
 select count(*) as total, count(*) filter (where node not in (select node from t)) as clean,
        cast(100 as double) * count(*) filter (where node not in (select node from t)) / count(*) as percent
-from n where layer in ('supplier', 'customer')""")
+from n where layer in ('supplier', 'orders')""")
 def taint_coverage(spark, sf_dir):
     nodes, edges = _foreign_keys(spark, sf_dir)
     bad = table(spark, sf_dir, "nation").filter("n_name like '%A'").select(key("n", F.col("n_nationkey")).alias("node"))
-    leaves = nodes.filter("layer in ('supplier', 'customer')")
+    leaves = nodes.filter("layer in ('supplier', 'orders')")
     return graph.coverage(leaves, graph.tainted(leaves, edges, bad))
 
 
-# --- manifests, findings and verdicts ------------------------------------------------------------------
+# --- an estate in the driver's tables: parts as models, customers and nations as dashboards, orders as log ----------
+
+
+def _evidence(locator: Column) -> Column:
+    none = F.lit(None).cast("string")
+    return F.array(F.struct(F.lit("table").alias("source"), F.lit("tables").alias("uri"), locator.alias("locator"), none.alias("content_hash"), none.alias("excerpt")))
+
+
+def _text(prefix: str, number: str) -> Column:
+    return F.concat(F.lit(prefix), F.col(number).cast("string"))
+
+
+def _lineage(spark, sf_dir) -> lineage.Lineage:
+    """Brands pass on their parts (columns); suppliers (tiles' columns) read the parts of large line items; parts of size 50 are missing above."""
+    part, large = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    of_part, of_supplier = _text("column.part.", "p_partkey"), _text("column.tile.", "s_suppkey")
+    row = lambda df, own, name, parent, kind, star: df.select(own.alias("id"), name.alias("name"), parent.alias("parent_id"), F.lit("r").alias("relation_name"), F.lit(kind).alias("asset_kind"), F.lit(star).alias("star_expanded"), F.lit("x").alias("expression_sql"), _evidence(own).alias("evidence"))
+    brands = part.select("p_brand").distinct()
+    columns = row(brands, F.concat(F.lit("column.source."), "p_brand"), F.col("p_brand"), F.lit("source.brands"), "source", False)
+    columns = columns.unionByName(row(part, of_part, F.col("p_name"), F.concat(F.lit("model."), "p_brand"), "model", True)).unionByName(row(table(spark, sf_dir, "supplier"), of_supplier, F.col("s_name"), _text("tile.", "s_suppkey"), "tile", False))
+    edge = lambda df, up, down: df.select(up.alias("source_id"), down.alias("target_id"), F.lit("column_lineage").alias("kind"), _evidence(down).alias("evidence"))
+    edges = edge(part.filter("p_size <> 50"), F.concat(F.lit("column.source."), "p_brand"), of_part).unionByName(edge(large.select("l_partkey", "l_suppkey").distinct(), _text("column.part.", "l_partkey"), _text("column.tile.", "l_suppkey")))
+    missing = part.filter("p_size = 50").select(of_part.alias("target_id"), F.lit("brands").alias("upstream_relation"), F.col("p_type").alias("column_name"), F.lit("missing_upstream_column").alias("reason_code"), F.lit("").alias("reason"), F.lit("x").alias("expression_sql"), _evidence(of_part).alias("evidence"))
+    return lineage.Lineage(columns, edges, missing, {})
+
+
+def _estate(spark, sf_dir) -> audit.Estate:
+    part, customer, orders = (table(spark, sf_dir, t) for t in ("part", "customer", "orders"))
+    models = part.select(_text("model.", "p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("layer"), _evidence(F.col("p_name")).alias("evidence"))
+    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(_text("model.", "l_partkey").alias("source_id"), _text("tile.", "l_suppkey").alias("target_id"), F.lit("tile_dependency").alias("kind")).distinct()
+    boards = customer.select(_text("c", "c_custkey").alias("id")).union(customer.select(_text("n", "c_nationkey")).distinct())
+    boards = boards.select("id", F.col("id").alias("title"), F.lit("").alias("description"), _evidence(F.col("id")).alias("evidence"))
+    label = F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 3).cast("string"))
+    tiles = customer.filter("c_custkey % 5 = 0").select(_text("n", "c_nationkey").alias("dashboard_id"), F.array(F.upper(label)).alias("metric_labels"), F.concat(F.lit("select  "), label).alias("query_sql")).distinct()
+    log = orders.select(_text("c", "o_custkey").alias("dashboard_id"), F.col("o_orderdate").alias("timestamp"))
+    return audit.Estate(models, models, boards, tiles, log, "log", usage.latest(log, "timestamp"), models, edges, _lineage(spark, sf_dir))
+
+
+_ESTATE = """big as (select distinct l_partkey, l_suppkey from lineitem where l_quantity > 48),
+tl as (select distinct c_nationkey as n, c_mktsegment || '-' || (c_custkey % 3) as t from customer where c_custkey % 5 = 0), tn as (select n, count(*) as k from tl group by n),
+dup as (select 'n' || a.n as l, 'n' || b.n as r, count(*) / greatest(max(x.k), max(y.k)) as ratio from tl a join tl b on a.t = b.t and 'n' || a.n < 'n' || b.n
+        join tn x on x.n = a.n join tn y on y.n = b.n group by all having count(*) / greatest(max(x.k), max(y.k)) >= 0.8),
+unread as (select p_brand, count(*) as k from part where p_partkey not in (select l_partkey from big) group by p_brand having count(*) >= 10),
+reach as (select p_partkey, p_brand, p_name, (select count(distinct l_suppkey) from big where l_partkey = p_partkey) as k from part where p_size = 50),
+found as (select 'orphaned_model:' || p_partkey as id, 'orphaned_model' as defect_type, cast(1 as double) as confidence, cast(1 as bigint) as assets from part where p_partkey not in (select l_partkey from big)
+union all select 'stale_asset:c' || o_custkey, 'stale_asset', 1.0, 1 from orders group by o_custkey having max(o_orderdate) <= (select max(o_orderdate) from orders) - interval 120 days
+union all select 'duplicate_dashboard:' || l || ':' || r, 'duplicate_dashboard', ratio, 2 from dup
+union all select 'broken_lineage:model.' || p_brand || '.' || p_name, 'broken_lineage', 1.0, 1 + k from reach
+union all select 'unused_column_propagation:' || p_brand, 'unused_column_propagation', 1.0, 1 from unread)"""
+
+
+@query(f"with {_ESTATE} select * from found")
+def finding_union(spark, sf_dir):
+    """The findings of the five structural checks."""
+    return audit.structural_findings(_estate(spark, sf_dir)).select("id", "defect_type", "confidence", F.size("asset_ids").cast("long").alias("assets"))
+
+
+@query(f"""
+with {_ESTATE}, types as (select unnest(['metric_definition_conflict', 'duplicate_dashboard', 'stale_asset', 'orphaned_model', 'broken_lineage', 'unused_column_propagation']) as defect_type)
+select defect_type, count(id) as findings from types left join found using (defect_type) group by defect_type""")
+def findings_by_type(spark, sf_dir):
+    return audit.findings_by_type(audit.structural_findings(_estate(spark, sf_dir)))
+
+
+@query("""
+with b as (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 48),
+c as (select s_suppkey, coalesce(bool_and(p_size <> 50), false) as clean from supplier left join b on l_suppkey = s_suppkey left join part on p_partkey = l_partkey group by s_suppkey)
+select count(*) as total, count(*) filter (where clean) as clean, cast(100 as double) * count(*) filter (where clean) / count(*) as percent from c""")
+def traced_coverage(spark, sf_dir):
+    return lineage.tile_coverage(_lineage(spark, sf_dir))
+
+
+_COVERED = """(with b as (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 48),
+c as (select s_suppkey, coalesce(bool_and(p_size <> 50), false) as clean from supplier left join b on l_suppkey = s_suppkey left join part on p_partkey = l_partkey group by s_suppkey)
+select sha256(count(*) || '|' || count(*) filter (where clean)) as h from c)"""
+_LINEAGE_PARTS = [
+    """select sha256(id || '|' || kind || '|' || star) as h from (select distinct 'column.source.' || p_brand as id, 'source' as kind, 'false' as star from part
+       union all select 'column.part.' || p_partkey, 'model', 'true' from part union all select 'column.tile.' || s_suppkey, 'tile', 'false' from supplier)""",
+    """select sha256(a || '|' || b || '|column_lineage') as h from (select 'column.source.' || p_brand as a, 'column.part.' || p_partkey as b from part where p_size <> 50
+       union all select distinct 'column.part.' || l_partkey, 'column.tile.' || l_suppkey from lineitem where l_quantity > 48)""",
+    "select sha256('column.part.' || p_partkey || '|brands|' || p_type || '|missing_upstream_column') as h from part where p_size = 50",
+    f"select h from {_COVERED}",
+]
+
+
+@query(f"select sha256({' || chr(44) || '.join(f'({_fingerprint(x)})' for x in _LINEAGE_PARTS)}) as fingerprint")
+def lineage_fingerprint(spark, sf_dir):
+    return lineage.fingerprint(_lineage(spark, sf_dir))
+
+
+@query("""
+with f as (select 'source.' || n_regionkey as source_id, 'model.' || n_name as target_id, 'model_dependency' as kind from nation
+union all select 'model.' || n_name, 'tile.' || c_custkey, 'tile_dependency' from customer join nation on n_nationkey = c_nationkey)
+select * from f""")
+def dag_edges(spark, sf_dir):
+    """The edges of the model graph: nations refer to regions (sources), customers (tiles) read nations, whatever the case of their names."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    sources = region.select(_text("source.", "r_regionkey").alias("id"), F.concat(F.lit("plant."), "r_name").alias("relation_name"))
+    models = nation.select(F.concat(F.lit("model."), "n_name").alias("id"), F.lit("staging").alias("layer"), F.concat(F.lit("analytics."), "n_name").alias("relation_name"), F.array().cast("array<string>").alias("refs"), F.array(_text("source.", "n_regionkey")).alias("source_ids"), _evidence(F.col("n_name")).alias("evidence"))
+    reads = table(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
+    tiles = reads.select(_text("tile.", "c_custkey").alias("id"), F.array(F.concat(F.lit("Analytics."), F.lower("n_name"))).alias("queried_tables"), _evidence(F.col("c_name")).alias("evidence"))
+    return dag.build_dag(models, sources, tiles)[1].select("source_id", "target_id", "kind")
+
+
+# --- contracts ---------------------------------------------------------------------------------------------
+
+
+@query("""
+select l_orderkey, l_linenumber from lineitem where l_partkey = l_suppkey or l_linenumber = 1 or l_returnflag = 'R' or l_shipdate is null""")
+def edge_violations(spark, sf_dir):
+    """Edges that loop, have no evidence or an unknown kind."""
+    lines = table(spark, sf_dir, "lineitem")
+    own = F.when(F.col("l_linenumber") == 1, F.array().cast(f"array<{schemas.EVIDENCE}>")).otherwise(_evidence(F.lit("x")))
+    edges = lines.select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("source_id"), F.when(F.col("l_shipdate").isNotNull(), F.col("l_suppkey").cast("string")).alias("target_id"), F.when(F.col("l_returnflag") == "R", "other").otherwise("unresolved").alias("kind"), own.alias("evidence"))
+    return schemas.edge_violations(edges).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+select l_orderkey, l_linenumber from lineitem where l_linenumber = 2 or l_discount * 20 > 1 or (l_returnflag = 'A' and l_linestatus = 'O')""")
+def finding_violations(spark, sf_dir):
+    """Findings without assets, with a confidence beyond 1, or judged ones of a structural type."""
+    lines = table(spark, sf_dir, "lineitem")
+    assets = F.when(F.col("l_linenumber") == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
+    found = lines.select("l_orderkey", "l_linenumber", F.lit("i").alias("id"), assets.alias("asset_ids"), _evidence(F.lit("x")).alias("evidence"), (F.col("l_discount") * 20).alias("confidence"), F.when(F.col("l_returnflag") == "A", "stale_asset").otherwise("metric_definition_conflict").alias("defect_type"), F.when(F.col("l_linestatus") == "O", "semantic_llm").otherwise("deterministic").alias("detector"))
+    return schemas.finding_violations(found).select("l_orderkey", "l_linenumber")
+
+
+# --- manifests and scores ------------------------------------------------------------------------------------
 
 
 @query("select item_id, count(*) as hits, min(doc_id) as first_doc from benchmark b join documents d on contains(d.text, b.text) group by item_id")
@@ -331,73 +553,134 @@ def manifest_match(spark, sf_dir):
 
 
 @query("""
-with w as (select doc_id, quality, toxic, row_number() over (partition by quality, toxic order by length(text) desc, doc_id) as rn from labels join documents using (doc_id))
-select quality, toxic, doc_id from w where rn = 1""")
+with w as (select quality * 2 + toxic as place, cast(doc_id as varchar) as finding, row_number() over (partition by quality, toxic order by length(text) desc, cast(doc_id as varchar)) as rank from labels join documents using (doc_id))
+select place, finding from w where rank = 1""")
 def best_match(spark, sf_dir):
-    """One best row for each group, ties to the lowest id."""
-    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    best = F.max_by("doc_id", F.struct(F.col("n"), -F.col("doc_id")))
-    return both.groupBy("quality", "toxic").agg(best.alias("doc_id"))
+    """The best finding for each item: most matches, of equals the first id."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("matched")), "doc_id")
+    matches = both.select((F.col("quality") * 2 + F.col("toxic")).alias("place"), F.col("doc_id").cast("string").alias("finding"), "matched")
+    return scoring.ranked(matches).filter("rank = 1").select("place", "finding")
+
+
+def _findings_and_manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in debt as findings; two planted cases for each nation, and one look-alike."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier").filter("s_acctbal < 0")
+    of_nation = supplier.join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    locator = F.concat(F.lit("dashboard_id="), "n_name", F.lit("/max(timestamp)=x"))
+    findings = of_nation.select(_text("f", "s_suppkey").alias("id"), F.lit("stale_asset").alias("defect_type"), F.array(_text("supplier.", "s_suppkey")).alias("asset_ids"), _evidence(locator).alias("evidence"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e).alias("expected")) for k, e in enumerate(("defects", "defects", "negatives"))]))
+    items = nation.select("n_nationkey", "n_name", kinds.alias("x"))
+    none = F.lit(None).cast("string")
+    manifest = items.select((F.col("n_nationkey") + 100 * F.col("x.k")).cast("int").alias("place"), F.col("x.expected").alias("expected"), F.concat_ws("-", "n_name", F.col("x.k").cast("string")).alias("id"), F.lit("stale_asset").alias("type"), none.alias("path"), F.concat(F.lit("DASHBOARD_ID="), "n_name", F.lit("/max(timestamp)")).alias("locator"), F.lit(1).alias("n_locations"))
+    return findings, manifest
 
 
 @query("""
-select 'orphan:' || o_orderkey as id, 'orphan' as kind, cast(1 as double) as confidence from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)
-union all select 'stale:' || o_custkey, 'stale', 1.0 from orders group by o_custkey having max(o_orderdate) <= (select max(o_orderdate) from orders) - interval 120 days
-union all select 'unlabelled:' || doc_id, 'unlabelled', 0.5 from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)""")
-def finding_union(spark, sf_dir):
-    found = lambda df, kind, number, sure: df.select(key(kind, F.col(number)).alias("id"), F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
-    return found(orphan_orders(spark, sf_dir), "orphan", "o_orderkey", 1.0).unionByName(found(stale_customers(spark, sf_dir), "stale", "o_custkey", 1.0)).unionByName(found(orphan_documents(spark, sf_dir), "unlabelled", "doc_id", 0.5))
+with m as (select n_nationkey + 100 * k as place, s_suppkey from nation, (select unnest([0, 1, 2]) as k), supplier where s_nationkey = n_nationkey and s_acctbal < 0)
+select cast(place as integer) as place, 'f' || s_suppkey as finding, cast(1 as bigint) as matched from m""")
+def location_rules(spark, sf_dir):
+    """How many locations of a case each finding meets."""
+    return scoring.location_matches(*_findings_and_manifest(spark, sf_dir)).filter("matched > 0").select("place", "finding", "matched")
 
 
 @query("""
-with m as (select l.doc_id as id, quality, toxic, source from labels l join documents using (doc_id)),
-g as (select source, string_agg(cast(id as varchar), '|' order by cast(id as varchar)) as ids, min(quality) as least, count(*) as n from m where toxic = 1 group by source)
-select source, n, least, substr(sha256(ids), 1, 12) as digest from g""")
-def drift_groups(spark, sf_dir):
-    """Findings merged by group: number, least value and a short digest of the ids."""
-    both = table(spark, sf_dir, "labels").filter("toxic = 1").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    ids = F.array_join(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))), "|")
-    out = both.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("quality").alias("least"), ids.alias("ids"))
-    return out.select("source", "n", "least", F.substring(F.sha2("ids", 256), 1, 12).alias("digest"))
+with f as (select n_name, 'f' || s_suppkey as finding, row_number() over (partition by n_nationkey order by 'f' || s_suppkey) as rank from supplier join nation on n_nationkey = s_nationkey where s_acctbal < 0),
+c as (select n_name || '-' || k as id, k, (select finding from f where f.n_name = nation.n_name and rank = k + 1) as finding_id, (select count(*) from f where f.n_name = nation.n_name) as n from nation, (select unnest([0, 1, 2]) as k))
+select id, case when k = 2 then 'negative' else 'planted' end as expected, case when k = 2 then n > 0 else finding_id is not null end as hit, case when k < 2 then finding_id end as finding_id from c""")
+def greedy_score(spark, sf_dir):
+    """Planted cases with the findings that they take, one each, and look-alikes that were flagged."""
+    card = scoring.score(*_findings_and_manifest(spark, sf_dir))
+    rows = [(d["id"], "planted", d["hit"], d["finding_id"]) for d in card.per_defect]
+    flagged = set(card.flagged_negative_ids)
+    rows += [(f"{r[0]}-2", "negative", f"{r[0]}-2" in flagged, None) for r in table(spark, sf_dir, "nation").select("n_name").collect()]
+    return spark.createDataFrame(rows, "id string, expected string, hit boolean, finding_id string")
 
 
-_VERDICTS = """
-with p as (select l.p_partkey as left_id, r.p_partkey as right_id, l.p_name as label, 'sum(x) ' || l.p_brand as left_sql, 'sum(x) ' || r.p_brand as right_sql
-           from part l join part r on l.p_name = r.p_name and l.p_partkey < r.p_partkey and l.p_brand <> r.p_brand)
-select left_id, right_id, case when label like '%red%' and (contains(left_sql, '1') <> contains(right_sql, '1')) then 'drifted'
-     when contains(left_sql, '2') = contains(right_sql, '2') then 'equivalent' else 'unrelated' end as verdict from p"""
+# --- definitions and their judges --------------------------------------------------------------------------------
+
+
+@query("""
+with t as (select s_suppkey as id, s_suppkey // 4 as label, case when s_acctbal < 2000 then 0 else 1 end as d from supplier)
+select 'metric_' || l.label as metric_name, 'tile.b.' || least(l.id::varchar, r.id::varchar) as left_asset_id, 'tile.b.' || greatest(l.id::varchar, r.id::varchar) as right_asset_id
+from t l join t r on l.label = r.label and l.id < r.id and l.d <> r.d""")
+def definition_candidates(spark, sf_dir):
+    """Tiles of one label whose queries parse to different plans, however they are written."""
+    sql = F.when(F.col("s_acctbal") < 2000, F.when(F.col("s_suppkey") % 2 == 0, "select sum(fee) as x from a.loans").otherwise("SELECT   SUM(fee) AS x -- total\nFROM a.loans")).otherwise(F.when(F.col("s_suppkey") % 2 == 0, "select sum(fee - back) as x from a.loans").otherwise("select\tsum(fee-back) as x from a.loans"))
+    tiles = table(spark, sf_dir, "supplier").select(_text("tile.b.", "s_suppkey").alias("id"), F.array(F.concat(F.lit("Metric "), F.floor(F.col("s_suppkey") / 4).cast("string"))).alias("metric_labels"), sql.alias("query_sql"), F.array(F.lit("a.loans")).alias("queried_tables"), _evidence(F.col("s_name")).alias("evidence"))
+    models = spark.createDataFrame([("model.loans", "loans", "a.loans", "select 1 as fee", [("s", "u", "l", None, None)])], f"id string, name string, relation_name string, resolved_sql string, evidence array<{schemas.EVIDENCE}>")
+    return definitions.candidates(spark, models, tiles, {}).select("metric_name", "left_asset_id", "right_asset_id")
 
 
-@query(_VERDICTS)
+@query("""
+with p as (select p_partkey as k, p_size % 4 as m, p_partkey % 3 <> 0 and p_partkey % 4 <> 0 and p_size % 5 <> p_partkey % 5 as windows, (p_partkey % 2 = 0) <> (p_partkey % 5 = 0) as refunds,
+           (p_partkey % 6 = 0 or p_partkey % 7 = 0 or p_partkey % 11 = 0) as has_form from part)
+select k as id, case when windows or (m = 0 and refunds) then 'drifted' when m = 1 and has_form then 'equivalent' else 'unrelated' end as verdict,
+       cast(case when windows or (m = 0 and refunds) then 1 when m = 1 and has_form then 0.95 else 0.9 end as double) as confidence from p""")
 def verdict_rules(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat(F.lit("sum(x) "), "p_brand").alias("sql"))
-    pairs = relational.conflicting_pairs(parts, "p_partkey", "p_name", "sql")
-    of = lambda side: parts.select(F.col("p_partkey").alias(f"{side}_id"), F.col("sql").alias(f"{side}_sql"))
-    both = pairs.join(of("left"), "left_id").join(of("right"), "right_id")
-    has = lambda side, what: F.contains(F.col(f"{side}_sql"), F.lit(what))
-    verdict = F.when(F.contains("label", F.lit("red")) & (has("left", "1") != has("right", "1")), "drifted").when(has("left", "2") == has("right", "2"), "equivalent").otherwise("unrelated")
-    return both.select("left_id", "right_id", verdict.alias("verdict"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("total_revenue", "net_revenue", "active_users", "orders")]), size % 4 + 1)
+    part = lambda test, what: F.when(test, what).otherwise("")
+    window = lambda test, n: F.when(test, F.concat(F.lit(" interval '"), (n % 5 + 1).cast("string"), F.lit(" days'"))).otherwise("")
+    left = F.concat(F.lit("select x"), window(k % 3 != 0, size), part(k % 6 == 0, " NET_amount"), part(k % 7 == 0, " amount - refunds"))
+    right = F.concat(F.lit("select y"), window(k % 4 != 0, k), part(k % 11 == 0, " net_amount"))
+    pairs = table(spark, sf_dir, "part").select(k.alias("id"), name.alias("metric_name"), left.alias("left_sql"), right.alias("right_sql"), F.concat(F.lit("sum(fee)"), part(k % 2 == 0, " - Refund")).alias("left_primary"), F.concat(F.lit("sum(fee)"), part(k % 5 == 0, " - refunds")).alias("right_primary"))
+    return semantic.judged(pairs).select("id", "verdict", "confidence")
 
 
 @query("""
-select event_id, case when json_extract_string(props, '$.k') is null then 'invalid' else 'valid' end as state from events""")
+select p_partkey as id, case p_partkey % 9 when 0 then 'not JSON' when 1 then 'not the fields asked for' when 2 then 'not the fields asked for' when 3 then 'another candidate, an unknown verdict or confidence'
+when 4 then 'another candidate, an unknown verdict or confidence' when 5 then 'another candidate, an unknown verdict or confidence' when 6 then 'a quote that isn''t in the definition' when 7 then 'quotes that don''t differ' end as error from part""")
 def validated_json(spark, sf_dir):
-    """Rows whose JSON has the field that is asked for."""
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.get_json_object("props", "$.k").isNull(), "invalid").otherwise("valid").alias("state"))
+    """What is wrong with a judge's answers."""
+    k = F.col("p_partkey") % 9
+    own = F.col("p_partkey").cast("string")
+    field = {
+        "candidate_id": F.when(k == 3, F.lit("other")).otherwise(own), "verdict": F.when(k == 4, "maybe").otherwise("drifted"), "rationale": F.when(k != 1, "because"),
+        "left_sql_quote": F.when(k == 6, "invented").when(k == 7, "select").otherwise(F.col("p_brand")), "right_sql_quote": F.when(k == 7, "select").otherwise(F.col("p_type")), "confidence": F.when(k == 5, 1.5).otherwise(0.5),
+    }
+    whole = F.to_json(F.struct(*[v.alias(n) for n, v in field.items()]))  # nulls are left out
+    raw = F.when(k == 0, "no { json").when(k == 2, F.replace(whole, F.lit(":0.5"), F.lit(':"0.5"'))).otherwise(whole)
+    answers = table(spark, sf_dir, "part").select(own.alias("id"), F.concat(F.lit("select "), "p_brand").alias("left_sql"), F.concat(F.lit("select "), "p_type").alias("right_sql"), raw.alias("raw"))
+    return definitions.answer_errors(answers).select(F.col("id").cast("long").alias("id"), "error")
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """Documents as candidates, labelled ones with an answer in the cache."""
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("left_sql"), F.col("lang").alias("right_sql"), F.length("text").cast("long").alias("n"))
+    held = pairs.join(table(spark, sf_dir, "labels"), "doc_id").select(definitions.cache_key("chat", "m").alias("key"), F.col("quality").cast("string").alias("raw"))
+    return definitions.with_cached(pairs, held, "chat", "m")
 
 
 @query("""
-select d.doc_id, case when l.doc_id is null then 'miss' else 'hit' end as state, quality from documents d left join labels l using (doc_id)""")
+with l as (select doc_id, min(quality) as quality from labels group by doc_id)
+select d.doc_id, case when l.doc_id is null then 'miss' else 'hit' end as state, cast(quality as varchar) as raw from documents d left join l using (doc_id)""")
 def cached_answers(spark, sf_dir):
-    """Requests with the answers that a keyed table holds, hits and misses."""
-    docs, cache = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("held"))
-    return docs.join(cache, "doc_id", "left").select("doc_id", F.when(F.col("held"), "hit").otherwise("miss").alias("state"), "quality")
+    """Candidates with the answers that a cache holds, hits and misses."""
+    return _asked(spark, sf_dir).select("doc_id", F.when(F.col("raw").isNull(), "miss").otherwise("hit").alias("state"), "raw")
 
 
-@query("select count(*) as requests, count(l.doc_id) as hits, cast(sum(length(text)) as bigint) as characters from documents d left join labels l using (doc_id)")
+@query("""
+with d as (select length(text) as n, doc_id in (select doc_id from labels) as held from documents)
+select count(*) filter (where not held) as requests, count(*) filter (where held) as cache_hits, cast(coalesce(sum(n) filter (where not held), 0) as bigint) as prompt_tokens,
+       count(*) filter (where not held) * 3 as completion_tokens, cast(0 as double) as cost from d""")
 def answer_totals(spark, sf_dir):
-    docs, cache = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), table(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("held"))
-    return docs.join(cache, "doc_id", "left").agg(F.count(F.lit(1)).alias("requests"), F.count("held").alias("hits"), F.sum("n").alias("characters"))
+    asked = _asked(spark, sf_dir)
+    return definitions.usage_totals(asked, asked.filter("raw is null").select(F.col("n").alias("prompt_tokens"), F.lit(3).cast("long").alias("completion_tokens")))
+
+
+@query("""
+with m as (select p_brand || ' ' || p_type as metric, 'c' || p_partkey as id, p_partkey, p_size from part where p_size % 3 = 0)
+select 'metric_definition_conflict:' || metric || ':' || substr(sha256(string_agg(id, '|' order by id)), 1, 12) as id, cast(min(p_size) as double) / 50 as confidence,
+       count(*) + 1 as assets, count(*) * 3 as evidence from m group by metric""")
+def drift_groups(spark, sf_dir):
+    """Candidates that drifted, merged into one finding for each metric."""
+    own = _text("tile.", "p_partkey")
+    judged = table(spark, sf_dir, "part").select(
+        _text("c", "p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_type").alias("metric_name"), F.lit("same_metric_label").alias("match_kind"), F.when(F.col("p_size") % 3 == 0, "drifted").otherwise("unrelated").alias("verdict"),
+        F.lit("tile.first").alias("left_asset_id"), own.alias("right_asset_id"), _evidence(own).alias("evidence"), F.lit("a").alias("left_sql_quote"), F.lit("b").alias("right_sql_quote"), (F.col("p_size") / 50).alias("confidence"),
+    )
+    return definitions.drift_findings(judged).select("id", "confidence", F.size("asset_ids").cast("long").alias("assets"), F.size("evidence").cast("long").alias("evidence"))
 
 
 # --- SQL vocabulary ----------------------------------------------------------------------------------------
@@ -429,3 +712,19 @@ sql_query("sql_comments", "-- a comment\nselect l_linestatus, count(*) as n -- a
 sql_query("sql_three_ctes", """with paid as (select o_custkey as c, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as spent from {orders} group by 1),
 seen as (select c_custkey as c, c_nationkey as n from {customer}), named as (select n_nationkey as n, n_name from {nation})
 select named.n_name, count(*) as customers, count(paid.c) as buyers from seen left join paid using (c) left join named using (n) group by 1""")
+sql_query("sql_part_names", "select n.n_name, count(c.c_custkey) as customers from {nation} n left join {customer} c on c.c_nationkey = n.n_nationkey group by n.n_name")
+
+
+@query("""with d as (select o_custkey, cast(o_orderdate as date) as day, o_totalprice from orders where o_orderstatus <> 'P')
+select o_custkey, count(distinct day) as days, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as spent from d group by o_custkey""")
+def materialized_models(spark, sf_dir):
+    """Three models in their materialisations: a view, an ephemeral model that is inlined, and a table."""
+    from .plans import materialize
+
+    models = [
+        ("clean_orders", "staging", "view", "analytics.clean_orders", "select o_custkey, o_orderdate, o_totalprice from plant.orders where o_orderstatus <> 'P'", []),
+        ("order_days", "intermediate", "ephemeral", "analytics.order_days", "select o_custkey, cast(o_orderdate as date) as day, o_totalprice from analytics.clean_orders", ["clean_orders"]),
+        ("buyers", "marts", "table", "analytics.buyers", "select o_custkey, count(distinct day) as days, cast(sum(cast(o_totalprice as decimal(18, 2))) as double) as spent from Analytics.Order_Days group by o_custkey", ["order_days"]),
+    ]
+    rows = spark.createDataFrame(models, "name string, layer string, materialization string, relation_name string, resolved_sql string, refs array<string>")
+    return materialize.run_models(spark, rows, {"plant.orders": table(spark, sf_dir, "orders")})["analytics.buyers"]

@@ -34,13 +34,14 @@ def load_dashboards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     catalog = reader.schema(schema).option("mode", "FAILFAST").json(path)
     as_of = catalog.first()["generated_as_of"]
     each = catalog.select(F.explode("dashboards").alias("d")).select("d.*")
-    missing = each.filter(F.coalesce(F.length("id") == 0, F.lit(True)) | F.col("title").isNull() | F.col("tiles").isNull())
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    missing = each.filter(blank("id") | blank("title") | F.col("tiles").isNull())
     require_none(missing.select("id"), "dashboards without id, title or tiles", DashboardError)
     require_none(relational.duplicated(each, ["id"]), "dashboards of one id", DashboardError)
     pointer = lambda locator, body: F.array(F.struct(F.lit("dashboard_metadata").alias("source"), F.lit(path).alias("uri"), locator.alias("locator"), F.sha2(body, 256).alias("content_hash"), F.lit(None).cast("string").alias("excerpt")))
     dashboards = each.select("id", "title", "description", pointer(F.concat(F.lit("dashboard="), "id"), F.to_json(F.struct("description", "id", "tiles", "title"))).alias("evidence"))
     tiles = each.select(F.col("id").alias("dashboard_id"), F.explode("tiles").alias("t")).select("dashboard_id", F.col("t.id").alias("tile_id"), "t.title", "t.metric_label", F.col("t.sql").alias("query_sql"))
-    require_none(tiles.filter("tile_id is null or tile_id = '' or query_sql is null or trim(query_sql) = ''").select("dashboard_id", "tile_id"), "tiles without id or SQL", DashboardError)
+    require_none(tiles.filter(blank("tile_id") | blank("title") | blank("metric_label") | blank("query_sql")).select("dashboard_id", "tile_id"), "tiles without id, title, label or SQL", DashboardError)
     require_none(relational.duplicated(tiles, ["tile_id"]), "tiles of one id", DashboardError)
     reads = []
     for tile_id, sql in tiles.select("tile_id", "query_sql").collect():  # SQL is parsed where the session's parser is

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing
 from ..operators import usage
-from ..schemas import QUERY_LOG
+from ..schemas import QUERY_LOG, require_none
 
 
 class QueryLogError(ValueError):
@@ -22,7 +22,20 @@ def load_query_log(spark: SparkSession, path: str) -> DataFrame:
     kinds = [f.dataType.typeName() for f in log.schema.fields]
     if log.columns != QUERY_LOG or kinds[:3] != ["string"] * 3 or not kinds[3].startswith("timestamp"):
         raise QueryLogError(f"{path}: expected {QUERY_LOG}, found {dict(zip(log.columns, kinds, strict=True))}")
-    return log.select(*[F.trim(c).alias(c) for c in QUERY_LOG[:3]], F.col("timestamp").cast("timestamp").alias("timestamp"))
+    log = log.select(*[F.trim(c).alias(c) for c in QUERY_LOG[:3]], F.col("timestamp").cast("timestamp").alias("timestamp"))
+    blank = F.exists(F.array(*QUERY_LOG[:3]), lambda x: F.coalesce(x == "", F.lit(True))) | F.col("timestamp").isNull()
+    require_none(log.filter(blank).select(*QUERY_LOG[:3]), f"{path}: rows without a key", QueryLogError)
+    return log
+
+
+def log_totals(log: DataFrame) -> DataFrame:
+    """One row: how many rows the log has, and its first and last time."""
+    return log.agg(F.count(F.lit(1)).alias("log_rows"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+
+
+def of_dashboard(log: DataFrame, dashboard_id: str) -> DataFrame:
+    """The rows of one dashboard."""
+    return log.filter(F.col("dashboard_id") == dashboard_id)
 
 
 def with_evidence(log: DataFrame, path: str) -> DataFrame:

@@ -33,23 +33,36 @@ def test_all_defects_and_no_lookalike(spark, root, audited, tmp_path):
     found = audit.load_findings(spark, f"file://{path}")
     card = scoring.score(found, scoring.load_manifest(spark, f"file://{root}/manifest.yaml"))
     assert card.recall == 1 and card.flagged_negative_ids == [] and card.unmatched_finding_ids == [] and card.finding_count == 7
+    assert [d["finding_id"] for d in card.per_defect][:4] == ["unused_column_propagation:panel_sheet", "orphaned_model:clean_cards", "broken_lineage:model.clean_members.iban_tail", card.per_defect[3]["finding_id"]]
     assert audit.as_json(found) == audit.as_json(audited[0])
 
 
 def test_build_summary(estate):
     got = audit.build_summary(estate)
-    assert (got["nodes"], got["edges"]) == (46, 43)
-    assert got["nodes_by_layer"] == {"source": 5, "staging": 5, "intermediate": 4, "marts": 6, "tile": 26}
+    assert (got["nodes"], got["edges"]) == (73, 70)
+    assert got["nodes_by_layer"] == {"source": 10, "staging": 10, "intermediate": 10, "marts": 10, "tile": 33} and got["models_by_layer"] == {"staging": 10, "intermediate": 10, "marts": 10}
     assert {u["reason_code"] for u in got["unresolved"]} == {"missing_upstream_column", "row_level_aggregation"}
-    assert got["findings"] == ["broken_lineage:model.stg_members.phone_hash", "orphaned_model:stg_old_loans", "unused_column_propagation:int_loan_wide"]
-    assert got["graph_fingerprint"] == dag.fingerprint(estate.nodes.orderBy(F.desc("id")), estate.edges.repartition(3))
+    assert got["findings"] == ["broken_lineage:model.clean_members.iban_tail", "orphaned_model:clean_cards", "unused_column_propagation:panel_sheet"]
+    assert got["graph_fingerprint"] == dag.fingerprint(estate.nodes.orderBy(F.desc("id")), estate.edges.repartition(3)).first()[0] != dag.fingerprint(estate.nodes, estate.edges.limit(3)).first()[0]
+
+
+def test_lineage_fingerprint(estate):
+    own = estate.lineage
+    same = lineage.Lineage(own.columns.orderBy(F.desc("id")), own.edges.repartition(3), own.unresolved, {})
+    other = lineage.Lineage(own.columns, own.edges.orderBy("source_id").limit(5), own.unresolved, {})
+    value = lineage.fingerprint(own).first()[0]
+    assert value == lineage.fingerprint(same).first()[0] != lineage.fingerprint(other).first()[0]
 
 
 def test_lineage_paths(estate):
-    net = "column.tile.lending_a.la_0.net"
-    assert lineage.source_columns_for(estate.lineage, net) == ["column.source.raw.loans.fee", "column.source.raw.loans.refund"]
-    broken = lineage.unresolved_for(estate.lineage, "column.tile.privacy.privacy_hash.phone_hash").collect()
+    own = estate.lineage
+    assert lineage.source_columns_for(own, "column.tile.control_room.control_room_surplus.surplus") == ["column.source.grid.readings.kwh_in", "column.source.grid.readings.kwh_out"]
+    # a subset of what a mean is made of
+    assert {"column.source.grid.readings.kwh_out"} <= set(lineage.source_columns_for(own, "column.tile.villages.villages_yield.mean_fed"))
+    broken = lineage.unresolved_for(own, "column.tile.share_register.share_register_account.iban_tail").collect()
     assert [r.reason_code for r in broken] == ["missing_upstream_column"]
+    with pytest.raises(KeyError):
+        lineage.source_columns_for(own, "column.none")
 
 
 @pytest.mark.parametrize(
@@ -79,6 +92,20 @@ def test_extract(spark, sql, columns, sources, reasons):
     assert [u[3] for u in got.unresolved] == reasons
 
 
+def test_default_catalog_and_many_missing_columns(spark):
+    catalog = lineage.Catalog()
+    catalog.add("plant.grid.t", ["a"], "source.t", [])
+    catalog.add("analytics.m", ["b"], "model.m", [])
+    for name in ("grid.t", "Plant.Grid.T", "plant.grid.t"):
+        got = lineage.extract(spark, f"select a from {name}", catalog)
+        assert got.sources["a"] == {("plant.grid.t", "a")} and not got.unresolved, name
+    assert lineage.extract(spark, "select b from plant.analytics.m", catalog).sources["b"] == {("analytics.m", "b")}
+    wide = "select " + ", ".join(f"x{i}" for i in range(30)) + " from grid.t"
+    assert [u[3] for u in lineage.extract(spark, wide, catalog).unresolved] == ["missing_upstream_column"] * 30
+    catalog.add("other.grid.u", ["a"], "source.u", [])
+    assert [u[3] for u in lineage.extract(spark, "select a from grid.t", catalog).unresolved] == ["unknown_upstream_relation"]
+
+
 def test_star_and_aggregate_outputs(spark):
     catalog = lineage.Catalog()
     catalog.add("db.t", ["a", "b"], "model.t", [])
@@ -92,12 +119,22 @@ def test_relations_and_canonical_sql(spark):
     assert [r.name for r in sqltext.relations(spark, sql)] == ["A.b", "d.e.f", "g.h"]
     assert sqltext.canonical_sql(spark, "SELECT  a FROM t -- x") == sqltext.canonical_sql(spark, "select a\nfrom t")
     assert sqltext.canonical_sql(spark, "select a from t") != sqltext.canonical_sql(spark, "select b from t")
+    wide = lambda last: "select " + ", ".join(f"c{i} as d{i}" for i in range(40)) + f", {last} from t"
+    assert sqltext.canonical_sql(spark, wide("x")) != sqltext.canonical_sql(spark, wide("y")) and sqltext.canonical_sql(spark, wide("x")) == sqltext.canonical_sql(spark, wide("X"))
+    assert sqltext.canonical_sql(spark, "select '#12' as a from t") != sqltext.canonical_sql(spark, "select '#13' as a from t")
+    assert spark.conf.get("spark.sql.debug.maxToStringFields") == "25"
 
 
 def test_log_contract(spark, root, estate, tmp_path):
     log = querylog.load_query_log(spark, f"file://{root}/query_log.parquet")
     usage = {(r.dashboard_id, r.tile_id): (r.last_queried_at.isoformat(), r.query_count_90d) for r in querylog.usage_summaries(log, estate.as_of).collect()}
-    assert usage["branch_ops", "ops_loans"] == ("2025-10-26T09:00:00", 0) and usage["monthly", "monthly_fines"][1] == 3
+    assert usage["solar_fair", "solar_fair_capacity"] == ("2025-11-08T09:11:00", 0) and usage["statutes", "statutes_members"][1] == 1
+    totals = querylog.log_totals(log).first()
+    assert totals.log_rows == log.count() > 1000 and totals.last_at <= estate.as_of and querylog.of_dashboard(log, "statutes").count() == 4
+    blank = log.limit(3).withColumn("user", F.lit(" ")).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    blank.write.parquet(f"{tmp_path}/blank")
+    with pytest.raises(querylog.QueryLogError, match="without a key"):
+        querylog.load_query_log(spark, f"{tmp_path}/blank")
     assert querylog.with_evidence(log, "x").filter("length(evidence.content_hash) <> 64").count() == 0
     log.select("dashboard_id", "tile_id", "user").write.parquet(f"{tmp_path}/three")
     with pytest.raises(querylog.QueryLogError):
@@ -112,21 +149,37 @@ def test_strict_inputs(spark, root, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps(bad))
     with pytest.raises(dashboards.DashboardError, match="colour"):
         dashboards.load_dashboards(spark, f"file://{tmp_path}/d.json")
+    for where, name in (("title", "title"), ("metric_label", "label")):
+        bad = fixture.dashboards()
+        bad["dashboards"][0]["tiles"][0][where] = "  "
+        (tmp_path / "d.json").write_text(json.dumps(bad))
+        with pytest.raises(dashboards.DashboardError, match=name):
+            dashboards.load_dashboards(spark, f"file://{tmp_path}/d.json")
     fixture.generate(spark, str(tmp_path))
-    model = tmp_path / "project/models/staging/stg_loans.sql"
+    model = tmp_path / "project/models/staging/clean_meters.sql"
     good = model.read_text()
-    for body in ("select {{ var('x') }} as a", "select * from {{ ref('missing') }}", "select * from {{ source('raw', 'missing') }}"):
+    for body in ("select {{ var('x') }} as a", "select * from {{ ref('missing') }}", "select * from {{ source('grid', 'missing') }}"):
         model.write_text(body)
         with pytest.raises(project.ProjectError):
             project.load_project(spark, f"file://{tmp_path}/project")
     model.write_text(good)
     models, _ = project.load_project(spark, f"file://{tmp_path}/project", database="db")
-    row = models.filter("name = 'int_loan_money'").first()
-    assert (row.layer, row.materialization, row.relation_name, row.refs) == ("intermediate", "ephemeral", "db.analytics.int_loan_money", ["stg_fines", "stg_loans"]) and "{{" not in row.resolved_sql
+    row = models.filter("name = 'metered_sites'").first()
+    assert (row.layer, row.materialization, row.relation_name, sorted(row.refs)) == ("intermediate", "ephemeral", "db.analytics.metered_sites", ["clean_meters", "clean_sites"]) and "{{" not in row.resolved_sql
 
 
 def test_generate_repeats(spark, root, tmp_path):
-    assert fixture.generate(spark, str(tmp_path)) == fixture.generate(spark, str(tmp_path))
+    first = fixture.generate(spark, str(tmp_path))
+    assert first == fixture.generate(spark, str(tmp_path)) and "query_log.parquet" in first and len(first) == 30 + 5
+    boards = fixture.dashboards()["dashboards"]
+    assert (len(fixture.MODELS), len(fixture.TABLES), len(boards), sum(len(b["tiles"]) for b in boards)) == (30, 10, 12, 33)
+
+
+def test_generate_verifies(spark, tmp_path, monkeypatch):
+    """An estate without one of its planted cases isn't accepted."""
+    monkeypatch.setitem(fixture.MODELS, "staging/clean_members", fixture.MODELS["staging/clean_members"].replace(", iban_tail", ", village as iban_tail"))
+    with pytest.raises(AssertionError, match="account-tail"):
+        fixture.generate(spark, str(tmp_path))
 
 
 def test_contract_violations(spark):
@@ -138,31 +191,54 @@ def test_contract_violations(spark):
 
 
 class Parrot:
-    name, model, asked = "parrot", "m1", 0
+    name, model, asked, usage = "parrot", "m1", 0, (7, 2)
 
     def complete(self, prompt):
         self.asked += 1
         side = lambda s: prompt.split(f"\n{s} ", 1)[1].split(":\n", 1)[1].split("\nRIGHT " if s == "LEFT" else "\nAnswer as", 1)[0]
-        return json.dumps({"candidate_id": prompt.split("candidate_id (", 1)[1].split(")", 1)[0], "verdict": "drifted", "rationale": "r", "left_sql_quote": side("LEFT"), "right_sql_quote": side("RIGHT"), "confidence": 0.5})
+        return json.dumps({"candidate_id": prompt.split("candidate_id (", 1)[1].split(")", 1)[0], "verdict": "drifted" if "total_revenue" in prompt or "quiet_meters" in prompt else "unrelated", "rationale": "r", "left_sql_quote": side("LEFT"), "right_sql_quote": side("RIGHT"), "confidence": 0.5})
+
+
+def test_provider_and_saved_cache(spark, estate, audited, tmp_path):
+    parrot, path, said = Parrot(), f"file://{tmp_path}/cache", []
+    _, judged, totals = audit.run_audit(spark, estate, parrot, path, said.append)
+    assert totals == {"requests": 9, "cache_hits": 0, "prompt_tokens": 63, "completion_tokens": 18, "cost": 0.0} and parrot.asked == 9 and judged.filter("verdict = 'drifted'").count() == 2
+    assert sum(x.startswith("judged ") for x in said) == 9
+    findings, _, totals = audit.run_audit(spark, estate, parrot, path)
+    assert (totals["requests"], totals["cache_hits"], totals["prompt_tokens"]) == (0, 9, 0) and parrot.asked == 9
+    assert sorted(r.id for r in findings.collect()) == sorted(r.id for r in audited[0].collect()) and definitions.load_cache(spark, path).count() == 9
+    assert audited[2] == {"requests": 0, "cache_hits": judged.count(), "prompt_tokens": 0, "completion_tokens": 0, "cost": 0.0}
+    # held answers are checked like new ones
+    pairs = audited[1].select("id", "match_kind", "metric_name", "left_asset_id", "right_asset_id", "left_sql", "right_sql", "left_primary", "right_primary", "evidence")
+    spoilt = definitions.load_cache(spark, path).withColumn("raw", F.replace("raw", F.lit("drifted"), F.lit("perhaps")))
+    with pytest.raises(definitions.JudgeError, match="unknown verdict"):
+        definitions.judge_with(pairs, parrot, spoilt)
+    spark.range(2).write.parquet(f"{tmp_path}/other")
+    with pytest.raises(definitions.JudgeError, match="not a cache"):
+        definitions.load_cache(spark, f"file://{tmp_path}/other")
+    assert definitions.load_cache(spark, f"file://{tmp_path}/none") is None
 
 
-def test_provider_and_cache(spark, audited):
-    pairs = audited[1].select("id", "match_kind", "metric_name", "left_asset_id", "right_asset_id", "left_sql", "right_sql", "left_primary", "right_primary", "evidence")
-    parrot = Parrot()
-    judged, cache, totals = definitions.judge_with(pairs, parrot)
-    assert totals == {"requests": 2, "cache_hits": 0} and parrot.asked == 2 and judged.filter("verdict = 'drifted'").count() == 2
-    again, _, totals = definitions.judge_with(pairs, parrot, cache)
-    assert totals == {"requests": 0, "cache_hits": 2} and parrot.asked == 2
-    pair = pairs.first().asDict()
-    good = json.loads(parrot.complete(definitions.prompt(pair)))
-    for raw in ("not json", json.dumps(good | {"extra": 1}), json.dumps(good | {"left_sql_quote": "invented"}), json.dumps(good | {"verdict": "maybe"}), json.dumps(good | {"candidate_id": "x"})):
-        with pytest.raises(definitions.JudgeError):
-            definitions.validated(raw, pair)
+def test_answers(spark, audited):
+    pair = audited[1].first().asDict()
+    good = json.loads(Parrot().complete(definitions.prompt(pair)))
+    cases = [(json.dumps(good), None), ("not json", "not JSON"), (None, "not JSON"), ("[1]", "not the fields"), (json.dumps(good | {"extra": 1}), "not the fields"), (json.dumps(good | {"rationale": 3}), "not the fields"), (json.dumps(good | {"left_sql_quote": "invented"}), "a quote"), (json.dumps(good | {"verdict": "maybe"}), "another candidate"), (json.dumps(good | {"confidence": -1}), "another candidate"), (json.dumps(good | {"candidate_id": "x"}), "another candidate"), (json.dumps(good | {"left_sql_quote": ""}), "a quote")]
+    rows = spark.createDataFrame([(i, pair["id"], pair["left_sql"], pair["right_sql"], raw) for i, (raw, _) in enumerate(cases)], "i int, id string, left_sql string, right_sql string, raw string")
+    got = [r.error for r in definitions.answer_errors(rows).orderBy("i").collect()]
+    assert all(g is None if want is None else want in g for g, (_, want) in zip(got, cases, strict=True)), got
 
 
 def test_every_planted_case_is_read(spark, root, estate):
     got = verify.verify(spark, estate, f"file://{root}/manifest.yaml").collect()
-    assert len(got) == 12 and all(r.passed for r in got), got
+    assert len(got) == 13 and all(r.passed for r in got), got
+
+
+def test_verification_names_what_is_wrong(spark, root, estate, tmp_path):
+    """A manifest that names other models for its cases fails there, and only there."""
+    text = (root / "manifest.yaml").read_text().replace("model=clean_members", "model=clean_sites").replace("model=panel_sheet", "model=phase_census")
+    (tmp_path / "manifest.yaml").write_text(text)
+    got = {r.id: r.passed for r in verify.verify(spark, estate, f"file://{tmp_path}/manifest.yaml").collect()}
+    assert {i for i, ok in got.items() if not ok} == {"account-tail", "panel-star"}
 
 
 def test_chat_provider_asks_for_fixed_fields(monkeypatch):
@@ -171,18 +247,49 @@ def test_chat_provider_asks_for_fixed_fields(monkeypatch):
         provider.ChatProvider("m", "http://localhost:1/none")
     chat = provider.ChatProvider("m", "http://127.0.0.1:9/none", "key", timeout=1)
     schema = chat.body("p")["response_format"]["json_schema"]["schema"]
-    assert chat.body("p")["temperature"] == 0 and not schema["additionalProperties"] and schema["required"] == provider.FIELDS
+    assert chat.body("p")["temperature"] == 0 and not schema["additionalProperties"] and schema["required"] == list(provider.PROPERTIES)
     with pytest.raises(definitions.JudgeError):
         chat.complete("p")
 
 
+def test_chat_provider_reads_replies(monkeypatch):
+    chat = provider.ChatProvider("m", "http://127.0.0.1:9/none", "key")
+    monkeypatch.setattr(chat, "_post", lambda body: {"choices": [{"message": {"content": "x"}}], "usage": {"prompt_tokens": 5, "completion_tokens": 1}})
+    assert chat.complete("p") == "x" and chat.usage == (5, 1) and "key" not in repr(chat)
+    monkeypatch.setattr(chat, "_post", lambda body: {"choices": []})
+    with pytest.raises(definitions.JudgeError, match="no answer"):
+        chat.complete("p")
+
+
 def test_export_and_page(estate, audited):
     export = audit.graph_export(estate, audited[0])
     by = {n["id"]: n["findings"] for n in export["nodes"]}
-    assert len(export["nodes"]) == 46 and by["tile.branch_ops.ops_loans"] == ["stale_asset:branch_ops"] and by["model.int_loan_wide"] == ["unused_column_propagation:int_loan_wide"]
+    assert len(export["nodes"]) == 73 and by["tile.solar_fair.solar_fair_capacity"] == ["stale_asset:solar_fair"] and by["model.panel_sheet"] == ["unused_column_propagation:panel_sheet"]
+    assert export["legend"] == {"metric_definition_conflict": 2, "duplicate_dashboard": 1, "stale_asset": 1, "orphaned_model": 1, "broken_lineage": 1, "unused_column_propagation": 1}
+    at = audit.placed(export)
+    assert len(set(at.values())) == 73 and {c for c, _ in at.values()} == set(range(5))
+    export["nodes"][0]["label"] = "</script><b>"
     page = audit.render_html(export)
-    assert page.count("</script>") == 1 and "int_loan_wide" in page
+    assert page.count("</script>") == 2 and "panel_sheet" in page and "legend" in page and 'id="search"' in page and 'id="detail"' in page
 
 
-def test_command_line_ask():
+def test_materialized_models(spark):
+    from estatelens.plans import materialize
+
+    rows = [("a", "view", "x.a", "select k + 1 as k from raw.t", []), ("b", "table", "x.b", "select k * 10 as k from X.A where k > 1", ["a"]), ("c", "ephemeral", "x.c", "select max(k) as k from x.b", ["b"])]
+    models = spark.createDataFrame(rows, "name string, materialization string, relation_name string, resolved_sql string, refs array<string>")
+    got = materialize.run_models(spark, models, {"plant.raw.t": spark.range(3).withColumnRenamed("id", "k")})
+    assert sorted(got) == ["x.a", "x.b", "x.c"] and got["x.c"].first().k == 30 and got["x.b"].inputFiles() and not got["x.a"].inputFiles()
+    with pytest.raises(ValueError, match="no relation"):
+        materialize.run_models(spark, models, {})
+
+
+def test_command_line(root, tmp_path, capsys):
     assert cli.main(["ask"]) == 2
+    out = str(tmp_path / "audit.json")
+    assert cli.main(["audit", "--root", str(root), "--out", out]) == 0
+    said = capsys.readouterr()
+    assert json.loads(said.out)["findings"] == 7 and "candidates" in said.err
+    assert cli.main(["eval", "--root", str(root), "--out", out]) == 0 and cli.main(["verify", "--root", str(root)]) == 0
+    with pytest.raises(definitions.JudgeError):
+        cli.main(["audit", "--root", str(root), "--backend", "chat", "--model", "m", "--url", "http://127.0.0.1:9/none"])
