@@ -1,7 +1,15 @@
-"""A corpus from raw documents: five stages, each written as Parquet and read again as the next one's input."""
+"""A corpus from raw documents: five stages, each written as Parquet and read again as the next one's input.
+
+Every stage takes any further columns, whatever they are called, and all but the last return
+the columns that they were given. Null ids are ids that come last; repeated rows are documents
+like others until a stage finds them to be copies; empty tables pass through all stages; texts
+are read whole, however long.
+"""
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,37 +17,57 @@ from estatelens.llm import bpe, decontam, langid, lines, minhash
 from estatelens.llm._common import table, written
 from estatelens.llm.queries import BPE_VOCABULARY, PIECE_VOCABULARY
 
+DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.5  # of the predicted language: it is likelier than all others together
+
+
+def shielded(stage):
+    """The stage, with the documents' further columns under names that no operator uses while it runs."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        own = [n if n in DOCUMENT else f"further_column_{i}" for i, n in enumerate(names)]
+        return stage(spark, docs.toDF(*own), sf_dir).select(*own).toDF(*names)
+
+    return run
+
 
+@shielded
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops null texts and texts without letters, and nothing else: any language will do, whatever its score.
+    """Keeps the documents whose language is told: a learned one, with a score of LEAST_SCORE or more; lang, where it is null, becomes that language.
 
-    The model learns from these documents' labels. Where none is labelled it has no language to
-    tell, and the letters alone decide.
+    Null texts and texts without letters have none. The model learns from these documents'
+    labels. Where none is labelled there is no language to tell, and texts with letters stay.
     """
     model = langid.learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(~langid.held_out(F.col("doc_id"))), PIECE_VOCABULARY)
     if not model[0]:
-        return docs.filter(F.col("text").cast("string").rlike(r"[\p{L}\p{Nl}\p{No}]"))
-    return langid.identify(docs, model).filter("lang_pred <> 'und'").select(*docs.columns)
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    told = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
 
+@shielded
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; documents that lose every line go."""
+    """Removes repeated lines, the later ones; documents that lose every line, and null and blank texts, go. n_chars is that of the text that is left."""
     out = lines.drop_repeated_lines(docs, emptied=False)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@shielded
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
+    """Keeps one document of each group of near copies, that of the smallest id (of equal rows, any); null and wordless texts all stay."""
     return minhash.one_of_each(docs)
 
 
+@shielded
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
-    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+    """Drops documents that hold a benchmark passage; null texts hold none."""
+    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the text that they decode to."""
+    """doc_id, lang and source with the token ids of each document, and digests of the ids and of the text that they decode to; null texts have no tokens. Further columns end here."""
     out = bpe.encode_documents(docs.select("doc_id", "lang", "source", "text"), BPE_VOCABULARY, keep_text=False)
     return out.drop("text")
 
