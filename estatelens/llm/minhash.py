@@ -255,31 +255,31 @@ def joining_links(members: list[tuple], similar: int = SIMILAR, k: int = SKETCH)
     sketches = np.full((len(right), k), NO_VALUE)
     for i, m in enumerate(right):
         sketches[i, : len(m[4])] = m[4]
-    least = similar / 100 - MARGIN
-    parent: dict = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    out = []
-    for _, node, own, shingle_set, sketch in left:
+    number = {r: i for i, r in enumerate(dict.fromkeys(m[2] for m in members))}
+    own, its = (np.array([number[m[2]] for m in side], np.int64) for side in (left, right))  # components
+    least, shingle_index, out = similar / 100 - MARGIN, {}, []
+    for n, (_, node, _, shingle_set, sketch) in enumerate(left):
         met = [index[x] for x in sketch.tolist() if x in index]
-        if not met:
+        if not met or (its == own[n]).all():
             continue
         alike = 100 * np.minimum(sizes, len(shingle_set)) >= similar * np.maximum(sizes, len(shingle_set))
-        overlap = np.bincount(np.concatenate(met), minlength=len(right)) * alike
+        overlap = np.bincount(np.concatenate(met), minlength=len(right)) * (alike & (its != own[n]))
         near = np.flatnonzero((overlap > 0) & (overlap >= np.maximum(lengths, len(sketch)) * least))  # no more than that is in the union's sketch
         near = near[shared_of_union(sketch, sketches[near], k) >= least] if len(near) else near
-        for i in near.tolist():
-            _, other, its, its_set, _ = right[i]
-            if root(own) == root(its):
-                continue
-            both = len(shingle_set & its_set)
-            if both and 100 * both >= similar * (len(shingle_set) + len(its_set) - both):
-                parent[root(own)] = root(its)
-                out.append((node, other))
+        if not len(near):
+            continue
+        if not shingle_index:
+            for i, m in enumerate(right):
+                for x in m[3]:
+                    shingle_index.setdefault(x, []).append(i)
+            shingle_index = {x: np.array(i) for x, i in shingle_index.items()}
+        held = [shingle_index[x] for x in shingle_set if x in shingle_index]
+        both = np.bincount(np.concatenate(held), minlength=len(right))[near] if held else np.zeros(len(near), np.int64)
+        for i in near[(both > 0) & (100 * both >= similar * (len(shingle_set) + sizes[near] - both))].tolist():
+            if its[i] != own[n]:
+                gone = its[i]
+                own[own == gone], its[its == gone] = own[n], own[n]
+                out.append((node, right[i][1]))
     return out
 
 
