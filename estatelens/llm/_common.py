@@ -219,12 +219,12 @@ def windows(words: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 
 def check_windows(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """A second hash, of 32 bits, of the n words from each place on, independent of that of windows."""
+    """A second hash, of 16 bits, of the n words from each place on, independent of that of windows."""
     out = np.zeros(len(at), np.uint64)
     mixed = mix(words ^ np.uint64(0xC2B2AE3D27D4EB4F))
     for i in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + mixed[at + i]
-    return (mix(out) >> np.uint64(32)).astype(np.uint32)
+    return (mix(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -16,8 +16,7 @@ BLOCK members meets another in one task: there, too, inverted lists of sketch va
 overlaps, the union sketch filters and the exact sets verify, and only links that join
 components are given. So a large group of near copies makes one row for each member
 and block, not one for each pair of members. Equal texts (by their SHA-256) are one node
-throughout. Components come from rounds over written tables. Joins on hubs have their own
-exchanges on both sides, so that adaptive execution can split the hub of a large group.
+throughout. Components come from rounds over written tables.
 
 The number of shingles is counted from 64-bit hashes; hashes that occur twice in a text are
 compared by their words, and a text in which two shingles share a hash is counted word by word.
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LAST, first_of, forget, mix, set_aside, windows, written
-from .components import apart, components
+from .components import components
 
 SHINGLE = 5
 SKETCH = 32
@@ -50,7 +49,6 @@ MARGIN = 0.35  # of the estimate, 4.6 standard deviations at k = 32
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SMALL_GROUP = 4096  # pairs
 BLOCK = 256
-HELD_SHINGLES = 200_000  # of hubs' sets that a task keeps at hand
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
@@ -125,16 +123,14 @@ def jaccard_links(pairs: DataFrame, n: int = SHINGLE, similar: int = SIMILAR) ->
     """The pairs (a, b, text_a, text_b) whose full sets of shingles reach the Jaccard index, verified on the words themselves."""
 
     def run(batches):
-        held: dict[bytes, set] = {}
+        key, right = None, set()
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
                 keep = []
                 for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b")), strict=True):
-                    if b not in held:
-                        if sum(map(len, held.values())) > HELD_SHINGLES:
-                            held.clear()
-                        held[b] = shingles(word_list(text_b), n)
-                    left, right = shingles(word_list(text_a), n), held[b]
+                    if b != key:
+                        key, right = b, shingles(word_list(text_b), n)
+                    left = shingles(word_list(text_a), n)
                     both = len(left & right)
                     keep.append(both > 0 and 100 * both >= similar * (len(left) + len(right) - both))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
@@ -171,7 +167,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     held = members.join(root("a"), "a", "left").join(root("b"), "b", "left").select("b", "a", "size", F.coalesce("root_a", "a").alias("root"), F.coalesce("root_b", "b").alias("hub_root"))
     held = written_held = written(held.withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "held")
     count = held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2")
-    held = apart(held, count, "b")
+    held = held.join(count, "b")
     small = held.filter(F.col("few") * F.col("all") <= SMALL_GROUP)
     left = small.filter("apart").select("b", F.col("a").alias("l"), F.col("root").alias("l_root"), F.col("size").alias("l_size"))
     across = left.join(small.select("b", F.col("a").alias("r"), "root", "size"), "b").filter(f"root <> l_root and 100 * least(size, l_size) >= {SIMILAR} * greatest(size, l_size)")
@@ -224,7 +220,8 @@ def blockwise(held: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
     every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
     rows = held.filter("apart").select("b", own("few").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "a", "root")
     rows = rows.union(held.select("b", every("few"), own("all"), F.lit(1), "a", "root"))
-    rows = rows.join(texts.join(nodes, "node").select(F.col("node").alias("a"), "text", "sketch"), "a").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
+    rows = rows.join(nodes.select(F.col("node").alias("a"), "sketch"), "a")
+    rows = rows.join(texts.select(F.col("node").alias("a"), "text"), "a").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
     return written(rows.select("b", "i", "j", "side", "a", "root", "text", "sketch").mapInArrow(_block_links, "a binary, b binary"), "block-links")
 
 
@@ -308,7 +305,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int = SKET
     likely = both.filter(shared >= F.size(union) * (SIMILAR / 100 - MARGIN)).select("a", "b")
     likely = written(likely, "likely")
     out = likely.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    out = out.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    out = out.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("b")
     out = written(jaccard_links(out), "links")
     forget(likely)
     return out

@@ -10,9 +10,9 @@ answers all but the first of them; each chunk then marks its repeated windows, a
 that overlap or touch merge into maximal intervals of words.
 
 A hash of one chunk is one value in one bucket, so a window that a third of all documents
-share is as many values of 12 bytes as there are chunks. Windows are told apart by 96 bits: a
-Rabin-Karp hash of 64 and an independent one of 32 that every match is checked by. Among 10^13
-windows (100 TB) a false match is expected with a chance of 1 in 1,500.
+share is as many values of 10 bytes as there are chunks. Windows are told apart by 80 bits: a
+Rabin-Karp hash of 64 and an independent one of 16 that every match is checked by. Among 10^13
+distinct windows (100 TB) some 40 false matches are to be expected, below 10^12 none.
 
 Defined results: a null text has no words; null ids come last and count as one document, as
 do rows of one id; a text shorter than a window keeps all; a very long text is one chunk, which
@@ -94,12 +94,12 @@ def among(hashes: np.ndarray, checks: np.ndarray, own: np.ndarray, own_checks: n
 
 
 def packed(hashes: np.ndarray, checks: np.ndarray) -> bytes:
-    return planes(hashes) + checks.astype("<u4").tobytes()
+    return planes(hashes) + checks.astype("<u2").tobytes()
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 12
-    return from_planes(blob[: 8 * n]), np.frombuffer(blob, "<u4", n, 8 * n).astype(np.uint32)
+    n = len(blob) // 10
+    return from_planes(blob[: 8 * n]), np.frombuffer(blob, "<u2", n, 8 * n).astype(np.uint16)
 
 
 def window_hashes(chunks: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -147,7 +147,7 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "
         if not own.num_rows:
             return _result([], [], [], [], [])
         chunk = Chunk(own, window)
-        foreign = [unpacked(b) for b in answered.column("hashes").to_pylist()] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
+        foreign = [unpacked(b) for b in answered.column("hashes").to_pylist()] or [(np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
         hashes, checks = (np.concatenate(x) for x in zip(*foreign, strict=True))
         order = in_order(hashes, checks)
         marked = chunk.repeated((hashes[order], checks[order]))

@@ -72,12 +72,12 @@ def test_split_ids_equal_brute_force(spark, monkeypatch):
 
 
 def test_hashes_that_collide_are_told_apart(spark, monkeypatch):
-    """With hashes of 8 bits the second hash alone decides."""
+    """With hashes of 16 bits the second hash decides."""
     true = _common.windows
 
     def coarse(words, of, n):
         hashes, at = true(words, of, n)
-        return hashes & np.uint64(0xFF << 56), at
+        return hashes & np.uint64(0xFFFF << 48), at
 
     monkeypatch.setattr(substrings, "windows", coarse)
     rnd = random.Random(4)
