@@ -149,6 +149,25 @@ def _among(sorted_: np.ndarray):
     return among
 
 
+RANGE_ROWS = 200_000  # of a task that numbers rows
+
+
+def dealt(rows: DataFrame, key: str, order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """rows, written by ranges of key and order, with the range of each as __part; and a row for each key and range: (key, __part, __base: the key's rows in earlier ranges, __rows, __total: all of the key).
+
+    A key of any number of rows is spread over ranges, for equal rows are told apart by __tie;
+    nothing is gathered, and what numbers rows afterwards works on (__part, key).
+    """
+    tied = written(rows.withColumn("__tie", F.monotonically_increasing_id()), name)
+    n = parts(tied.count(), RANGE_ROWS, 24)
+    ranged = written(tied.repartitionByRange(n, key, *order, "__tie").withColumn("__part", F.spark_partition_id()), f"{name}-ranges")
+    forget(tied)
+    counts = ranged.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__rows"))
+    of_key = Window.partitionBy(key)
+    before = F.coalesce(F.sum("__rows").over(of_key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged, written(counts.select(key, "__part", "__rows", before.alias("__base"), F.sum("__rows").over(of_key).alias("__total")), f"{name}-spans")
+
+
 # --- bytes and words of a chunk, as numpy arrays -------------------------------------------------
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
