@@ -330,7 +330,7 @@ def labelled_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(counts) -> list[float]:
-    """Newton's method for a logistic regression with PRIOR as the mean of the weights; each label counts LABEL_WEIGHT in all."""
+    """Newton's method, with its steps halved until they lead down, for a logistic regression with PRIOR as the mean of the weights; each label counts LABEL_WEIGHT in all."""
     w = PRIOR.copy()
     if len({r[4] for r in counts}) < 2:
         return w.tolist()
@@ -341,10 +341,14 @@ def fit(counts) -> list[float]:
     n = np.array([r[5] for r in counts], float)
     for label in (0, 1):
         n[y == label] *= LABEL_WEIGHT / n[y == label].sum()
-    for _ in range(50):
+    loss = lambda w: (n * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + ((w - PRIOR) ** 2).sum() / 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-(x @ w)))
         step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + np.eye(len(w)), x.T @ (n * (y - p)) - (w - PRIOR))
-        w += step
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w += size * step
         if abs(step).max() < 1e-9:
             break
     return np.round(w, 6).tolist()

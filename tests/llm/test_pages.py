@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -87,6 +88,11 @@ def test_classifier_learns_from_elements(spark):
     bare = spark.createDataFrame([(1, "u", "<p>x</p>")], df.schema)
     assert pages.learn(bare) == pages.PRIOR.tolist() == pages.learn(df.limit(0))
     assert pages.fit([(0, 0, 0, 0, True, 5)]) == pages.PRIOR.tolist()
+    few = [(1, 0, 0, 0, True, 5), (4, 0, 1, 0, False, 3)]
+    w = pages.fit(few)
+    x = [[w[o + r[j]] for j, o in enumerate(pages.OFFSETS)] for r in few]
+    p = [1 / (1 + math.exp(-sum(v))) for v in x]
+    assert abs(w[1] - pages.PRIOR[1] - 200 * (1 - p[0])) < 0.01 and abs(w[4] - pages.PRIOR[4] + 200 * p[1]) < 0.01  # where the gradient is 0
 
 
 def test_awkward_rows(spark):
