@@ -92,6 +92,48 @@ def test_extract(spark, sql, columns, sources, reasons):
     assert [u[3] for u in got.unresolved] == reasons
 
 
+MISSING = "missing_upstream_column"
+
+
+@pytest.mark.parametrize(
+    ("sql", "sources", "unresolved"),
+    [
+        ("with c as (select a, b from db.t) select c.a, c.nope from c", {"a": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        ("with c as (select a, b from db.t) select a, nope from c", {"a": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        ("select d.a, d.nope from (select a, b from db.t) d", {"a": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        ("with c as (select a from db.t), d as (select k from db.u) select c.a, d.zzz, d.k from c join d on c.a = d.k", {"a": {"a"}, "k": {"k"}}, {("zzz", "db.u", "zzz", MISSING)}),
+        ("with c as (select a, nope from db.t) select a, nope as x from c", {"a": {"a"}}, {("x", "db.t", "nope", MISSING)}),
+        # through a star, a chain, a union, groups and DISTINCT
+        ("with c as (select * from db.t) select a, nope from c", {"a": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        ("with c as (select a from db.t), d as (select a, nope from c) select a, nope from d x", {"a": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        ("with c as (select a from db.t union all select k from db.u) select a, nope from c", {"a": {"a", "k"}}, {("nope", "c", "nope", MISSING)}),
+        ("select s, nope from (select b, (sum(a)) as s from db.t group by 1 order by 1 limit 3) /* ) */ q", {"s": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        ("select a, nope from (select distinct a from db.t where ')' <> b) q where nope > 1", {"a": {"a"}}, {("nope", "db.t", "nope", MISSING)}),
+        # the relation has the column, what stands between leaves it out
+        ("with c as (select a from db.t) select a, b from c", {"a": {"a"}}, {("b", "c", "b", MISSING)}),
+        ("with c(x) as (select a from db.t) select x, a from c", {"x": {"a"}}, {("a", "c", "a", MISSING)}),
+        # not missing: aliases, correlation, fields of names, functions without parentheses
+        ("with c as (select a as p, b from db.t) select p + 1 as q, q * 2 as r, current_date as now from c where exists (select 1 from db.u where k = p) order by b", {"q": {"a"}, "r": {"a"}}, {("now", None, None, "unsupported_construct")}),
+        ("select a, e from db.t lateral view explode(split(b, ',')) x as e", {"a": {"a"}, "e": {"b"}}, set()),
+        # only where it reaches an output is it an edge
+        ("with c as (select a from db.t) select a from c where c.nope = 1", {"a": {"a"}}, set()),
+        ("select a from db.t join db.u using (zz)", {"a": {"a"}}, set()),
+        ("with c as (select x from db.gone) select x, y from c", {}, {("x", "db.gone", "x", "unknown_upstream_relation"), ("y", "db.gone", "y", "unknown_upstream_relation")}),
+        ("select count(*) as x, count(1) as y from db.t", {}, {("x", None, None, "row_level_aggregation"), ("y", None, None, "unsupported_construct")}),
+        ("select count(1) as y /* count(*) */ from db.t", {}, {("y", None, None, "unsupported_construct")}),
+        ("select count( * ) as y, 1 + COUNT(/* all */ *) as z from db.t", {}, {("y", None, None, "row_level_aggregation"), ("z", None, None, "row_level_aggregation")}),
+        ("with c as (select count(*) as n from db.t) select n, n + 1 as m from c", {}, {("n", None, None, "row_level_aggregation"), ("m", None, None, "row_level_aggregation")}),
+    ],
+)
+def test_missing_columns_of_inner_scopes(spark, sql, sources, unresolved):
+    catalog = lineage.Catalog()
+    catalog.add("db.t", ["a", "b"], "model.t", [])
+    catalog.add("db.u", ["k", "v"], "model.u", [])
+    got = lineage.extract(spark, sql, catalog)
+    assert {k: {c for _, c in v} for k, v in got.sources.items() if v} == sources
+    assert {u[:4] for u in got.unresolved} == unresolved
+
+
 def test_default_catalog_and_many_missing_columns(spark):
     catalog = lineage.Catalog()
     catalog.add("plant.grid.t", ["a"], "source.t", [])
