@@ -34,9 +34,10 @@ class Provider(Protocol):
 
 
 def normalised(spark: SparkSession, items: DataFrame, id_col: str, sql: str) -> DataFrame:
-    """(id, norm): definitions by what they parse to. SQL is parsed where the session's parser is, a definition at a time."""
-    rows = [(r[0], canonical_sql(spark, r[1])) for r in items.select(id_col, sql).collect()]
-    return spark.createDataFrame(rows, f"{id_col} string, norm string")
+    """(id, norm): definitions by what they parse to. Each distinct text is parsed once, where the session's parser is; texts come in one partition at a time."""
+    texts = written(items.select(F.col(id_col).cast("string").alias("id"), F.col(sql).alias("sql")), "texts")
+    norms = [(r[0], canonical_sql(spark, r[0])) for r in texts.select("sql").distinct().toLocalIterator()]
+    return texts.join(spark.createDataFrame(norms, "sql string, norm string"), "sql").select("id", "norm")
 
 
 def candidates(spark: SparkSession, models: DataFrame, tiles: DataFrame, aggregates: dict[str, list[str]]) -> DataFrame:

@@ -245,14 +245,19 @@ def first_matching_part(spark, sf_dir):
     return out.select("s_suppkey", F.col("match.p_partkey").alias("p_partkey"))
 
 
+def _reads(spark, sf_dir) -> DataFrame:
+    """What line items read: the part whose number is the supplier's times the line's, so that most parts are read by none."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * F.col("l_linenumber")).alias("l_partkey"), "l_suppkey")
+
+
 @query("""
 with c as (select p_brand as parent, p_name as name, p_partkey as col from part),
-u as (select distinct l_partkey as col from lineitem where l_quantity > 48)
+u as (select distinct l_suppkey * l_linenumber as col from lineitem)
 select parent, count(*) as unused, string_agg(name, ',' order by name) as names from c where col not in (select col from u) group by parent having count(*) >= 2""")
 def unused_columns(spark, sf_dir):
-    """Brands (parents) with two parts (columns) or more that no large line item (edge) takes."""
+    """Brands (parents) with two parts (columns) or more that no line item (edge) reads; one reads the part of its supplier's number times its own."""
     columns = table(spark, sf_dir, "part").select(F.col("p_brand").alias("parent"), F.col("p_name").alias("name"), F.col("p_partkey").alias("col"))
-    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    edges = _reads(spark, sf_dir)
     return relational.unused_columns(columns, edges, "parent", "col", "name", "l_partkey", 2)
 
 
@@ -430,15 +435,15 @@ def _text(prefix: str, number: str) -> Column:
 
 
 def _lineage(spark, sf_dir) -> lineage.Lineage:
-    """Brands pass on their parts (columns); suppliers (tiles' columns) read the parts of large line items; parts of size 50 are missing above."""
-    part, large = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_quantity > 48")
+    """Brands pass on their parts (columns); suppliers (tiles' columns) read parts by their line items; parts of size 50 are missing above."""
+    part, reads = table(spark, sf_dir, "part"), _reads(spark, sf_dir)
     of_part, of_supplier = _text("column.part.", "p_partkey"), _text("column.tile.", "s_suppkey")
     row = lambda df, own, name, parent, kind, star: df.select(own.alias("id"), name.alias("name"), parent.alias("parent_id"), F.lit("r").alias("relation_name"), F.lit(kind).alias("asset_kind"), F.lit(star).alias("star_expanded"), F.lit("x").alias("expression_sql"), _evidence(own).alias("evidence"))
     brands = part.select("p_brand").distinct()
     columns = row(brands, F.concat(F.lit("column.source."), "p_brand"), F.col("p_brand"), F.lit("source.brands"), "source", False)
     columns = columns.unionByName(row(part, of_part, F.col("p_name"), F.concat(F.lit("model."), "p_brand"), "model", True)).unionByName(row(table(spark, sf_dir, "supplier"), of_supplier, F.col("s_name"), _text("tile.", "s_suppkey"), "tile", False))
     edge = lambda df, up, down: df.select(up.alias("source_id"), down.alias("target_id"), F.lit("column_lineage").alias("kind"), _evidence(down).alias("evidence"))
-    edges = edge(part.filter("p_size <> 50"), F.concat(F.lit("column.source."), "p_brand"), of_part).unionByName(edge(large.select("l_partkey", "l_suppkey").distinct(), _text("column.part.", "l_partkey"), _text("column.tile.", "l_suppkey")))
+    edges = edge(part.filter("p_size <> 50"), F.concat(F.lit("column.source."), "p_brand"), of_part).unionByName(edge(reads.distinct(), _text("column.part.", "l_partkey"), _text("column.tile.", "l_suppkey")))
     missing = part.filter("p_size = 50").select(of_part.alias("target_id"), F.lit("brands").alias("upstream_relation"), F.col("p_type").alias("column_name"), F.lit("missing_upstream_column").alias("reason_code"), F.lit("").alias("reason"), F.lit("x").alias("expression_sql"), _evidence(of_part).alias("evidence"))
     return lineage.Lineage(columns, edges, missing, {})
 
@@ -446,17 +451,17 @@ def _lineage(spark, sf_dir) -> lineage.Lineage:
 def _estate(spark, sf_dir) -> audit.Estate:
     part, customer, orders = (table(spark, sf_dir, t) for t in ("part", "customer", "orders"))
     models = part.select(_text("model.", "p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), F.col("p_brand").alias("layer"), _evidence(F.col("p_name")).alias("evidence"))
-    edges = table(spark, sf_dir, "lineitem").filter("l_quantity > 48").select(_text("model.", "l_partkey").alias("source_id"), _text("tile.", "l_suppkey").alias("target_id"), F.lit("tile_dependency").alias("kind")).distinct()
+    edges = _reads(spark, sf_dir).select(_text("model.", "l_partkey").alias("source_id"), _text("tile.", "l_suppkey").alias("target_id"), F.lit("tile_dependency").alias("kind")).distinct()
     boards = customer.select(_text("c", "c_custkey").alias("id")).union(customer.select(_text("n", "c_nationkey")).distinct())
     boards = boards.select("id", F.col("id").alias("title"), F.lit("").alias("description"), _evidence(F.col("id")).alias("evidence"))
-    label = F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 3).cast("string"))
-    tiles = customer.filter("c_custkey % 5 = 0").select(_text("n", "c_nationkey").alias("dashboard_id"), F.array(F.upper(label)).alias("metric_labels"), F.concat(F.lit("select  "), label).alias("query_sql")).distinct()
+    label = F.concat_ws("-", "c_mktsegment", (F.col("c_custkey") % 5).cast("string"))
+    tiles = customer.select(_text("n", "c_nationkey").alias("dashboard_id"), F.array(F.upper(label)).alias("metric_labels"), F.concat(F.lit("select  "), label).alias("query_sql")).distinct()
     log = orders.select(_text("c", "o_custkey").alias("dashboard_id"), F.col("o_orderdate").alias("timestamp"))
     return audit.Estate(models, models, boards, tiles, log, "log", usage.latest(log, "timestamp"), models, edges, _lineage(spark, sf_dir))
 
 
-_ESTATE = """big as (select distinct l_partkey, l_suppkey from lineitem where l_quantity > 48),
-tl as (select distinct c_nationkey as n, c_mktsegment || '-' || (c_custkey % 3) as t from customer where c_custkey % 5 = 0), tn as (select n, count(*) as k from tl group by n),
+_ESTATE = """big as (select distinct l_suppkey * l_linenumber as l_partkey, l_suppkey from lineitem),
+tl as (select distinct c_nationkey as n, c_mktsegment || '-' || (c_custkey % 5) as t from customer), tn as (select n, count(*) as k from tl group by n),
 dup as (select 'n' || a.n as l, 'n' || b.n as r, count(*) / greatest(max(x.k), max(y.k)) as ratio from tl a join tl b on a.t = b.t and 'n' || a.n < 'n' || b.n
         join tn x on x.n = a.n join tn y on y.n = b.n group by all having count(*) / greatest(max(x.k), max(y.k)) >= 0.8),
 unread as (select p_brand, count(*) as k from part where p_partkey not in (select l_partkey from big) group by p_brand having count(*) >= 10),
@@ -482,21 +487,21 @@ def findings_by_type(spark, sf_dir):
 
 
 @query("""
-with b as (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 48),
+with b as (select distinct l_suppkey, l_suppkey * l_linenumber as l_partkey from lineitem),
 c as (select s_suppkey, coalesce(bool_and(p_size <> 50), false) as clean from supplier left join b on l_suppkey = s_suppkey left join part on p_partkey = l_partkey group by s_suppkey)
 select count(*) as total, count(*) filter (where clean) as clean, cast(100 as double) * count(*) filter (where clean) / count(*) as percent from c""")
 def traced_coverage(spark, sf_dir):
     return lineage.tile_coverage(_lineage(spark, sf_dir))
 
 
-_COVERED = """(with b as (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 48),
+_COVERED = """(with b as (select distinct l_suppkey, l_suppkey * l_linenumber as l_partkey from lineitem),
 c as (select s_suppkey, coalesce(bool_and(p_size <> 50), false) as clean from supplier left join b on l_suppkey = s_suppkey left join part on p_partkey = l_partkey group by s_suppkey)
 select sha256(count(*) || '|' || count(*) filter (where clean)) as h from c)"""
 _LINEAGE_PARTS = [
     """select sha256(id || '|' || kind || '|' || star) as h from (select distinct 'column.source.' || p_brand as id, 'source' as kind, 'false' as star from part
        union all select 'column.part.' || p_partkey, 'model', 'true' from part union all select 'column.tile.' || s_suppkey, 'tile', 'false' from supplier)""",
     """select sha256(a || '|' || b || '|column_lineage') as h from (select 'column.source.' || p_brand as a, 'column.part.' || p_partkey as b from part where p_size <> 50
-       union all select distinct 'column.part.' || l_partkey, 'column.tile.' || l_suppkey from lineitem where l_quantity > 48)""",
+       union all select distinct 'column.part.' || (l_suppkey * l_linenumber), 'column.tile.' || l_suppkey from lineitem)""",
     "select sha256('column.part.' || p_partkey || '|brands|' || p_type || '|missing_upstream_column') as h from part where p_size = 50",
     f"select h from {_COVERED}",
 ]
@@ -599,6 +604,22 @@ def greedy_score(spark, sf_dir):
 # --- definitions and their judges --------------------------------------------------------------------------------
 
 
+@query("""
+with d as (select s_suppkey as id, n_regionkey as label, s_nationkey || case when s_suppkey % 4 >= 2 then ' as text' else '' end as definition from supplier join nation on n_nationkey = s_nationkey),
+e as (select label, definition, count(*) as items, min(id) as first_id from d group by all), t as (select label, sum(items) as whole from e group by label having count(*) > 1)
+select cast(label as varchar) as label, cast(first_id as varchar) as first_id, items, cast(whole - items as bigint) as conflicts from e join t using (label)""")
+def literal_conflicts(spark, sf_dir):
+    """Suppliers' definitions, written in four ways, that differ in a literal's value or type: a row for each region and definition. White space, case and comments make no difference."""
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    n = F.col("s_nationkey").cast("string")
+    ways = [("select sum(q) as total from lines where nation = ", "", ""), ("SELECT  sum( q )  AS total -- all of it\nFROM lines\nWHERE nation =\n", "", " /* the nation */"), ("select sum(q) as total from lines where nation = '", "'", ""), ("select SUM(q) total\tfrom LINES where nation='", "'", " -- a text")]
+    sql = F.element_at(F.array(*[F.concat(F.lit(a), n, F.lit(b), F.lit(c)) for a, b, c in ways]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    items = both.select(F.format_string("%012d", "s_suppkey").alias("id"), F.col("n_regionkey").cast("string").alias("label"), sql.alias("sql"))
+    norms = definitions.normalised(spark, items, "id", "sql").join(items.select("id", "label"), "id")
+    out = relational.conflicting_definitions(norms, "id", "label", "norm")
+    return out.select("label", F.col("first_id").cast("bigint").cast("string").alias("first_id"), "items", "conflicts")
+
+
 @query("""
 with t as (select s_suppkey as id, s_suppkey // 4 as label, case when s_acctbal < 2000 then 0 else 1 end as d from supplier)
 select 'metric_' || l.label as metric_name, 'tile.b.' || least(l.id::varchar, r.id::varchar) as left_asset_id, 'tile.b.' || greatest(l.id::varchar, r.id::varchar) as right_asset_id
