@@ -20,22 +20,22 @@ exchanges of its own, which adaptive execution can split.
 Defined results: blank lines are neither compared nor counted; a document that loses no line
 keeps its text as it is, in others the kept lines are joined by line feeds; spaces, tabs and
 carriage returns around a line don't count; words are what single spaces separate; null texts
-stay null; null ids come last; rows of one id (and of null ids) follow each other by a hash of
-their texts, and equal rows are treated alike; a very long text, or line, is compared whole;
-other columns are kept, columns named n_lines or n_removed are replaced.
+stay null; null ids come last; rows of one id (and of null ids) are numbered by a hash of their
+texts, and the row of the lower number is the earlier one: of equal rows one, whichever it is,
+keeps the lines that the others lose; a very long text, or line, is compared whole; an empty
+table gives no rows; other columns are kept, columns named n_lines or n_removed are replaced.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import set_aside, written
+from ._common import dealt, set_aside, written
 
 MIN_WORDS = 10
-ROWS_OF_ID = 1 << 16  # places that the rows of one id are spread over, by their texts
 PRIME = 2**59 - 55  # five times it fits a long
 STEP = 256  # prefix sums are summed in runs of so many words, so that long lines don't cost their square
 
@@ -103,10 +103,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs, named = set_aside(docs.drop("n_lines", "n_removed").withColumn(text_col, F.col(text_col).cast("string")), [id_col, text_col])
     low, high, longest = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long")), F.max(F.octet_length(text_col))).first()
     low, high, stride = low or 0, high or 0, (longest or 0) + 2  # a text has no more lines than bytes and one
-    wide = "long" if (high - low + 2) * ROWS_OF_ID * stride < 2**62 else "decimal(38,0)"
+    most = docs.groupBy(F.col(id_col).cast("long").alias("id")).count().agg(F.max("count")).first()[0] or 1
+    wide = "long" if (high - low + 2) * most * stride < 2**62 else "decimal(38,0)"
     order = F.coalesce(F.col(id_col).cast(wide) - F.lit(low).cast(wide), F.lit(str(high - low + 1)).cast(wide))  # null ids last
-    own = F.pmod(F.xxhash64(text_col), F.lit(ROWS_OF_ID)).cast(wide)
-    docs = docs.withColumn("__place", (order * F.lit(ROWS_OF_ID).cast(wide) + own).cast(wide))
+    docs = docs.withColumn("__order", order.cast(wide))
+    docs = (_numbered(docs, text_col) if most > 1 else docs.withColumn("__row", F.lit(0))).withColumn("__place", (F.col("__order") * F.lit(most).cast(wide) + F.col("__row").cast(wide)).cast(wide))
     base = docs.select("__place", F.col(text_col).alias("text"))
 
     every = base.select("__place", F.posexplode(line_array(F.col("text"))).alias("i", "raw")).withColumn("line", trimmed(F.col("raw")))
@@ -150,6 +151,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return named(out, "n_lines", "n_removed")
 
 
+def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs, written, with __row: the number of each row among those of its __order, however many they are."""
+    rows, spans = dealt(docs.withColumn("__hash", F.xxhash64(text_col)), "__order", ["__hash"], "lines-rows")
+    place = F.row_number().over(Window.partitionBy("__part", "__order").orderBy("__hash", "__tie"))
+    rows = rows.join(spans.select("__order", "__part", "__base"), ["__part", "__order"])
+    return written(rows.withColumn("__row", F.col("__base") + place - 1).drop("__part", "__base", "__hash", "__tie"), "lines-numbered")
+
+
 def _div(pos: Column, stride: int, wide: str) -> Column:
     if wide == "long":
         return F.expr(f"pos div {stride}")

@@ -84,3 +84,17 @@ def test_ids_of_any_size(spark, ids):
     rows = [(ids[1], "same line\nown b"), (ids[0], "same line\nown a")]
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {ids[0]: (2, 0), ids[1]: (2, 1)}
+
+
+def test_rows_of_one_id(spark):
+    """Rows of one id, and of null id, keep a shared line once, whatever their hashes; equal rows have one winner."""
+    first = "shared line that all of these rows begin with, whatever they end with"
+    rows = [(i, f"{first}\nown line {i} {k}") for i in (5, None) for k in range(400)] + [(7, "twice"), (7, "twice"), (7, None), (7, None), (3, "three")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).selectExpr("*", "1 as __row", "2 as __order", "3 as __tie", "4 as __part", "5 as __hash")
+    out = lines.drop_repeated_lines(df)
+    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()]
+    assert len(got) == len(rows) and out.columns == [*df.columns, "n_lines", "n_removed"]
+    whole = [g for g in got if g[1] and g[1].startswith(first)]
+    assert len(whole) == 1 and whole[0][0] == 5 and whole[0][3] == 0
+    assert sorted(g[1] for g in got if g[0] is None) == sorted(f"own line None {k}" for k in range(400)) and all(g[3] == 1 for g in got if g[0] is None)
+    assert sorted((g[1] or "", g[2], g[3]) for g in got if g[0] == 7) == [("", 0, 0), ("", 0, 0), ("", 1, 1), ("twice", 1, 0)]
