@@ -218,9 +218,7 @@ def learn(rows: DataFrame, pieces_path: str) -> tuple[list[str], list[str], np.n
     for lang, word, n in _worded(rows.filter(draw < share[F.col("lang")])).groupBy("lang", "word").count().collect():
         counts[lang][word] = float(n)
     langs, prob = fit(counts, pieces)
-    used = np.flatnonzero((prob > prob.min(axis=0) * 1.5).any(axis=1))  # pieces that no language has seen have equal, negligible shares
-    used = used[used > 0]
-    return langs, [pieces[i - 1] for i in used], prob[np.concatenate([[0], used])]
+    return langs, pieces, prob
 
 
 def _worded(rows: DataFrame) -> DataFrame:

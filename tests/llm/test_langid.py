@@ -85,6 +85,33 @@ def test_predictions_against_brute_force():
         assert lang == langs[int(total.argmax())] and math.isclose(score, 1 / share.sum(), rel_tol=1e-6)
 
 
+def test_documents_against_brute_force(spark):
+    """predict_documents over the real vocabulary equals plain sums over all its pieces, those that no text held included."""
+    rows = corpus(90)
+    probes = [(1000 + i, t, None) for i, t in enumerate(["fjord glyph", "blurb", "hjk", "the zebra quietly", "queeau xylophon", "undsch ß"])]
+    df = spark.createDataFrame(rows + probes, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in langid.predict_documents(df, PATH).collect()}
+    counts = {lang: {} for lang in SYLLABLES}
+    import zlib
+
+    for i, t, lang in rows:
+        for w in langid.words_of(t) if zlib.crc32(str(i).encode()) % 4 != 2 else []:
+            counts[lang][w] = counts[lang].get(w, 0) + 1
+    pieces = langid.vocabulary(PATH)
+    langs, prob = langid.fit(counts, pieces)
+    index = {p: i + 1 for i, p in enumerate(pieces)}
+
+    def likelihood(word, at=0, held=None):
+        held = {len(word): np.ones(len(langs))} if held is None else held
+        if at not in held:
+            held[at] = sum((prob[index.get(word[at:j], 0)] * likelihood(word, j, held) for j in range(at + 1, len(word) + 1) if word[at:j] in index or j == at + 1), np.zeros(len(langs)))
+        return held[at]
+
+    for i, t, _ in probes + rows[:5]:
+        total = np.sum([np.log(likelihood(langid.MARK + w)) for w in langid.words_of(t)], axis=0)
+        assert got[i].lang_pred == langs[int(total.argmax())] and math.isclose(got[i].score, 1 / np.exp(total - total.max()).sum(), rel_tol=1e-6), t
+
+
 def test_held_out_accuracy_and_contract(spark):
     df = spark.createDataFrame(corpus(), "doc_id bigint, text string, lang string")
     got = langid.predict_documents(df, PATH).collect()
