@@ -14,8 +14,12 @@ whole); every whole text is scored.
 Defined results: a null text or one without letters is `und` with score 0 (digits, fractions
 and numerals are no letters); without any row to learn from every text is `und`; ties go to the
 first language in code-point order; repeated rows are scored alike, and count as often as they
-occur when they are learned from; a very long text is scored whole by one task; columns named
-lang_pred or score are replaced, others are kept.
+occur when they are learned from; a very long text is scored whole by one task; an empty table
+gives no rows; columns named lang_pred, score, lang_fit or lang_share are replaced, others are
+kept. score is the predicted language's share of all learned languages' probability, which is
+near 1 for any long text; lang_fit and lang_share (null for `und`) tell whether the text is of
+that language at all: the log-probability of a character, and the share of letters in words
+that no other language explains better by a factor of e ** MARGIN.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ SAMPLE_DOCS = 400
 EM_ROUNDS = 3
 WIDE = 32  # characters up to which products of probabilities stay within a double's range
 CACHED_WORDS = 300_000
+MARGIN = 2.0  # by which a word's log-probability has to be higher in another language to count as that one's
 ASCII_WORD = re.compile("[a-z]+")
 MARK = "▁"
 
@@ -168,6 +173,7 @@ class Identifier:
         self.langs, self.prob, self.log_prob, self.seg = langs, prob, np.log(prob), Segmenter(pieces)
         self.row: dict[str, int] = {}
         self.scores = np.zeros((1024, len(langs)))
+        self.sizes = np.zeros(1024, np.int64)
 
     def learn(self, words: list[str]) -> None:
         """Scores of words that aren't held yet."""
@@ -176,9 +182,11 @@ class Identifier:
         need = len(self.row) + len(words)
         if need > len(self.scores):
             self.scores = np.concatenate([self.scores[: len(self.row)], np.zeros((need, len(self.langs)))])
+            self.sizes = np.concatenate([self.sizes[: len(self.row)], np.zeros(need, np.int64)])
         base = len(self.row)
         self.row.update(zip(words, range(base, base + len(words)), strict=True))
         marked = [MARK + w for w in words]
+        self.sizes[base : base + len(words)] = [len(w) for w in words]
         narrow = [i for i, w in enumerate(marked) if len(w) <= WIDE]
         for group in by_length([marked[i] for i in narrow]):
             alpha = self.seg.forward([marked[narrow[i]] for i in group], self.prob)[:, -1]
@@ -188,21 +196,32 @@ class Identifier:
                 self.scores[base + i] = self.seg.log_forward(w, self.log_prob)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language and score of each text."""
+        return self.told(texts)[:2]
+
+    def told(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[float | None]]:
+        """lang_pred, score, lang_fit and lang_share of each text."""
         words = [words_of(t) for t in texts]
         held = self.row
         if new := {w for ws in words for w in ws if w not in held}:
             self.learn(sorted(new) if len(held) <= CACHED_WORDS else sorted({w for ws in words for w in ws}))
         lengths = np.array([len(ws) for ws in words])
         some = np.flatnonzero(lengths)
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        langs, scores, fits, shares = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [None] * len(texts)
         if len(some) and self.langs:
             rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
-            total = np.add.reduceat(self.scores[rows], np.concatenate([[0], np.cumsum(lengths[some])[:-1]]))
+            starts = np.concatenate([[0], np.cumsum(lengths[some])[:-1]])
+            own, sizes = self.scores[rows], self.sizes[rows]
+            total = np.add.reduceat(own, starts)
             best = total.argmax(axis=1)
             share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            for i, k, s in zip(some, best, share, strict=True):
-                langs[i], scores[i] = self.langs[k], float(s)
-        return langs, scores
+            letters = np.add.reduceat(sizes, starts)
+            in_best = own[np.arange(len(own)), np.repeat(best, lengths[some])]
+            of_best = np.add.reduceat(sizes * (in_best >= own.max(axis=1) - MARGIN), starts) / letters
+            fit_ = total.max(axis=1) / (letters + lengths[some])
+            for i, k, s, f, o in zip(some, best, share, fit_, of_best, strict=True):
+                langs[i], scores[i], fits[i], shares[i] = self.langs[k], float(s), float(f), float(o)
+        return langs, scores, fits, shares
 
 
 def learn(rows: DataFrame, pieces_path: str) -> tuple[list[str], list[str], np.ndarray]:
@@ -234,19 +253,19 @@ def _worded(rows: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score, in place of columns of these names; no shuffle."""
-    docs = docs.drop("lang_pred", "score")
+    """docs with lang_pred, score, lang_fit and lang_share, in place of columns of these names; no shuffle."""
+    docs = docs.drop("lang_pred", "score", "lang_fit", "lang_share")
     names, digest = docs.columns, hashlib.sha256(repr(model[:2]).encode() + model[2].tobytes()).hexdigest()
 
     def run(batches):
         scorer = kept("identifier", digest, lambda: Identifier(*model))  # with the words that other tasks have met
         for whole in batches:
             for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-                langs, scores = scorer.predict(batch.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+                langs, *numbers = scorer.told(batch.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)], names=[*names, "lang_pred", "score", "lang_fit", "lang_share"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "lang_fit double", "lang_share double"]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -37,7 +37,7 @@ def test_columns_and_rows(spark, stages):
 def test_each_stage_against_brute_force(stages):
     _, docs, known = stages[0]
     told = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict_documents(docs, PIECE_VOCABULARY).collect()}
-    assert {r.doc_id for r in known.collect()} == {i for i, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+    assert {r.doc_id for r in known.collect()} == {i for i, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}  # nothing else is wrong with these
     _, before, unique = stages[1]
     lines = [x for r in unique.select("text").collect() for x in r.text.split("\n") if x.strip()]
     assert len(set(lines)) == len(lines) and {x for r in unique.select("text").collect() for x in r.text.split("\n")} <= {x for r in before.select("text").collect() for x in r.text.split("\n")}
@@ -74,6 +74,36 @@ def test_each_stage_against_brute_force(stages):
     assert len(gone) >= 1 and left == {r.doc_id for r in before.collect()} - gone
 
 
+FOREIGN = {
+    "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "zh": "人人生而自由 在尊严和权利上一律平等",
+    "none": "xqzj wvkk pqoz jjzx qqwv kzxj vvbq wwxz kkqj zzvx",
+}
+
+
+def test_language_stage_rejects_foreign_mixed_and_mislabelled(spark):
+    """The stage keeps what it had and drops what is planted; without it all of that would stay."""
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    clean = docs.filter("lang is not null and length(text) > 400").orderBy("doc_id").limit(300).collect()
+    words = {k: [r.text.replace("\n", " ").split(" ") for r in clean if r.lang == k] for k in ("de", "en", "es", "fr")}
+    n = iter(range(10**9, 2 * 10**9))
+    planted = [(next(n), t, lang) for t in FOREIGN.values() for lang in (None, "en")]
+    for k in range(6):  # a word of each language in turn
+        planted.append((next(n), " ".join(w for ws in zip(*(words[x][k][:80] for x in words), strict=False) for w in ws), None))
+    wrong = {"de": "fr", "fr": "de", "en": "es", "es": "en"}
+    planted += [(next(n), " ".join(ws[0]), wrong[k]) for k, ws in words.items()] + [(next(n), None, "en"), (next(n), "12 34 ...", None)]
+    own = [(next(n), " ".join(ws[1]), lang) for k, ws in words.items() for lang in (None, k)]
+    more = spark.createDataFrame([(i, t, lang, "planted", len(t or "")) for i, t, lang in planted + own], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.known_language(spark, docs.unionByName(more.select(docs.columns)), data)
+    got = {r.doc_id: r.lang for r in kept.select("doc_id", "lang").collect()}
+    assert not {i for i, _, _ in planted} & set(got)
+    assert [got.get(i) for i, _, _ in own] == [k for k in words for _ in range(2)]
+    assert {r.doc_id for r in docs.collect()} <= set(got)
+
+
 def test_tokens_decode(stages):
     _, before, tokens = stages[4]
     library = Tokenizer.from_file(BPE_VOCABULARY)
@@ -93,7 +123,8 @@ def test_unlabelled_documents_are_kept(spark):
 
 
 def test_language_stage_uses_its_prediction(spark, monkeypatch):
-    """Letters alone don't keep a document: one below the least score goes, and an unlabelled one gets its language."""
+    """Letters alone don't keep a document: one below the least score goes, and an unlabelled one gets its language. Whether it is any learned language's is left aside here."""
+    monkeypatch.setattr(corpus_pipeline, "LEAST_FIT", -99.0)
     rows = [*labelled(), (900, text("bb", random.Random(1), 12), None), (901, "q", None), (902, None, None), (903, "zjzjzj", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     told = {r.doc_id: r for r in langid.predict_documents(docs, PIECE_VOCABULARY).collect()}
