@@ -19,6 +19,9 @@ from estatelens.llm.queries import BPE_VOCABULARY, PIECE_VOCABULARY
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5  # of the predicted language: it is likelier than all others together
+LEAST_FIT = -4.2  # log-probability of a character: texts of the learned languages have -3.5 and more, those of others -4.6 and less
+LEAST_SHARE = 0.4  # of the letters: less is a jumble of languages
+CLEAR_SHARE = 0.9  # of the letters, from which on a label that says otherwise is wrong
 
 
 def shielded(stage):
@@ -35,15 +38,20 @@ def shielded(stage):
 
 @shielded
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is told: a learned one, with a score of LEAST_SCORE or more; lang, where it is null, becomes that language.
+    """Keeps the documents whose language is told; lang, where it is null, becomes that language.
 
-    Null texts and texts without letters have none. The model learns from these documents'
-    labels. Where none is labelled there is no language to tell, and texts with letters stay.
+    What goes: null texts and texts without letters; those of no learned language (LEAST_FIT),
+    of no clear one (LEAST_SCORE) and jumbles of several (LEAST_SHARE); and those whose label
+    says another language than nearly all of their words do (CLEAR_SHARE). The model learns
+    from these documents' labels. Where none is labelled there is no language to tell, and
+    texts with letters stay.
     """
     model = langid.learn(docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter(~langid.held_out(F.col("doc_id"))), PIECE_VOCABULARY)
     if not model[0]:
         return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     told = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    told = told.filter((F.col("lang_fit") >= LEAST_FIT) & (F.col("lang_share") >= LEAST_SHARE))
+    told = told.filter(F.col("lang").isNull() | (F.col("lang") == F.col("lang_pred")) | (F.col("lang_share") < CLEAR_SHARE))
     return told.withColumn("lang", F.coalesce("lang", "lang_pred"))
 
 
