@@ -11,12 +11,12 @@ from ..session import written
 
 
 class CycleError(ValueError):
-    """The graph has a cycle; `edges` is the table of all edges on or below one, the message shows the first few."""
+    """The graph has a cycle; `cycle` is a simple one, its nodes in order, and the message shows it. `edges` is the table of all edges on or below one."""
 
     def __init__(self, edges: DataFrame):
-        shown = [f"{a} -> {b}" for a, b in edges.orderBy("src", "dst").take(20)]
-        super().__init__(f"cycle among {edges.count()} edges: " + ", ".join(shown))
         self.edges = edges
+        self.cycle = one_cycle(edges)
+        super().__init__("cycle: " + " -> ".join(map(str, [*self.cycle, self.cycle[0]])))
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -37,18 +37,24 @@ def closure(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): the longest path that leads to each node; CycleError if there is a cycle."""
-    left = written(edges.select("src", "dst").distinct())
-    rest = written(nodes.select("node").distinct())
+    """(node, level): the longest path that leads to each node; CycleError if there is a cycle.
+
+    A round frees the nodes that wait for none any more, and takes their edges off the counts of
+    those that they lead to; only what still waits is written again.
+    """
+    edges = written(edges.select("src", "dst").distinct())
+    counts = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("waits"))
+    waiting = written(nodes.select("node").distinct().join(counts, "node", "left").fillna(0, ["waits"]))
     done, level = None, 0
-    while not rest.isEmpty():
-        free = written(rest.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+    while not waiting.isEmpty():
+        free = waiting.filter("waits = 0").select("node")
         if free.isEmpty():
-            raise CycleError(left)
+            raise CycleError(edges.join(waiting.select(F.col("node").alias("src")), "src", "left_semi"))
         now = free.withColumn("level", F.lit(level))
         done = now if done is None else done.union(now)
-        rest = written(rest.join(free, "node", "left_anti"))
-        left = written(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
+        fewer = edges.join(free.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("fewer"))
+        rest = waiting.filter("waits > 0").join(fewer, "node", "left")
+        waiting = written(rest.select("node", (F.col("waits") - F.coalesce("fewer", F.lit(0))).alias("waits")))
         level += 1
     return done if done is not None else nodes.select("node", F.lit(0).alias("level"))
 
@@ -57,9 +63,76 @@ def assert_acyclic(nodes: DataFrame, edges: DataFrame) -> None:
     levels(nodes, edges)
 
 
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges, written, without those that lead from a node without edges into it, or to one without edges out of it, until there are none: what is left lies on cycles or between them."""
+    left, before = written(edges.select("src", "dst").distinct()), -1
+    while (n := left.count()) not in (0, before):
+        before = n
+        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = written(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+    return left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that lie on a cycle; component: a node of it, the same for all that lie on common cycles.
+
+    What trimming leaves is coloured: a node takes the smallest node that leads to it. The nodes
+    of one colour from which the colour's own node can be reached are its component; they are
+    taken out, and the rest is trimmed and coloured again. Rounds grow with the length of paths
+    and the number of components in a row, no pairs are formed.
+    """
+    left, found = trimmed(edges), []
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    while not left.isEmpty():
+        colours = written(left.select("src").union(left.select("dst")).distinct().select(F.col("src").alias("node"), F.col("src").alias("colour"), F.lit(True).alias("new")))
+        while not colours.filter("new").isEmpty():
+            sent = left.join(colours.filter("new").withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("sent"))
+            both = colours.join(sent, "node", "left")
+            least = F.least("colour", "sent")
+            colours = written(both.select("node", least.alias("colour"), (least < F.col("colour")).alias("new")))
+        end = lambda e: colours.select(F.col("node").alias(e), F.col("colour").alias(f"{e}_colour"))
+        within = written(left.join(end("src"), "src").join(end("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("component")))
+        new = written(colours.filter("node = colour").select("node", F.col("colour").alias("component")))
+        reached = [new]
+        while not new.isEmpty():
+            step = within.join(new.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "component").distinct()
+            new = written(step.join(reduce(DataFrame.union, reached), ["node", "component"], "left_anti"))
+            reached.append(new)
+        members = written(reduce(DataFrame.union, reached))
+        found.append(members)
+        for e in ("src", "dst"):
+            left = left.join(members.select(F.col("node").alias(e)), e, "left_anti")
+        left = trimmed(left)
+    none = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    members = reduce(DataFrame.union, found, none)
+    several = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    alone = members.join(several, "component", "left_anti").select("node", "component").join(loops, "node", "left_semi")
+    return members.join(several, "component", "left_semi").select("node", "component").union(alone)
+
+
 def on_cycle(edges: DataFrame) -> DataFrame:
     """(node) that lie on a cycle."""
-    return closure(edges).filter("src = dst").select(F.col("src").alias("node"))
+    return strong_components(edges).select("node")
+
+
+def one_cycle(edges: DataFrame) -> list:
+    """The nodes of a shortest cycle through the smallest node that lies on one; empty if there is no cycle."""
+    members = written(strong_components(edges))
+    start = members.agg(F.min("node")).first()[0]
+    if start is None:
+        return []
+    own = members.join(members.filter(F.col("node") == F.lit(start)).select("component"), "component", "left_semi").select("node")
+    inner = written(edges.select("src", "dst").distinct().join(own.withColumnRenamed("node", "src"), "src", "left_semi").join(own.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    steps, new = [], written(inner.filter(F.col("src") == F.lit(start)).select(F.col("dst").alias("node"), F.col("src").alias("via")))
+    while new.filter(F.col("node") == F.lit(start)).isEmpty():
+        steps.append(new)
+        step = inner.join(new.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("via"))
+        new = written(step.join(reduce(DataFrame.union, steps).select("node"), "node", "left_anti"))
+    way, node = [], start
+    for table in reversed([*steps, new]):  # one step of the cycle each
+        node = table.filter(F.col("node") == F.lit(node)).agg(F.min("via")).first()[0]
+        way.append(node)
+    return way[::-1]
 
 
 def tainted(nodes: DataFrame, edges: DataFrame, bad: DataFrame) -> DataFrame:

@@ -124,3 +124,34 @@ def test_stream(spark, tmp_path):
     assert {(r.day.day, r.k, r.used) for r in spark.table("daily").collect()} == {(1, "a", 2), (2, "b", 1), (9, "a", 1)}
     held = spark.createDataFrame([("a", dt.datetime(2024, 1, 5)), ("c", dt.datetime(2023, 1, 1))], "k string, last_used timestamp")
     assert {r.k: r.last_used.day for r in stream_usage.merge_last_used(held, log, ["k"], "ts").collect()} == {"a": 9, "b": 2, "c": 1}
+
+
+def test_cycles(spark):
+    import random
+
+    rnd = random.Random(6)
+    frame = lambda pairs: spark.createDataFrame(pairs, "src bigint, dst bigint")
+    for n, m in ((14, 18),):
+        pairs = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 103), (200, 200), (104, 201)]
+        reach = {v: set() for p in pairs for v in p}
+        for v in reach:
+            todo = [v]
+            while todo:
+                x = todo.pop()
+                for a, b in pairs:
+                    if a == x and b not in reach[v]:
+                        reach[v].add(b)
+                        todo.append(b)
+        got = {r.node: r.component for r in graph.strong_components(frame(pairs)).collect()}
+        assert set(got) == {v for v in reach if v in reach[v]} == {r.node for r in graph.on_cycle(frame(pairs)).collect()}
+        assert all((got[a] == got[b]) == (b in reach[a] and a in reach[b]) for a in got for b in got)
+        cycle = graph.one_cycle(frame(pairs))
+        assert cycle[0] == min(got) and len(set(cycle)) == len(cycle) and all((a, b) in pairs for a, b in zip(cycle, [*cycle[1:], cycle[0]], strict=True))
+    tree = frame([(1, 2), (1, 3), (3, 4)])
+    assert graph.one_cycle(tree) == [] and graph.on_cycle(tree).isEmpty() and graph.one_cycle(tree.limit(0)) == []
+    nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node bigint")
+    with pytest.raises(graph.CycleError, match="cycle: 5 -> 6 -> 5") as e:
+        graph.levels(nodes, frame([(1, 2), (2, 5), (5, 6), (6, 5), (6, 7)]))
+    assert e.value.cycle == [5, 6]
+    got = {r.node: r.level for r in graph.levels(nodes, frame([(1, 2), (1, 3), (2, 3), (3, 4), (1, 4), (5, 6)])).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 0, 6: 1, 7: 0}
