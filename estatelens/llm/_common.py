@@ -65,9 +65,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def kept(name: str, key, make: Callable):
-    """What make gives, kept in the Python process between tasks: one thing for each name, that of the last key."""
+    """What make gives, kept in the Python process between tasks: one thing in all, that of the last name and key, since processes outlive the stages of a pipeline."""
     held = sys.modules.setdefault("_estatelens_held", types.ModuleType("_estatelens_held")).__dict__.setdefault("kept", {})
     if name not in held or held[name][0] != key:
+        held.clear()
         held[name] = key, make()
     return held[name][1]
 

@@ -25,7 +25,6 @@ import heapq
 import json
 import re
 import sys
-import types
 import unicodedata
 from array import array
 from itertools import chain
@@ -34,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept
+
 LONG = 200
 NONE = 1 << 60
-CACHED_WORDS = 700_000
+CACHED_WORDS = 300_000
 SAFE_END = 0x180  # Latin letters: below, lower case and classes are those of str and unicodedata
 
 
@@ -169,11 +170,7 @@ class _Words(dict):
 
 def _loaded(path: str) -> Bpe:
     """One vocabulary and cache of words for each Python process, kept between tasks."""
-    held = sys.modules.setdefault("_estatelens_held", types.ModuleType("_estatelens_held"))
-    kept = held.__dict__.setdefault("bpe", {})
-    if path not in kept:
-        kept[path] = Bpe(path)
-    return kept[path]
+    return kept("bpe", path, lambda: Bpe(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
@@ -202,8 +199,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
                         got["token_ids"].append(ids)
                     if keep_text:
                         got["decoded"].append(decoded)
-                kept = [n for n in batch.schema.names if n not in outputs]
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *[pa.array(got[c], kinds[c]) for c in outputs]], names=[*kept, *outputs])
+                others = [n for n in batch.schema.names if n not in outputs]
+                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in others], *[pa.array(got[c], kinds[c]) for c in outputs]], names=[*others, *outputs])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in outputs]
     return docs.mapInArrow(run, ", ".join([*fields, *[f"{c} {ddl[c]}" for c in outputs]]))

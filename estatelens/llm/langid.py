@@ -38,7 +38,7 @@ from ._common import kept
 SAMPLE_DOCS = 400
 EM_ROUNDS = 3
 WIDE = 32  # characters up to which products of probabilities stay within a double's range
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 MARGIN = 2.0  # by which a word's log-probability has to be higher in another language to count as that one's
 ASCII_WORD = re.compile("[a-z]+")
 MARK = "▁"
