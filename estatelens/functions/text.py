@@ -59,12 +59,25 @@ def location_matches(locator: Column, path: Column, locators: Column, assets: Co
     id or as written, occurs among the asset ids; a model file's path ends an evidence URI.
     An empty locator meets every finding that has evidence.
     """
-    locator, joined = F.lower(locator), F.lower(F.concat_ws(" ", assets))
+    own, texts = location_needles(locator, path), location_hays(locators, assets, uris)
+    met = any_of(
+        F.exists(texts["locator"], lambda x: F.contains(x, own["locator"]) | F.contains(own["locator"], x)),
+        F.exists(texts["asset"], lambda x: F.contains(x, own["asset"])),
+        F.exists(texts["written"], lambda x: F.contains(x, own["written"])),
+        F.exists(texts["uri"], lambda x: F.endswith(x, own["uri"])),
+    )
+    return F.coalesce(met, F.lit(False))
+
+
+def location_needles(locator: Column, path: Column) -> dict[str, Column]:
+    """What has to occur in a text of location_hays, by rule; null where a rule doesn't hold for the location."""
+    locator = F.lower(locator)
     segment = F.substring_index(locator, "/", 1)
     as_asset = F.replace(F.replace(segment, F.lit("dashboard="), F.lit("dashboard.")), F.lit("model="), F.lit("model."))
-    return any_of(
-        F.exists(locators, lambda x: F.contains(F.lower(x), locator) | F.contains(locator, F.lower(x))),
-        F.contains(joined, as_asset),
-        F.contains(F.replace(joined, F.lit("."), F.lit("=")), segment),
-        F.endswith(path, F.lit(".sql")) & F.exists(uris, lambda x: F.endswith(x, path)),
-    )
+    return {"locator": locator, "asset": as_asset, "written": segment, "uri": F.when(F.endswith(path, F.lit(".sql")), path)}
+
+
+def location_hays(locators: Column, assets: Column, uris: Column) -> dict[str, Column]:
+    """A finding's texts, by rule."""
+    joined = F.lower(F.concat_ws(" ", assets))
+    return {"locator": F.transform(locators, F.lower), "asset": F.array(joined), "written": F.array(F.replace(joined, F.lit("."), F.lit("="))), "uri": uris}

@@ -1,10 +1,15 @@
-"""Pairs of sets that overlap: an inverted index over each set's rarest elements, then exact overlaps."""
+"""Pairs of sets that overlap: an inverted index over each set's rarest elements with filters by size and place, then exact overlaps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .numbering import RANGE_ROWS, numbered
+
+CELL_ROWS = 4_096  # sets of one element that meet in one group; elements of one set that are looked up together
+
 
 def set_classes(members: DataFrame, id_col: str, element: str) -> DataFrame:
     """(id, class_id) of every set with an element: class_id is the smallest id of the sets that are equal to it.
@@ -21,27 +26,55 @@ def set_classes(members: DataFrame, id_col: str, element: str) -> DataFrame:
 
 def class_pairs(members: DataFrame, id_col: str, element: str, least: float) -> DataFrame:
     """set_overlap_pairs between the first sets of each class of equal sets; set_classes has the members."""
+    members = written(members.select(id_col, element).distinct(), "members")
     first = set_classes(members, id_col, element).filter("id = class_id").select(F.col("id").alias(id_col))
     return set_overlap_pairs(members.join(first, id_col, "left_semi"), id_col, element, least)
 
 
-def set_overlap_pairs(members: DataFrame, id_col: str, element: str, least: float) -> DataFrame:
+def set_overlap_pairs(members: DataFrame, id_col: str, element: str, least: float, cell_rows: int = CELL_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(left_id, right_id, shared, ratio) with left_id < right_id and shared / size of the larger set >= least.
 
-    Two such sets share an element among the rarest n - ceil(least * n) + 1 of each, so only
-    those elements are joined: common elements pair nothing up unless a set has no others.
+    Elements are ordered from the rarest to the most frequent. Two such sets share an element
+    among the first n - ceil(least * n) + 1 of each; their first common one also leaves enough
+    elements behind it in both. Only those elements are joined, and only where size and place
+    allow the overlap. An element of many sets is split into cells of sets of like size, and
+    cells meet in pairs whose sizes can go together, so no task holds more of it than two
+    cells. Shared elements are then counted by rows of the smaller set. No set is gathered,
+    rows are numbered within sets and elements by numbering.numbered. Null ids and elements
+    are left out; repeated rows count once.
     """
-    members = members.select(F.col(id_col).alias("id"), F.col(element).alias("e")).filter("e is not null").distinct()
-    often = members.groupBy("e").agg(F.count(F.lit(1)).alias("often"))
-    sets = members.join(often, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "e"))).alias("held"))
-    sets = sets.select("id", F.size("held").alias("n"), F.transform("held", lambda x: x["e"]).alias("es"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).cast("int")
-    index = sets.select("id", "n", F.explode(F.slice("es", F.lit(1), prefix)).alias("e"))
-    near = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * F.lit(least) - F.lit(1e-9)
-    pairs = index.alias("l").join(index.alias("r"), (F.col("l.e") == F.col("r.e")) & (F.col("l.id") < F.col("r.id")) & near)
-    pairs = pairs.select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).distinct()
-    side = lambda s: sets.select(F.col("id").alias(f"{s}_id"), F.col("es").alias(f"{s}_es"))
-    both = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    both = both.withColumn("shared", F.size(F.array_intersect("left_es", "right_es")).cast("long"))
-    both = both.withColumn("ratio", F.col("shared") / F.greatest(F.size("left_es"), F.size("right_es")))
-    return both.filter(F.col("ratio") >= least).select("left_id", "right_id", "shared", "ratio")
+    members = members.select(F.col(id_col).alias("id"), F.col(element).alias("e")).filter("id is not null and e is not null").distinct()
+    members = written(members, "members")
+    often = numbered(members, "e", ["id"], "nth", "often", range_rows).drop("nth")
+    held = written(numbered(often, "id", ["often", "e"], "pos", "n", range_rows).drop("often"), "held")
+    need = F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9))
+    index = written(held.filter(F.col("pos") <= F.col("n") - need + 1), "index")
+    index = numbered(index, "e", ["n", "id"], "nth", "sets", range_rows).filter("sets > 1")
+    index = written(index.withColumn("cell", F.floor((F.col("nth") - 1) / cell_rows)).drop("nth", "sets"), "cells")
+    pairs = written(_candidates(index, least), "candidates")
+
+    # the elements of each pair's smaller set, looked up in the other one
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("small_n") - 1) / cell_rows))).alias("block")
+    asked = pairs.select("small", "large", blocks)
+    small = held.select(F.col("id").alias("small"), F.floor((F.col("pos") - 1) / cell_rows).alias("block"), "e")
+    each = asked.join(small, ["small", "block"]).select("small", "large", "e")
+    found = each.join(members.select(F.col("id").alias("large"), "e"), ["large", "e"], "left_semi")
+    shared = found.groupBy("small", "large").agg(F.count(F.lit(1)).alias("shared")).join(pairs, ["small", "large"])
+    out = shared.select(F.least("small", "large").alias("left_id"), F.greatest("small", "large").alias("right_id"), "shared", (F.col("shared") / F.col("large_n")).alias("ratio"))
+    return out.filter(F.col("ratio") >= least)
+
+
+def _candidates(index: DataFrame, least: float) -> DataFrame:
+    """(small, large, small_n, large_n): pairs of sets that share an element of the index where sizes and places allow the overlap."""
+    cells = index.groupBy("e", "cell").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    a, b = cells.select("e", F.col("cell").alias("a"), "high"), cells.select("e", F.col("cell").alias("b"), "low")
+    # cells ascend by size: b's least may be above a's greatest, but not by more than the ratio
+    meets = a.join(b, "e").filter((F.col("a") <= F.col("b")) & (F.col("high") >= F.col("low") * F.lit(least) - F.lit(1e-9))).select("e", "a", "b")
+    side = lambda s, c: index.select("e", F.col("cell").alias(c), *[F.col(x).alias(f"{s}_{x}") for x in ("id", "n", "pos")])
+    both = side("small", "a").join(meets, ["e", "a"]).join(side("large", "b"), ["e", "b"])
+    # of equal sizes the smaller id is "small", so that each pair is met in one direction only
+    below = F.struct(F.col("small_n"), F.col("small_id")) < F.struct(F.col("large_n"), F.col("large_id"))
+    need = F.ceil(F.col("large_n") * F.lit(least) - F.lit(1e-9))
+    left = 1 + F.least(F.col("small_n") - F.col("small_pos"), F.col("large_n") - F.col("large_pos"))
+    both = both.filter(below & (F.col("small_n") >= need) & (left >= need))
+    return both.select(F.col("small_id").alias("small"), F.col("large_id").alias("large"), "small_n", "large_n").distinct()

@@ -594,11 +594,8 @@ c as (select n_name || '-' || k as id, k, (select finding from f where f.n_name
 select id, case when k = 2 then 'negative' else 'planted' end as expected, case when k = 2 then n > 0 else finding_id is not null end as hit, case when k < 2 then finding_id end as finding_id from c""")
 def greedy_score(spark, sf_dir):
     """Planted cases with the findings that they take, one each, and look-alikes that were flagged."""
-    card = scoring.score(*_findings_and_manifest(spark, sf_dir))
-    rows = [(d["id"], "planted", d["hit"], d["finding_id"]) for d in card.per_defect]
-    flagged = set(card.flagged_negative_ids)
-    rows += [(f"{r[0]}-2", "negative", f"{r[0]}-2" in flagged, None) for r in table(spark, sf_dir, "nation").select("n_name").collect()]
-    return spark.createDataFrame(rows, "id string, expected string, hit boolean, finding_id string")
+    lines = scoring.scored(*_findings_and_manifest(spark, sf_dir))
+    return lines.select("id", F.when(F.col("expected") == "negatives", "negative").otherwise("planted").alias("expected"), "hit", "finding_id")
 
 
 # --- definitions and their judges --------------------------------------------------------------------------------
