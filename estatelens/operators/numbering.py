@@ -12,16 +12,16 @@ from ..session import written
 RANGE_ROWS = 200_000  # rows that one task orders
 
 
-def numbered(df: DataFrame, key: str, order: list[str], place: str, total: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: list[str], place: str, total: str, range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
     """df with `place` (1, 2, ... within each key, in the given order) and `total` (the key's number of rows), both long.
 
     Rows are dealt to ranges of key and order, so that a key of any size is spread over many
     tasks. Only the first key of a range can have begun in one before it: the table of keys in
     several ranges has at most two rows for each range, and that is what is broadcast. Rows of
-    one key that the order doesn't tell apart stay in one range. df should be a written table,
-    since it is counted and sampled first. An empty one stays empty.
+    one key that the order doesn't tell apart stay in one range. df is sampled first, and counted
+    unless its number of rows is given; it should be cheap to read twice. An empty one stays empty.
     """
-    ranges = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / range_rows))
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil((df.count() if rows is None else rows) / range_rows))
     dealt = written(df.repartitionByRange(ranges, key, *order).withColumn("__range", F.spark_partition_id()), "numbered")
     counts = dealt.groupBy("__range", key).agg(F.count(F.lit(1)).alias("__n"))
     whole = Window.partitionBy(key)  # a row for each range that holds the key

@@ -45,21 +45,20 @@ def set_overlap_pairs(members: DataFrame, id_col: str, element: str, least: floa
     """
     members = members.select(F.col(id_col).alias("id"), F.col(element).alias("e")).filter("id is not null and e is not null").distinct()
     members = written(members, "members")
-    often = numbered(members, "e", ["id"], "nth", "often", range_rows).drop("nth")
-    held = written(numbered(often, "id", ["often", "e"], "pos", "n", range_rows).drop("often"), "held")
+    rows = members.count()
+    often = numbered(members, "e", ["id"], "nth", "often", range_rows, rows).drop("nth")
+    held = written(numbered(often, "id", ["often", "e"], "pos", "n", range_rows, rows).drop("often"), "held")
     need = F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9))
-    index = written(held.filter(F.col("pos") <= F.col("n") - need + 1), "index")
-    index = numbered(index, "e", ["n", "id"], "nth", "sets", range_rows).filter("sets > 1")
-    index = written(index.withColumn("cell", F.floor((F.col("nth") - 1) / cell_rows)).drop("nth", "sets"), "cells")
-    pairs = written(_candidates(index, least), "candidates")
+    index = numbered(held.filter(F.col("pos") <= F.col("n") - need + 1), "e", ["n", "id"], "nth", "sets", range_rows)
+    index = written(index.filter("sets > 1").withColumn("cell", F.floor((F.col("nth") - 1) / cell_rows)).drop("nth", "sets"), "cells")
 
     # the elements of each pair's smaller set, looked up in the other one
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("small_n") - 1) / cell_rows))).alias("block")
-    asked = pairs.select("small", "large", blocks)
+    asked = _candidates(index, least).select("small", "large", "large_n", blocks)
     small = held.select(F.col("id").alias("small"), F.floor((F.col("pos") - 1) / cell_rows).alias("block"), "e")
-    each = asked.join(small, ["small", "block"]).select("small", "large", "e")
+    each = asked.join(small, ["small", "block"]).select("small", "large", "large_n", "e")
     found = each.join(members.select(F.col("id").alias("large"), "e"), ["large", "e"], "left_semi")
-    shared = found.groupBy("small", "large").agg(F.count(F.lit(1)).alias("shared")).join(pairs, ["small", "large"])
+    shared = found.groupBy("small", "large", "large_n").agg(F.count(F.lit(1)).alias("shared"))
     out = shared.select(F.least("small", "large").alias("left_id"), F.greatest("small", "large").alias("right_id"), "shared", (F.col("shared") / F.col("large_n")).alias("ratio"))
     return out.filter(F.col("ratio") >= least)
 
