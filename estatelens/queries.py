@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .functions import hashing, text
-from .operators import graph, overlap, relational, semantic, usage
+from .operators import graph, overlap, reach, relational, semantic, usage
 from .plans import audit, dag, definitions, lineage, scoring
 from .session import table
 from .sources import querylog
@@ -389,7 +389,18 @@ def fk_closure(spark, sf_dir):
 select dst as node from c""")
 def descendants(spark, sf_dir):
     _, edges = _foreign_keys(spark, sf_dir)
-    return graph.closure(edges, spark.sql("select 'r:1' as node")).select(F.col("dst").alias("node"))
+    found = reach.reach_labels(edges).below(spark.sql("select 'r:1' as node"))
+    return found.select(F.col("reached").alias("node"))
+
+
+@query("""
+select l_orderkey, l_linenumber from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey where s_nationkey = c_nationkey""")
+def lines_below_suppliers_nation(spark, sf_dir):
+    """Line items whose order lies below their supplier's nation in the graph of keys: a look-up of two labels for each."""
+    _, edges = _foreign_keys(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = lines.select(key("n", F.col("s_nationkey")).alias("src"), key("o", F.col("l_orderkey")).alias("dst"), "l_orderkey", "l_linenumber")
+    return reach.reach_labels(edges).reaches(pairs).select("l_orderkey", "l_linenumber")
 
 
 @query(f"""with recursive {_NODES}, {_EDGES}, p as (select node, 0 as level from n union all select e.dst, p.level + 1 from p join e on e.src = p.node)
