@@ -33,6 +33,7 @@ def build_parser() -> argparse.ArgumentParser:
             own.add_argument("--backend", choices=["rules", "chat"], default="rules", help="who judges candidate pairs")
             own.add_argument("--model", default="", help="the chat backend's model")
             own.add_argument("--url", default="", help="the chat backend's address")
+            own.add_argument("--judge-tasks", type=int, default=0, help="tasks that call the chat backend at a time; 0: one call at a time on the driver")
             own.add_argument("--cache", default="", help="folder that keeps the chat backend's answers")
     return parser
 
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if all(r["passed"] for r in rows) else 1
     judge = provider.ChatProvider(args.model, args.url) if args.backend == "chat" else None
     cache = f"file://{os.path.abspath(args.cache)}" if args.cache else None
-    findings, judged, totals = audit.run_audit(spark, estate, judge, cache, say)
+    findings, judged, totals = audit.run_audit(spark, estate, judge, cache, say, args.judge_tasks)
     if args.command == "audit":
         audit.write_findings(findings, args.out)
         answer({"findings": findings.count(), "candidates": judged.count(), "judge": totals, "out": args.out})

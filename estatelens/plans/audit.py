@@ -60,15 +60,16 @@ def structural_findings(estate: Estate) -> DataFrame:
     return out.unionByName(checks.broken_references(estate.lineage)).unionByName(checks.unused_propagation(estate.lineage))
 
 
-def run_audit(spark: SparkSession, estate: Estate, provider: definitions.Provider | None = None, cache_path: str | None = None, progress: Callable[[str], None] = lambda says: None) -> tuple[DataFrame, DataFrame, dict]:
-    """(findings, judged candidates, totals of the judge); the fixed rules judge unless a provider does, whose answers cache_path keeps."""
+def run_audit(spark: SparkSession, estate: Estate, provider: definitions.Provider | None = None, cache_path: str | None = None, progress: Callable[[str], None] = lambda says: None, judge_tasks: int = 0) -> tuple[DataFrame, DataFrame, dict]:
+    """(findings, judged candidates, totals of the judge); the fixed rules judge unless a provider does, on the driver or in judge_tasks tasks at a time, whose answers cache_path keeps."""
     progress("candidates")
     pairs = written(definitions.candidates(spark, estate.models, estate.tiles, estate.lineage.aggregates), "candidates")
     if provider is None:
         judged, totals = definitions.judge(pairs), definitions.usage_totals(pairs.withColumn("raw", F.lit("rules"))).first().asDict()
     else:
         cache = definitions.load_cache(spark, cache_path) if cache_path else None
-        judged, answers, totals = definitions.judge_with(pairs, provider, cache, progress)
+        keep = (lambda answers: definitions.save_answers(answers, cache_path)) if cache_path else None
+        judged, answers, totals = definitions.judge_with(pairs, provider, cache, progress, judge_tasks, keep)
         if cache_path:
             definitions.save_answers(answers, cache_path)
     progress(f"judged: {totals}")

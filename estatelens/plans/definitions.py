@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Protocol
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational, semantic
+from ..operators.usage import total_order
 from ..schemas import require_none
 from ..session import written
 from .checks import findings
@@ -18,6 +21,7 @@ from .sqltext import canonical_sql
 
 VERDICTS = ["drifted", "equivalent", "unrelated"]
 PROMPT_VERSION = 1
+CALLS_PER_TASK = 16
 
 
 class JudgeError(ValueError):
@@ -147,22 +151,72 @@ def save_answers(answers: DataFrame, path: str) -> None:
     written(new, "answers").write.mode("append").parquet(path)
 
 
-def judge_with(pairs: DataFrame, provider: Provider, cache: DataFrame | None = None, progress: Callable[[str], None] | None = None) -> tuple[DataFrame, DataFrame, dict]:
-    """(judged pairs, all answers as key and raw, totals). A provider is asked on the driver, one candidate at a time; held answers are checked again like new ones."""
+ASKED = "key string, raw string, prompt_tokens bigint, completion_tokens bigint, error string"
+
+
+def asked_in_tasks(asked: DataFrame, provider: Provider, tasks: int, keep: Callable[[DataFrame], None] | None = None, calls: int = CALLS_PER_TASK) -> DataFrame:
+    """The ASKED rows of candidates without an answer, each key asked once, by at most `tasks` tasks at a time.
+
+    Candidates go out in waves of `tasks` tasks with `calls` calls each. A wave's answers are
+    written by Spark and handed to keep(key, raw) before the next one starts, so a lost executor
+    repeats the calls of its own tasks, and a stopped run those of one wave. A call that the
+    provider refuses doesn't lose the answers of its wave: they are kept, then JudgeError is
+    raised. The provider is copied to the tasks; what it counts itself stays there.
+    """
+    if tasks < 1 or calls < 1:
+        raise ValueError("tasks and calls must be 1 or more")
+    wanted = [c for c in asked.columns if c not in ("key", "raw")]
+    once = asked.filter("raw is null").groupBy("key").agg(*[F.first(c).alias(c) for c in wanted])
+    placed = total_order(once, ["key"]).withColumn("wave", F.floor((F.col("place") - 1) / (tasks * calls)))
+    placed = written(placed.withColumn("task", F.col("place") % tasks), "waves")
+
+    def ask(frames):
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                try:
+                    raw, why = provider.complete(prompt(r)), None
+                except JudgeError as e:
+                    raw, why = None, str(e)
+                used = getattr(provider, "usage", (0, 0)) if why is None else (0, 0)
+                yield pd.DataFrame([[r["key"], raw, *used, why]], columns=["key", "raw", "prompt_tokens", "completion_tokens", "error"])
+
+    out = []
+    for wave in range((placed.agg(F.max("wave")).first()[0] or 0) + 1):
+        own = placed.filter(F.col("wave") == wave).repartitionByRange(tasks, "task").select("key", "task", "id", "metric_name", "left_asset_id", "left_sql", "right_asset_id", "right_sql")
+        told = written(own.mapInPandas(ask, ASKED), "told")
+        if keep:
+            keep(told.filter("error is null").select("key", "raw"))
+        require_none(told.filter("error is not null").select("key", "error"), "calls that the judge refused", JudgeError)
+        out.append(told)
+    return reduce(DataFrame.union, out)
+
+
+def judge_with(pairs: DataFrame, provider: Provider, cache: DataFrame | None = None, progress: Callable[[str], None] | None = None, tasks: int = 0, keep: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """(judged pairs, all answers as key and raw, totals).
+
+    A provider is asked by asked_in_tasks if tasks are given, else on the driver, one candidate
+    at a time, as a provider with a state of its own needs it. Held answers are checked again like new ones.
+    """
     spark = pairs.sparkSession
     asked = written(with_cached(pairs, cache, provider.name, provider.model), "asked")
+    if tasks:
+        got = asked_in_tasks(asked, provider, tasks, keep)
+        return _told(pairs, asked, got.select("key", "raw"), got)
     new, used = [], []
     for r in asked.filter("raw is null").orderBy("id").toLocalIterator():
         new.append((r["key"], provider.complete(prompt(r.asDict()))))
         used.append(tuple(getattr(provider, "usage", (0, 0))))
         if progress:
             progress(f"judged {r['id']}: {used[-1][0]} + {used[-1][1]} tokens")
-    answers = spark.createDataFrame(new, "key string, raw string")
+    return _told(pairs, asked, spark.createDataFrame(new, "key string, raw string"), spark.createDataFrame(used, "prompt_tokens bigint, completion_tokens bigint"))
+
+
+def _told(pairs: DataFrame, asked: DataFrame, answers: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     told = asked.withColumnRenamed("raw", "held").join(answers, "key", "left").withColumn("raw", F.coalesce("held", "raw"))
     told = written(answer_errors(told), "told")
     require_none(told.filter("error is not null").select("id", "error"), "answers that don't keep their contract", JudgeError)
     judged = told.select(*pairs.columns, "answer.verdict", "answer.rationale", "answer.confidence", "answer.left_sql_quote", "answer.right_sql_quote")
-    totals = usage_totals(asked, spark.createDataFrame(used, "prompt_tokens bigint, completion_tokens bigint")).first().asDict()
+    totals = usage_totals(asked, used).first().asDict()
     return judged, told.select("key", "raw"), totals
 
 
