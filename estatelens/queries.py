@@ -14,6 +14,7 @@ from .operators import graph, overlap, reach, relational, semantic, usage
 from .plans import audit, dag, definitions, lineage, scoring
 from .session import table
 from .sources import querylog
+from .streaming import last_use
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +65,14 @@ def stale_customers(spark, sf_dir):
     return usage.stale(log, ["o_custkey"], "o_orderdate", usage.latest(log, "o_orderdate"), 120)
 
 
+@query(ORACLES["stale_customers"])
+def streamed_stale_customers(spark, sf_dir):
+    """The orders as a stream, read to its end; with no lateness allowed the watermark is the newest order's time."""
+    path = f"{sf_dir}/orders.parquet"
+    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[o]rders.parquet")  # a pattern may name a file, a plain path only a folder
+    return last_use.replay(spark, log, ["o_custkey"], "o_orderdate", 120, "0 seconds")
+
+
 def _event_log(spark, sf_dir) -> DataFrame:
     """The events in the shape of a query log."""
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("dashboard_id"), F.concat(F.lit("tile "), F.col("user_id") % 20).alias("tile_id"), F.col("user_id").cast("string").alias("user"), F.col("ts").alias("timestamp"))

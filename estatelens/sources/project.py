@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational
-from ..schemas import SOURCES, require_none
+from ..schemas import require_none
+from .declared import DeclaredTables
 
 
 class ProjectError(ValueError):
@@ -30,32 +31,12 @@ def load_yaml(spark: SparkSession, path: str):
         raise ProjectError(f"{path}: not YAML: {e}") from e
 
 
-def _only(value, keys: set[str], need: set[str], where: str) -> dict:
-    if not isinstance(value, dict) or set(value) - keys or need - set(value):
-        raise ProjectError(f"{where}: expected the fields {sorted(keys)}, at least {sorted(need)}")
-    return value
-
-
 def load_sources(spark: SparkSession, root: str) -> DataFrame:
     """The tables that YAML files below root declare; unknown fields and repeated names are errors."""
-    rows = []
-    for path, body in _files(spark, root, "*.y*ml").orderBy("path").collect():
-        spec = yaml.safe_load(body)
-        if not isinstance(spec, dict) or "sources" not in spec:
-            continue
-        _only(spec, {"version", "sources"}, {"sources"}, path)
-        for source in spec["sources"]:
-            _only(source, {"name", "database", "schema", "tables"}, {"name", "tables"}, path)
-            for t in source["tables"]:
-                _only(t, {"name", "columns"}, {"name"}, path)
-                columns = [_only(c, {"name"}, {"name"}, path)["name"].strip() for c in t.get("columns") or []]
-                if len(set(columns)) < len(columns):
-                    raise ProjectError(f"{path}: {t['name']} declares a column twice")
-                database, schema = source.get("database"), source.get("schema")
-                relation = ".".join(p for p in (database, schema or source["name"], t["name"]) if p)
-                evidence = [("dbt_yaml", path, f"source={source['name']}.{t['name']}", None, None)]
-                rows.append((f"source.{source['name']}.{t['name']}", source["name"], t["name"], database, schema, relation, columns, path, evidence))
-    out = spark.createDataFrame(rows, SOURCES)
+    spark.dataSource.register(DeclaredTables)
+    found = spark.read.format("declared_tables").load(root)
+    require_none(found.filter("error is not null").select("path", "error"), "declarations that break the contract", ProjectError)
+    out = found.filter("error is null").drop("error")
     require_none(relational.duplicated(out, ["id"]), "sources declared twice", ProjectError)
     return out
 
