@@ -11,7 +11,8 @@ permuted in cells of about BLOCK_ROWS rows, drawn at random, so no task orders a
 
 Defined results: rows that are equal in every column used are interchangeable, and share a
 cell; null ids and null texts are values like others; a very long text is a row like others; an
-empty table gives an empty result; columns named like an output column are replaced by it.
+empty table gives an empty result; columns named like an output column are replaced by it, and
+others may have any name.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import set_aside
+
 MOST_SOURCES = 2048  # rows of the matrix; more rows make larger sources, in more cells
 SOURCE_ROWS = 200_000
 BLOCK_ROWS = 100_000
@@ -72,6 +75,9 @@ def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
+    df = df.drop("shard", "slot")
+    key = [f"__aside_{df.columns.index(c)}" for c in key]
+    df, named = set_aside(df, [])
     spark, rows = df.sparkSession, df.count()
     sources = min(MOST_SOURCES, max(64, math.ceil(rows / SOURCE_ROWS)))
 
@@ -90,7 +96,7 @@ def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -
         offsets = offsets.select(group, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
         return df.join(offsets, [group, "__cell"]).withColumn("__at", (F.col("__before") + within(group, "__cell")).cast("long")).drop("__cell", "__before")
 
-    df = df.drop("shard", "slot").withColumn("__source", F.pmod(draw("source"), F.lit(sources)).cast("int"))
+    df = df.withColumn("__source", F.pmod(draw("source"), F.lit(sources)).cast("int"))
     held = {r[0]: r[1] for r in df.groupBy("__source").count().collect()}
     matrix = communication_matrix([held.get(p, 0) for p in range(sources)], shard_sizes(rows, shards), seed)
     ends = json.dumps([np.cumsum(row).tolist() for row in matrix])
@@ -98,7 +104,7 @@ def shuffle_shards(df: DataFrame, shards: int, key: list[str], seed: int = 17) -
 
     sent = permuted(df, "__source", sources, 1, "local").join(F.broadcast(cuts), "__source")  # MOST_SOURCES rows at most
     sent = sent.withColumn("shard", F.size(F.filter("__ends", lambda end: end <= F.col("__at")))).drop("__source", "__ends", "__at")
-    return permuted(sent, "shard", shards, 32, "slot").withColumnRenamed("__at", "slot")
+    return named(permuted(sent, "shard", shards, 32, "slot").withColumnRenamed("__at", "slot"), "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str) -> None:

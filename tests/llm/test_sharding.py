@@ -65,6 +65,16 @@ def test_awkward_rows_and_order_of_input(spark):
     assert set(wide.columns) == set(df.columns) and dict(wide.dtypes)["slot"] == "bigint"
 
 
+def test_columns_of_any_name(spark):
+    names = ["__at", "__source", "__cell", "__before", "__ends", "__n", "__aside_0", "a.b", "shard"]
+    df = spark.range(50).select("id", *[(F.col("id") * (i + 2)).alias(n) for i, n in enumerate(names)])
+    out = sharding.shuffle_shards(df, 3, ["id", "a.b"])
+    assert out.columns == ["id", *names[:-1], "shard", "slot"]
+    got = out.collect()
+    assert sorted(tuple(r)[:9] for r in got) == [tuple([i] + [i * (k + 2) for k in range(8)]) for i in range(50)]
+    assert sorted(Counter(r.shard for r in got).values()) == [16, 17, 17]
+
+
 def test_documents_travel_and_no_task_holds_a_shard(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
     rows = [(i, f"text {i % 7}") for i in range(300)] + [(None, None), (5, "")]
