@@ -326,8 +326,10 @@ def settled(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         texts = {text: (chunk, a, c) for text, chunk, a, c in merged}
         if texts:
             places = list(texts.values())
-            place = np.array([(chunk << 40) + a for chunk, a, _ in places], np.int64)
-            marks = repeated_strings(list(texts), place, np.array([c for _, _, c in places]), length, shard_bytes)
+            chunk_of, at_of, count_of = np.array(places, np.int64).T
+            stride = int((at_of + count_of).max()) + 1  # chunks by their rank here, so that numbers of any corpus fit
+            place = np.unique(chunk_of, return_inverse=True)[1] * stride + at_of
+            marks = repeated_strings(list(texts), place, count_of, length, shard_bytes)
             for (chunk, a, _), marked in zip(places, marks, strict=True):
                 if marked.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], marked, [False]]).view(np.int8)))

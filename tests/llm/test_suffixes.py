@@ -70,3 +70,23 @@ def test_transform_inverts_and_merge_orders_suffixes():
     prefixes = [texts[r] for r in row.tolist()]
     assert prefixes == sorted(prefixes)
     assert [a == b for a, b in zip(block[1:], block[:-1], strict=True)] == [a == b for a, b in zip(prefixes[1:], prefixes[:-1], strict=True)]
+
+
+def test_chunk_numbers_of_a_large_corpus(spark):
+    """Pieces of chunks beyond 2^23 are put in order like those of small ones."""
+    from zstandard import ZstdCompressor
+
+    text = bytes(range(60, 90)) * 4
+
+    def piece(chunk, key, own):
+        n = len(own) - 9
+        return (0, chunk, np.array([7], np.int64).tobytes(), np.array([n], np.int32).tobytes(), np.array([key], np.uint64).tobytes(), np.array([False]).tobytes(), ZstdCompressor().compress(own))
+
+    def marks(first, second):
+        rows = [piece(first, 1, text[:60]), piece(second, 1, b"x" + text[:60])]
+        df = spark.createDataFrame(rows, "bucket int, chunk int, at binary, count binary, keys binary, looped binary, text binary")
+        df = df.withColumnRenamed("chunk", suffixes._CHUNK)
+        return {r[0]: (bytes(r["at"]), bytes(r["count"])) for r in suffixes.settled(df, 10, 1 << 20).collect()}
+
+    small, large = marks(0, 1), marks(2**30, 2**31 - 2)
+    assert small[1] == large[2**31 - 2] and np.frombuffer(small[1][0], np.int64).min() == 7 + 1
