@@ -88,3 +88,16 @@ def test_items_take_findings_in_order(spark, seed):
     got = scoring.assigned(spark.createDataFrame(matches, "place int, finding string, matched int"))
     assert {r.place: r.finding for r in got.collect()} == want
     assert scoring.assigned(spark.createDataFrame([], "place int, finding string, matched int")).count() == 0
+
+
+def test_sets_without_overlap_are_no_candidates(spark, monkeypatch):
+    """Sets that share rare elements but can't reach the overlap don't leave the join; those that can do."""
+    rng = random.Random(3)
+    sets = {n: {f"e{x}" for x in rng.sample(range(300), 40)} for n in range(80)}
+    sets |= {100 + n: set(sorted(sets[n])[:30]) | {f"y{n}.{i}" for i in range(n)} for n in range(12)}
+    met, own = [], overlap._candidates
+    monkeypatch.setattr(overlap, "_candidates", lambda *a: met.append(own(*a)) or met[-1])
+    got = overlap.set_overlap_pairs(spark.createDataFrame([(n, e) for n, s in sets.items() for e in s], "i int, e string"), "i", "e", 0.5)
+    want = brute_overlap(sets, 0.5)
+    assert {tuple(r) for r in got.collect()} == want and len(want) >= 12
+    assert len(want) <= met[0].count() < 100
