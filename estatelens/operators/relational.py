@@ -71,13 +71,19 @@ def conflicting_definitions(items: DataFrame, id_col: str, label: str, definitio
     return each.join(total, "label").select("label", "definition", "items", "first_id", (F.col("all") - F.col("items")).alias("conflicts"))
 
 
-def first_match(left: DataFrame, right: DataFrame, key: str, conditions: list[str], order: str) -> DataFrame:
-    """left with the first row of right that meets one of several equalities, the earlier ones first: two joins and a choice, not an OR join."""
+def first_match(left: DataFrame, right: DataFrame, key: str, equal: list[tuple[str, str]], order: str) -> DataFrame:
+    """left with the first row of right (nulls last) that meets one of several equalities (left column, right column), the earlier ones first.
+
+    A join for each equality and a choice, not an OR join. right is cut down to the first row of
+    each value before it is joined, so a row of left meets one row at most for each equality.
+    """
     out = None
-    for rank, condition in enumerate(conditions):
-        met = left.alias("l").join(right.alias("r"), F.expr(condition)).select("l.*", F.struct(F.lit(rank).alias("rank"), F.col(f"r.{order}").alias("place"), F.struct("r.*").alias("row")).alias("m"))
+    place = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("place"))
+    for rank, (own, its) in enumerate(equal):
+        first = right.filter(F.col(its).isNotNull()).groupBy(F.col(its).alias("__value")).agg(F.min_by(F.struct(*right.columns), place(order)).alias("row"))
+        met = left.join(first, left[own] == F.col("__value")).select(key, F.struct(F.lit(rank).alias("rank"), "row").alias("m"))
         out = met if out is None else out.unionByName(met)
-    best = out.groupBy(key).agg(F.min_by("m", F.struct("m.rank", "m.place")).alias("m")).select(key, F.col("m.row").alias("match"))
+    best = out.groupBy(key).agg(F.min_by("m", F.struct("m.rank", place(f"m.row.{order}"))).alias("m")).select(key, F.col("m.row").alias("match"))
     return left.join(best, key, "left")
 
 

@@ -49,7 +49,7 @@ def candidates(spark: SparkSession, models: DataFrame, tiles: DataFrame, aggrega
     reads = tiles.select("id", F.posexplode("queried_tables").alias("place", "table"))
     by_name = models.select(F.col("name").alias("model"), F.lower("relation_name").alias("relation"), "resolved_sql")
     reads = reads.select("*", F.concat_ws("#", "id", "place").alias("read"), F.lower("table").alias("relation"), F.element_at(F.split("table", r"\."), -1).alias("last"))
-    best = relational.first_match(reads, by_name, "read", ["l.relation = r.relation", "l.last = r.model"], "model").select("id", "place", F.col("match").alias("m")).filter("m is not null")
+    best = relational.first_match(reads, by_name, "read", [("relation", "relation"), ("last", "model")], "model").select("id", "place", F.col("match").alias("m")).filter("m is not null")
     part = F.concat(F.lit("\n-- upstream model "), "m.model", F.lit("\n"), F.trim(F.col("m.resolved_sql")))
     suffix = best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("sql")))), lambda x: x["sql"]), "").alias("suffix"))
     full_sql = tiles.join(suffix, "id", "left").select("id", F.trim("query_sql").alias("primary"), F.concat(F.trim("query_sql"), F.coalesce("suffix", F.lit(""))).alias("sql"), "evidence", text.label_name(F.get("metric_labels", F.lit(0))).alias("label"))

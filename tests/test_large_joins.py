@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from estatelens.functions import text
-from estatelens.operators import numbering, overlap, substring
+from estatelens.operators import numbering, overlap, relational, substring
 from estatelens.plans import scoring
 
 
@@ -101,3 +101,21 @@ def test_sets_without_overlap_are_no_candidates(spark, monkeypatch):
     want = brute_overlap(sets, 0.5)
     assert {tuple(r) for r in got.collect()} == want and len(want) >= 12
     assert len(want) <= met[0].count() < 100
+
+
+def test_first_match_joins_one_row_of_each_value(spark, monkeypatch):
+    """Many rows on both sides of one value meet as one row each; rows without a place come last."""
+    left = spark.createDataFrame([(k, 1 if k < 40 else k % 7 + 2) for k in range(60)] + [(90, None), (91, 50)], "k int, v int")
+    rows = [(None if n == 200 else n, 1 if n >= 200 else n % 5 + 1 if n > 30 else 50) for n in range(31, 400)] + [(None, 50), (45, None)]
+    right = spark.createDataFrame(rows, "n int, v int")
+    joined, own = [], type(left).join
+    monkeypatch.setattr(type(left), "join", lambda self, other, *a, **b: joined.append(other) or own(self, other, *a, **b))
+    got = {r.k: r.match and r.match.n for r in relational.first_match(left, right, "k", [("v", "v"), ("k", "n")], "n").collect()}
+    value = {r.k: r.v for r in left.collect()}
+    want = {}
+    for k, v in value.items():
+        met = [(rank, n is None, n or 0) for rank, eq in enumerate((lambda n, x: v is not None and x == v, lambda n, x: n == k)) for n, x in rows if eq(n, x)]
+        want[k] = next((None if none else n for _, none, n in sorted(met)), None)
+    assert got == want and want[91] is None and len({*want.values()}) > 4
+    values = {x for _, x in rows}, {n for n, _ in rows}
+    assert [j.count() for j in joined[:2]] == [len(v - {None}) for v in values]
