@@ -22,11 +22,13 @@ class Reach:
     members: (node, component, cyclic), nodes with their strong component and whether it has a cycle.
     places: (component, at), components numbered from 0, each before those of its subtree.
     intervals: (component, low, high), the places that it reaches, its own included; intervals of a component don't overlap.
+    acyclic: each node is its own component, and none has a cycle.
     """
 
     members: DataFrame
     places: DataFrame
     intervals: DataFrame
+    acyclic: bool = False
 
     def below(self, start: DataFrame) -> DataFrame:
         """(node, reached): what each `node` of start reaches by one edge or more, itself only on a cycle; unknown nodes reach nothing."""
@@ -40,13 +42,17 @@ class Reach:
 
     def reaches(self, pairs: DataFrame) -> DataFrame:
         """The rows of pairs (src, dst, ...) whose src reaches dst by one edge or more."""
-        side = lambda e: self.members.select(F.col("node").alias(e), F.col("component").alias(f"__{e}"), F.col("cyclic").alias(f"__{e}_cyclic"))
-        asked = pairs.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst")
-        at = self.places.select(F.col("component").alias("__dst"), "at")
-        spans = self.intervals.select(F.col("component").alias("__src"), "low", "high")
-        within = F.col("at").between(F.col("low"), F.col("high")) & ((F.col("__src") != F.col("__dst")) | F.col("__src_cyclic"))
-        hit = asked.join(at, "__dst").join(spans, "__src").filter(within).select("src", "dst")
-        return pairs.join(hit, ["src", "dst"], "left_semi").select(*pairs.columns)
+        own = lambda e: self.members.select(F.col("node").alias(e), F.col("component").alias(f"__{e}"), "cyclic")
+        # a node has one place, and its intervals lie apart: no pair is found twice
+        at, spans = self.places.withColumnRenamed("component", "__dst"), self.intervals.withColumnRenamed("component", "__src")
+        if self.acyclic:
+            at, spans = at.withColumn("dst", F.col("__dst")), spans.select("*", F.col("__src").alias("src"), F.lit(False).alias("cyclic"))
+        else:
+            at, spans = at.join(own("dst").drop("cyclic"), "__dst"), spans.join(own("src"), "__src")
+        # often few nodes are asked about many others; as a written table they are known to be few
+        spans = written(spans.join(pairs.select("src").distinct(), "src", "left_semi"), "asked")
+        within = F.col("at").between(F.col("low"), F.col("high")) & ((F.col("__src") != F.col("__dst")) | F.col("cyclic"))
+        return pairs.join(spans, "src").join(at, "dst").filter(within).select(*pairs.columns)
 
 
 def _block(place: Column) -> Column:
@@ -62,33 +68,35 @@ def reach_labels(edges: DataFrame) -> Reach:
     interval holds it. So the labels of a forest are one row for each node; in the worst case (a dense
     graph) they grow with the pairs of nodes and targets of such edges. Rounds grow with depth.
     """
-    edges = written(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "edges")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    strong = graph.strong_components(edges).withColumn("cyclic", F.lit(True))
-    members = written(nodes.join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "members")
-    end = lambda e: members.select(F.col("node").alias(e), F.col("component").alias(f"{e}_c"))
-    ends = edges.join(end("src"), "src").join(end("dst"), "dst").filter("src_c <> dst_c")
-    dag = written(ends.select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct(), "dag")
-
-    level = written(graph.levels(members.select(F.col("component").alias("node")).distinct(), dag), "levels")
-    of = lambda e: level.select(F.col("node").alias(e), F.col("level").alias(f"{e}_level"))
-    parent = dag.join(of("src"), "src").join(of("dst"), "dst").filter("src_level = dst_level - 1").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-    forest = _by_level(level.join(parent, "node", "left").select("node", "parent", "level"))
-    depth = level.agg(F.max("level")).first()[0]
-    if depth is None:
+    edges = written(edges.select("src", "dst").filter("src is not null and dst is not null"), "edges")
+    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
+    rounds, dag = graph.peeled(nodes, edges)
+    acyclic = sum(t.count() for t in rounds) == nodes.count()
+    if acyclic:
+        members = nodes.select("node", F.col("node").alias("component"), F.lit(False).alias("cyclic"))
+    else:  # cycles are among the nodes that no round has freed
+        freed = reduce(DataFrame.union, [t.select(F.col("node").alias("src")) for t in rounds], nodes.select(F.col("node").alias("src")).limit(0))
+        strong = graph.strong_components(dag.select("src", "dst").join(freed, "src", "left_anti")).withColumn("cyclic", F.lit(True))
+        members = written(nodes.join(strong, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "members")
+        end = lambda e: members.select(F.col("node").alias(e), F.col("component").alias(f"{e}_c"))
+        ends = dag.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").filter("src_c <> dst_c")
+        rounds, dag = graph.peeled(members.select(F.col("component").alias("node")).distinct(), ends.select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")))
+    if not rounds:
         none = members.select("component", F.lit(0).cast("long").alias("low"))
-        return Reach(members, none.withColumnRenamed("low", "at"), none.withColumn("high", F.col("low")))
+        return Reach(members, none.withColumnRenamed("low", "at"), none.withColumn("high", F.col("low")), acyclic)
 
     below, sized = None, []  # a level needs the sizes of the next one only
-    for n in range(depth, -1, -1):
-        here = forest.filter(F.col("level") == n)
-        sums = forest.select("parent", F.lit(0).alias("size")).limit(0) if below is None else below
-        sums = sums.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("under"))
-        below = written(here.join(sums, "node", "left").select("node", "parent", "level", (1 + F.coalesce("under", F.lit(0))).cast("long").alias("size")), "sizes")
+    for n in range(len(rounds) - 1, -1, -1):
+        here = rounds[n].withColumn("level", F.lit(n))
+        if below is None:
+            below = here.withColumn("size", F.lit(1).cast("long"))
+        else:
+            sums = below.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("under"))
+            below = written(here.join(sums, "node", "left").select("node", "parent", "level", (1 + F.coalesce("under", F.lit(0))).cast("long").alias("size")), "sizes")
         sized.append(below)
     ordered = _by_level(numbered(reduce(DataFrame.union, sized), "parent", ["node"], "upto", "all", weight="size").drop("all"))
     above, spans = None, []
-    for n in range(depth + 1):
+    for n in range(len(rounds)):
         here = ordered.filter(F.col("level") == n).withColumn("first", F.col("upto") - F.col("size"))
         if above is None:
             here = here.withColumn("low", F.col("first"))
@@ -96,12 +104,17 @@ def reach_labels(edges: DataFrame) -> Reach:
             here = here.join(above.select(F.col("node").alias("parent"), F.col("low").alias("top")), "parent").withColumn("low", F.col("top") + 1 + F.col("first"))
         above = written(here.select("node", "low", (F.col("low") + F.col("size") - 1).alias("high")), "spans")
         spans.append(above)
-    spans = written(reduce(DataFrame.union, spans), "spans")
+    spans = reduce(DataFrame.union, spans)
+    places = spans.select(F.col("node").alias("component"), F.col("low").alias("at"))
 
     own = spans.select("node", F.col("low").alias("own_low"), F.col("high").alias("own_high"))
     outside = lambda found: found.join(own, "node").filter("low < own_low or high > own_high").select("node", "low", "high").distinct()
-    kept = forest.filter("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst"))
-    new = dag.join(kept, ["src", "dst"], "left_anti").join(spans.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "low", "high")
+    kept = reduce(DataFrame.union, [t.select(F.col("parent").alias("src"), F.col("node").alias("dst")) for t in rounds])
+    # an edge that alone leads to its end is in the forest
+    beside = written(dag.filter("waits > 1").select("src", "dst").join(kept, ["src", "dst"], "left_anti"), "beside")
+    if beside.isEmpty():
+        return Reach(members, places, spans.withColumnRenamed("node", "component"), acyclic)
+    new = beside.join(spans.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "low", "high")
     new, found = written(outside(new), "passed"), []
     while not new.isEmpty():
         found.append(new)
@@ -112,7 +125,7 @@ def reach_labels(edges: DataFrame) -> Reach:
     before = Window.partitionBy("node").orderBy("low", F.desc("high")).rowsBetween(Window.unboundedPreceding, -1)
     widest = every.withColumn("reach", F.max("high").over(before)).filter("reach is null or high > reach")
     intervals = written(widest.select(F.col("node").alias("component"), "low", "high"), "intervals")
-    return Reach(members, spans.select(F.col("node").alias("component"), F.col("low").alias("at")), intervals)
+    return Reach(members, places, intervals, acyclic)
 
 
 def _by_level(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from estatelens import queries
 from estatelens.operators import reach
 
 
@@ -36,3 +37,16 @@ def test_labels_say_what_the_closure_says(spark, name):
     assert sorted(map(tuple, labels.reaches(pairs).collect())) == sorted((a, b, "x") for a, b in want)
     if name == "tree":
         assert labels.intervals.count() == 30
+
+
+def test_a_forest_needs_no_search_for_cycles(spark, monkeypatch):
+    """No trimming or colouring where the levels take in all nodes, and no pairs of edges beside the forest."""
+    monkeypatch.setattr(reach.graph, "strong_components", lambda edges: pytest.fail("searched for cycles"))
+    labels = reach.reach_labels(spark.createDataFrame(GRAPHS["tree"], "src int, dst int"))
+    assert labels.acyclic and labels.intervals.count() == 30
+
+
+def test_descendants_of_one_node_build_no_labels(spark, monkeypatch):
+    monkeypatch.setattr(reach, "reach_labels", lambda edges: pytest.fail("labels of all nodes"))
+    found = [r.node for r in queries.descendants(spark, "/root/testdata/sf0.001").collect()]
+    assert len(found) == len(set(found)) > 30 and "r:1" not in found
