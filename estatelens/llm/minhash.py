@@ -11,11 +11,12 @@ most of a sketch is such values.
 Each list is first compared with its hub, the member that shares most of its sketch with
 others, one pair for each member. Pairs are filtered by the union sketch's estimate and
 verified on the full sets of words. What this leaves apart is compared with the rest of its
-hub's lists: in small groups pair by pair, in others block by block, where a block of
-BLOCK members meets another in one task: there, too, inverted lists of sketch values give the
-overlaps, the union sketch filters and the exact sets verify, and only links that join
-components are given. So a large group of near copies makes one row for each member
-and block, not one for each pair of members. Equal texts (by their SHA-256) are one node
+hub's lists: in small groups pair by pair, in others block by block, where BLOCK members
+meet in one task: there, too, inverted lists of sketch values give the overlaps, the union
+sketch filters and the exact sets verify, and only links that join components are given. At
+first each member is in one block, whose links leave few members of a group of near copies
+outside its largest component. Then those that are still outside meet all members of the
+group, a row for each member and block of the others. Equal texts (by their SHA-256) are one node
 throughout. Components come from rounds over written tables.
 
 The number of shingles is counted from 64-bit hashes; hashes that occur twice in a text are
@@ -29,6 +30,7 @@ separate documents.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -163,19 +165,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     first = components(links)
 
     # what the stars have left apart, against all members of the hub's lists
-    root = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    held = members.join(root("a"), "a", "left").join(root("b"), "b", "left").select("b", "a", "size", F.coalesce("root_a", "a").alias("root"), F.coalesce("root_b", "b").alias("hub_root"))
-    held = written_held = written(held.withColumn("apart", F.col("root") != F.col("hub_root")).drop("hub_root"), "held")
-    count = held.groupBy("b").agg(F.count_if("apart").alias("few"), F.count(F.lit(1)).alias("all")).filter("few > 0 and all > 2")
-    held = held.join(count, "b")
-    small = held.filter(F.col("few") * F.col("all") <= SMALL_GROUP)
+    held, written_held = lying_apart(members, first)
+    large = F.col("few") * F.col("all") > SMALL_GROUP
+    small = held.filter(~large)
     left = small.filter("apart").select("b", F.col("a").alias("l"), F.col("root").alias("l_root"), F.col("size").alias("l_size"))
     across = left.join(small.select("b", F.col("a").alias("r"), "root", "size"), "b").filter(f"root <> l_root and 100 * least(size, l_size) >= {SIMILAR} * greatest(size, l_size)")
     across = across.select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct()
-    more = verified(across, nodes, texts), blockwise(held.filter(F.col("few") * F.col("all") > SMALL_GROUP), texts, nodes)
-    edges = first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more[0]).union(more[1])
-    roots = components(edges)
-    forget(nodes, lists, members, texts, links, written_held, *more)
+    more = verified(across, nodes, texts), blockwise(held.filter(large), texts, nodes, whole=False)
+    linked = lambda roots, *links: components(functools.reduce(DataFrame.union, links, roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    roots = linked(first, *more)
+
+    # in large groups few are apart by now, but for groups whose members aren't alike
+    rest, written_rest = lying_apart(held.filter(large).select("b", "a", "size"), roots)
+    if not rest.isEmpty():
+        more = *more, blockwise(rest, texts, nodes)
+        roots = linked(roots, more[-1])
+    forget(nodes, lists, members, texts, links, written_held, written_rest, *more)
     return every.drop("sketch"), roots
 
 
@@ -213,16 +218,26 @@ def postings(nodes: DataFrame, k: int = SKETCH) -> DataFrame:
     return shared.select("node", "size", F.size("held").alias("shared"), F.explode(F.slice("held", F.lit(1), F.col("prefix"))).alias("v")).select(F.col("v.value").alias("value"), "node", "size", "shared")
 
 
-def blockwise(held: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between members (a, root) of large groups (b) that lie apart and all members of the group, in blocks."""
+def lying_apart(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (b: the group, a, size) with their root, whether it's another than the group's commonest (apart), the number of such (few) and of all, without groups that have one root or are the hub's pair; and the written table."""
+    held = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("b", "a", "size", F.coalesce("root", "a").alias("root"))
+    held = written(held, "held")
+    each = held.groupBy("b", "root").agg(F.count(F.lit(1)).alias("n"))
+    count = each.groupBy("b").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all")).withColumn("few", F.col("all") - F.col("most.n")).filter("few > 0 and all > 2")
+    count = count.select("b", "few", "all", F.col("most.root").alias("most"))
+    return held.join(count, "b").withColumn("apart", F.col("root") != F.col("most")).drop("most"), held
+
+
+def blockwise(held: DataFrame, texts: DataFrame, nodes: DataFrame, whole: bool = True) -> DataFrame:
+    """Links (a, b) between members (a, root) of large groups (b) that lie apart and all members of the group, in blocks; if not whole, between those of one block only, where each member is in one."""
+    held = held.join(nodes.select(F.col("node").alias("a"), "sketch"), "a").join(texts.select(F.col("node").alias("a"), "text"), "a")
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     own = lambda c: F.pmod(F.xxhash64("a"), parts(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
-    rows = held.filter("apart").select("b", own("few").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "a", "root")
-    rows = rows.union(held.select("b", every("few"), own("all"), F.lit(1), "a", "root"))
-    rows = rows.join(nodes.select(F.col("node").alias("a"), "sketch"), "a")
-    rows = rows.join(texts.select(F.col("node").alias("a"), "text"), "a").repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
-    return written(rows.select("b", "i", "j", "side", "a", "root", "text", "sketch").mapInArrow(_block_links, "a binary, b binary"), "block-links")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1)) if whole else F.lit(0)
+    rows = held.filter("apart").select("b", own("few" if whole else "all").alias("i"), every("all").alias("j"), F.lit(0).alias("side"), "a", "root", "text", "sketch")
+    others = held.select("b", every("few"), own("all"), F.lit(1), "a", "root", "text", "sketch") if whole else held.select("b", own("all"), F.lit(0), F.lit(1), "a", "root", "text", "sketch")
+    rows = rows.union(others).repartition("b", "i", "j").sortWithinPartitions("b", "i", "j", "side")
+    return written(rows.mapInArrow(_block_links, "a binary, b binary"), "block-links")
 
 
 def _block_links(batches):

@@ -63,6 +63,36 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_rows_that_meet_in_blocks_grow_with_the_group(spark, monkeypatch):
+    """Near copies of which each is linked with a part of the others: four times as many make not sixteen times the rows."""
+    monkeypatch.setattr(minhash, "SMALL_GROUP", 50)
+    monkeypatch.setattr(minhash, "BLOCK", 48)
+    true, met = minhash._block_links, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def seen():
+            for b in batches:
+                met.add(b.num_rows)
+                yield b
+
+        return true(seen())
+
+    monkeypatch.setattr(minhash, "_block_links", counted)
+    rnd, seen = random.Random(4), []
+    for n in (150, 600):
+        rows = []
+        for i in range(n):
+            w = [f"w{k}" for k in range(150)]
+            for k in rnd.sample(range(60, 100), 2 + i % 2):  # linked are 2 and 2, and others with an edit in common
+                w[k] = f"x{rnd.randrange(10**9)}"
+            rows.append((i, " ".join(w)))
+        before = met.value
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+        seen.append(met.value - before)
+    assert 0 < seen[1] < 6 * seen[0], seen
+
+
 def test_union_sketch_estimate():
     import numpy as np
 
