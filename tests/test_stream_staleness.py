@@ -46,6 +46,35 @@ def test_newest_rows_before_the_shuffle(spark):
     assert rows.count() < 100 and rows.groupBy("k").agg(F.max("at").alias("m")).exceptAll(log.groupBy("k").agg(F.max("at").alias("m"))).isEmpty()
 
 
+def test_newest_rows_of_many_keys(spark):
+    """A task of many Arrow batches sends a row for each key, not for each key and batch."""
+    log = spark.range(0, 200_000, 1, 2).select((F.col("id") % 5000).alias("k"), F.timestamp_seconds("id").alias("at"))
+    rows = last_use.newest_rows(log, ["k"], "at")
+    assert rows.count() <= 10_000 and rows.groupBy("k").agg(F.max("at").alias("m")).exceptAll(log.groupBy("k").agg(F.max("at").alias("m"))).isEmpty()
+
+
+def test_keys_of_one_bucket(spark, tmp_path, monkeypatch):
+    """Keys share state and timer: each becomes stale in its own time, and is withdrawn, whatever the others do; two key columns, NaN among them."""
+    monkeypatch.setattr(last_use, "BUCKETS", 1)
+    monkeypatch.setattr(last_use, "HELD_ROWS", 4)
+    schema = "board string, part double, at timestamp"
+    nan = float("nan")
+    batches = [
+        [("a", nan, at(0)), ("a", 1.0, at(3)), ("b", nan, at(40)), ("b", 1.0, at(41)), ("c", 0.0, at(60))],
+        [("d", 1.0, at(130))],
+        [("a", nan, at(140)), ("d", 1.0, at(165)), ("a", nan, at(139))],
+        [("e", 1.0, at(290))],
+        [("b", 1.0, at(300)), ("b", 1.0, at(301)), ("f", 1.0, at(320))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        got = last_use.replay(spark, log, ["board", "part"], "at", 120, "30 days", f"{tmp_path}/kept")
+        seen = [r for b in batches[: i + 1] for r in b]
+        want = usage.stale(spark.createDataFrame(seen, schema), ["board", "part"], "at", max(r[2] for r in seen) - dt.timedelta(days=30), 120)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), i
+
+
 def test_declared_tables(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "_hidden.yml").write_text("sources: [7]")
