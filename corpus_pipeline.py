@@ -93,5 +93,5 @@ ORACLE_SQL = None  # stages learn, hash and tokenise; tests/llm holds the run ag
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", sweep=True)
     return docs

@@ -11,7 +11,8 @@ they are, so each is joined with the earliest of them only; a line that is anoth
 is joined with the earliest of those it is a variant of, and they with it. So the work is
 linear in a key's rows, however many they are. Pairs are verified on the words. Of two lines
 within one edit one half is untouched: lines that share neither their first nor their last p
-words with another (p the largest power of two that fits twice) emit nothing.
+words with another (p the largest power of two that fits twice) emit nothing, and those that
+share only the first, or the last, emit no variants without one of these.
 
 Keys are counted where they are made before they travel, so a variant that a third of all
 lines share is a row for each task; the join that brings the earliest line to a key's lines has
@@ -33,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import dealt, set_aside, written
+from ._common import dealt, forget, set_aside, written
 
 MIN_WORDS = 10
 PRIME = 2**59 - 55  # five times it fits a long
@@ -59,8 +60,18 @@ def _sums(values: Column):
     return F.transform(runs, scan), lambda scans: scan(F.transform(scans, lambda s: F.element_at(s, -1)))
 
 
+def half(n: str) -> Column:
+    """The largest power of two that fits twice into n."""
+    return F.expr(f"shiftleft(1, length(bin(({n}) div 2)) - 1)")
+
+
 def variant_keys(lines: DataFrame) -> DataFrame:
-    """(pos, h1, key, kind) of (pos, h1, line). kind 0: the line; 1: the line without a word; 2: the same with the word's place."""
+    """(pos, h1, key, kind) of (pos, h1, line, first, last). kind 0: the line; 1: the line without a word; 2: the same with the word's place.
+
+    first and last: whether the line's first and last words are shared with another (0: half of
+    n - 1 words, 1: of n, null: not). Where its first ones only are, the edit lies behind them,
+    or in a run of one word that reaches behind them; so with the last.
+    """
     value = lambda place, word: F.pmod(F.xxhash64(place, word), F.lit(PRIME))
     df = lines.withColumn("w", F.split("line", " ", -1)).withColumn("n", F.size("w"))
     # place j and, for words after a gap, place j - 1
@@ -82,8 +93,11 @@ def variant_keys(lines: DataFrame) -> DataFrame:
 
     row = lambda key, kind: F.struct(key.alias("key"), F.lit(kind).cast("byte").alias("kind"))
     itself = F.xxhash64("n", total("here") % F.lit(PRIME))
-    df = df.withColumn("variants", F.transform(F.sequence(F.lit(0), F.col("n") - 1), without))
-    keys = F.concat(F.array(row(itself, 0)), F.transform(F.array_distinct("variants"), lambda v: row(v, 1)), F.transform("variants", lambda v, j: row(F.xxhash64(v, j), 2)))
+    shared = lambda end: F.when(F.col(end) == 0, half("n - 1")).otherwise(half("n"))
+    df = df.withColumn("from", F.when(F.col("last").isNull(), F.least(shared("first"), F.col("n") - 1)).otherwise(F.lit(0)))
+    df = df.withColumn("to", F.when(F.col("first").isNull(), F.greatest(F.col("n") - 1 - shared("last"), F.lit(0))).otherwise(F.col("n") - 1))
+    df = df.withColumn("variants", F.transform(F.sequence("from", "to"), without))
+    keys = F.concat(F.array(row(itself, 0)), F.transform(F.array_distinct("variants"), lambda v: row(v, 1)), F.transform("variants", lambda v, j: row(F.xxhash64(v, j + F.col("from")), 2)))
     return df.select("pos", "h1", F.inline(keys))
 
 
@@ -112,31 +126,33 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     every = base.select("__place", F.posexplode(line_array(F.col("text"))).alias("i", "raw")).withColumn("line", trimmed(F.col("raw")))
     words = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    half = lambda n: F.expr(f"shiftleft(1, length(bin(({n}) div 2)) - 1)")  # noqa: E731  the largest power of two that fits twice into n
     every = every.withColumn("n", words).withColumn("p", half("n - 1")).withColumn("q", half("n"))  # a neighbour may have one word more
     ends = [F.when((F.col("n") >= min_words) & (F.lit(k == "p") | (F.col("p") != F.col("q"))), F.expr(f"xxhash64({k}, substring_index(line, ' ', {sign}{k}))")).alias(f"{k}{sign}") for k in "pq" for sign in ("", "-")]
     every = every.select((F.col("__place") * F.lit(stride).cast(wide) + F.col("i").cast(wide)).cast(wide).alias("pos"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), *ends)
     distinct = every.groupBy("h1", "h2").agg(*[F.min(c).alias(c) for c in ("pos", "p", "p-", "q", "q-")])
-    distinct = written(distinct, "lines")
+    distinct = written(distinct, "lines", sweep=True)
 
     # lines that share their first or their last words with another
     ends = distinct.select("pos", "h1", "h2", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("end")) for side, c in enumerate(("p", "p-", "q", "q-"))])).alias("e"))
-    ends = ends.select("pos", "h1", "h2", (F.col("e.side") % 2).alias("side"), "e.end").filter("end is not null")
+    ends = ends.select("pos", "h1", "h2", (F.col("e.side") % 2).alias("side"), (F.col("e.side") >= 2).cast("byte").alias("size"), "e.end").filter("end is not null")
     common = ends.groupBy("side", "end").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("side", "end")
-    near = ends.join(common, ["side", "end"], "left_semi").select("pos", "h1", "h2").distinct()
+    least = lambda side: F.min(F.when(F.col("side") == side, F.col("size")))
+    near = ends.join(common, ["side", "end"], "left_semi").groupBy("pos", "h1", "h2").agg(least(0).alias("first"), least(1).alias("last"))
     wanted = near.withColumn("__place", _div(F.col("pos"), stride, wide)).withColumn("i", (F.col("pos") - F.col("__place") * F.lit(stride).cast(wide)).cast("int"))
-    wanted = wanted.groupBy("__place").agg(F.collect_list(F.struct("i", "pos", "h1", "h2")).alias("wanted"))
+    wanted = wanted.groupBy("__place").agg(F.collect_list(F.struct("i", "pos", "h1", "h2", "first", "last")).alias("wanted"))
     texts = base.join(wanted, "__place").select(line_array(F.col("text")).alias("d"), F.explode("wanted").alias("x"))
-    texts = texts.select("x.pos", "x.h1", "x.h2", trimmed(F.get("d", F.col("x.i"))).alias("line")).filter((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit("line"), "line") == F.col("h2")))
-    texts = written(texts.select("pos", "h1", "line"), "near-lines")
+    texts = texts.select("x.pos", "x.h1", "x.h2", "x.first", "x.last", trimmed(F.get("d", F.col("x.i"))).alias("line")).filter((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit("line"), "line") == F.col("h2")))
+    texts = written(texts.select("pos", "h1", "first", "last", "line"), "near-lines", sweep=True)
 
     keys = variant_keys(texts)
     of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("pos"))).alias(f"by{kind}")
     earliest = keys.groupBy("key").agg(of(0), of(1), of(2), F.max("pos").alias("last")).filter("least(by0, by1, by2) < last").drop("last")
     by = F.when(F.col("kind") == 0, F.col("by1")).when(F.col("kind") == 1, F.col("by0")).otherwise(F.col("by2"))
     pairs = keys.join(earliest, "key").withColumn("by", by).filter("pos > by").select("pos", "h1", "by").distinct()
-    both = pairs.join(texts, ["pos", "h1"]).join(texts.select(F.col("pos").alias("by"), F.col("line").alias("other")), "by")
+    both = pairs.join(texts.select("pos", "h1", "line"), ["pos", "h1"]).join(texts.select(F.col("pos").alias("by"), F.col("line").alias("other")), "by")
     gone = both.filter(within_one_edit(F.split("line", " ", -1), F.split("other", " ", -1))).select("pos", "h1").distinct()
+    gone = written(gone, "near-lines-gone", sweep=True)  # the keys are off the disk before the documents travel
+    forget(texts)
 
     kept = distinct.select("pos", "h1").join(gone, ["pos", "h1"], "left_anti")
     kept = kept.withColumn("__place", _div(F.col("pos"), stride, wide)).withColumn("i", (F.col("pos") - F.col("__place") * F.lit(stride).cast(wide)).cast("int"))

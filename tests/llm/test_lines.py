@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 
 import pytest
 from .helpers import ROWS, awkward
 
 from estatelens.llm import lines
+from estatelens.llm._common import SWEEP
 
 
 def near(a, b):
@@ -98,3 +100,47 @@ def test_rows_of_one_id(spark):
     assert len(whole) == 1 and whole[0][0] == 5 and whole[0][3] == 0
     assert sorted(g[1] for g in got if g[0] is None) == sorted(f"own line None {k}" for k in range(400)) and all(g[3] == 1 for g in got if g[0] is None)
     assert sorted((g[1] or "", g[2], g[3]) for g in got if g[0] == 7) == [("", 0, 0), ("", 0, 0), ("", 1, 1), ("twice", 1, 0)]
+
+
+def test_edits_at_every_place(spark):
+    """Lines that share only their first or only their last words with another, runs of one word, and lengths about powers of two."""
+    rnd, texts = random.Random(4), []
+    for n in (10, 11, 15, 16, 17, 31, 32, 33):
+        for k in range(n):
+            w = [rnd.choice(["a", f"x{n}.{k}.{j}"]) if k % 2 else f"y{n}.{k}.{j}" for j in range(n)]
+            other = [w[:k] + w[k + 1 :], [*w[:k], "new", *w[k + 1 :]], [*w[:k], "new", *w[k:]]][rnd.randrange(3)]
+            texts += [" ".join(w), " ".join(other)]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = sorted(map(tuple, lines.line_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    assert got == brute(rows) and sum(r[2] for r in got) >= 150
+
+
+def test_one_sided_lines_emit_no_variants_of_the_shared_words(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    own = spark.createDataFrame([(1, 1, 0, None, line), (2, 2, None, 1, line), (3, 3, 0, 0, line)], "pos bigint, h1 bigint, first int, last int, line string")
+    rows = lines.variant_keys(own).filter("kind > 0").groupBy("pos", "kind").count().collect()
+    assert {(r.pos, r.kind): r["count"] for r in rows} == {(1, 1): 24, (1, 2): 24, (2, 1): 24, (2, 2): 24, (3, 1): 40, (3, 2): 40}
+
+
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in files if f.getName().startswith("shuffle_")}
+
+
+def test_keys_are_off_the_disk_before_the_documents_travel(spark):
+    """What is left to run makes no keys, and the shuffle files of what ran before are gone, whether or not the driver collects its garbage."""
+    rnd = random.Random(6)
+    rows = [(i, "\n".join(f"k{i % 20} " + " ".join(f"w{rnd.randint(0, 1)}" for _ in range(12)) for _ in range(4))) for i in range(400)]
+    docs, before = spark.createDataFrame(rows, "doc_id bigint, text string"), shuffle_bytes(spark)
+    setting = spark.conf.get(SWEEP)
+    out = lines.drop_repeated_lines(docs)
+    assert spark.conf.get(SWEEP) == setting and "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    for _ in range(50):  # they go in the background
+        left = sum(n for name, n in shuffle_bytes(spark).items() if name not in before)
+        if left < 30_000:  # ids and sizes, which the driver asks for first
+            break
+        time.sleep(0.2)
+    assert left < 30_000
+    assert out.filter("n_removed > 0").count() > 0
