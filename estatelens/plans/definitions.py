@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import arrays, text
 from ..operators import relational, semantic
 from ..operators.usage import total_order
 from ..schemas import require_none
@@ -226,8 +226,8 @@ def drift_findings(judged: DataFrame) -> DataFrame:
     source = F.when(F.col("match_kind") == "same_column_name", "dbt_sql").otherwise("dashboard_metadata")
     quote = lambda s: F.struct(source.alias("source"), F.concat(F.lit("semantic://"), "id", F.lit(f"/{s}")).alias("uri"), F.concat(F.lit("candidate="), "id", F.lit(f"/side={s}")).alias("locator"), F.lit(None).cast("string").alias("content_hash"), F.col(f"{s}_sql_quote").alias("excerpt"))
     own = drifted.withColumn("pointers", F.concat("evidence", F.array(quote("left"), quote("right"))))
-    each = own.groupBy("metric_name").agg(F.array_sort(F.collect_list(F.struct("id", "left_asset_id", "right_asset_id", "pointers"))).alias("c"), F.min("confidence").alias("least"))
+    each = own.groupBy("metric_name").agg(F.sort_array(F.collect_list(F.struct("id", "left_asset_id", "right_asset_id", "pointers"))).alias("c"), F.min("confidence").alias("least"))
     assets = F.array_sort(F.array_distinct(F.flatten(F.transform("c", lambda x: F.array(x["left_asset_id"], x["right_asset_id"])))))
     digest = F.substring(F.sha2(F.array_join(F.transform("c", lambda x: x["id"]), "|"), 256), 1, 12)
-    evidence = F.array_distinct(F.flatten(F.transform("c", lambda x: x["pointers"])))
+    evidence = arrays.distinct_structs(F.flatten(F.transform("c", lambda x: x["pointers"])))
     return findings(each, "metric_definition_conflict", F.concat_ws(":", F.lit("metric_definition_conflict"), "metric_name", digest), F.concat(F.lit("Metric "), "metric_name", F.lit(" has definitions that don't agree.")), assets, evidence, F.col("least"), "semantic_llm")
